@@ -3,14 +3,24 @@ parameters, to its whole table and returns every row."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, quality_rules
+from . import bpe, langid, mixing, quality_rules, token_counts
 from .common import load
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a public tokenizer's file; LODESTONE_TOKENIZERS names another folder than the installed one."""
+    if folder := os.environ.get("LODESTONE_TOKENIZERS"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(load(spark, sf_dir, "documents"))
 
@@ -19,6 +29,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.label_languages(load(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(load(spark, sf_dir, "documents"), vocabulary())
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.length_table(bpe.encoded_lengths(load(spark, sf_dir, "documents"), vocabulary()))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(load(spark, sf_dir, "documents")).drop("source")
 
@@ -26,6 +44,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_language_id": op4_language_id,
+    "op8_bpe": op8_bpe,
+    "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
 
