@@ -7,8 +7,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, quality_rules, token_counts
+from . import bpe, importance, langid, mixing, quality_rules, token_counts, warc
 from .common import load
 
 
@@ -25,10 +26,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(load(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(load(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.label_languages(load(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target text: documents labelled good; as many are drawn as that label's share among all labels says."""
+    labels = load(spark, sf_dir, "labels").where(F.col("quality").isNotNull())
+    share = labels.agg(F.avg(F.col("quality").cast("double"))).first()[0] or 0.0
+    return importance.resample(load(spark, sf_dir, "documents"), labels.where(F.col("quality") == 1).select("doc_id"), share)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(load(spark, sf_dir, "documents"), vocabulary())
 
@@ -43,10 +55,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_warc": op2_warc,
     "op4_language_id": op4_language_id,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+             m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+        FROM m""",
+}
