@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, importance, langid, mixing, quality_rules, token_counts, warc
+from . import ann, bpe, importance, langid, mixing, quality_rules, token_counts, warc
 from .common import load
 
 
@@ -34,6 +34,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.label_languages(load(spark, sf_dir, "documents"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target text: documents labelled good; as many are drawn as that label's share among all labels says."""
     labels = load(spark, sf_dir, "labels").where(F.col("quality").isNotNull())
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
     "op4_language_id": op4_language_id,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
