@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -43,6 +44,12 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's context cleaner drop the shuffle files of finished, unreferenced steps now rather than at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def uniform(seed: int, *cols: str | Column) -> Column:
     """A repeatable number in (0, 1) for each distinct value of ``cols``."""
     h = F.xxhash64(F.lit(seed), *cols)

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, importance, langid, mixing, quality_rules, token_counts, warc
+from . import ann, bpe, importance, langid, mixing, near_dups, quality_rules, suffixes, token_counts, warc
 from .common import load
 
 
@@ -30,6 +30,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(load(spark, sf_dir, "pages"))
 
 
+def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.label_languages(load(spark, sf_dir, "documents"))
 
@@ -38,6 +42,10 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeat_digest(load(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target text: documents labelled good; as many are drawn as that label's share among all labels says."""
     labels = load(spark, sf_dir, "labels").where(F.col("quality").isNotNull())
@@ -60,8 +68,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
+    "op3_near_dups": op3_near_dups,
     "op4_language_id": op4_language_id,
     "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
