@@ -17,7 +17,8 @@ Files may be far larger than a task's memory; a record may not.
 Edge cases: a null html is an empty payload, and so a response; urls may be null (then the header is
 left out) and lose control characters; repeated ids are written once each, and among equal payloads
 any one of the repeated largest id is the response; empty tables write and read no rows; other
-columns are ignored.  Bytes after the last complete record (a torn file) are never reached.
+columns are ignored.  Bytes before a file's first magic or after its last complete record (a torn
+file) are never reached.
 """
 
 from __future__ import annotations
@@ -37,10 +38,11 @@ def mark_revisits(pages: DataFrame, *, min_bytes: int = 1000) -> DataFrame:
     """(page_id, url, html, payload_bytes, payload_digest, record_type, refers_to) for each row of ``pages`` (page_id, url, html)."""
     html = F.coalesce(F.col("html"), F.lit(""))
     sized = pages.select(F.col("page_id").cast("long"), "url", html.alias("html"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(F.encode(html, "UTF-8")).alias("payload_digest"))
-    largest = (
+    largest = staged(
         sized.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes")
-        .agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "payload_bytes", "response")
-    )
+        .agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "payload_bytes", "response"),
+        "warc-responses",
+    )  # written first: when few payloads repeat, its known size lets the join leave the payloads where they are
     revisit = F.col("response") > F.col("page_id")  # null, and so false, for payloads that stand alone
     return (
         sized.join(largest, ["payload_digest", "payload_bytes"], "left")
@@ -72,29 +74,34 @@ def write_warc(pages: DataFrame, path: str, *, min_bytes: int = 1000, date: str
     marked.select(record_text(date).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """(file, off, next, value, size): every place with the magic, and where its header says that the next record starts.
+def _rows(spark: SparkSession, path: str) -> DataFrame:
+    """What lies between the magics of the archives: (file, block, at) tell the place, at rising within the block that a task reads."""
+    head = F.substring_index("value", END, 1)
+    length = F.regexp_extract(head, r"(?im)^Content-Length:[ \t]*(\d{1,18})\r?$", 1)
+    return (
+        spark.read.option("lineSep", MAGIC).text(path)
+        .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+        .withColumn("size", (F.octet_length("value") + len(MAGIC)).cast("long"))
+        .withColumn("head_size", F.octet_length(head).cast("long"))
+        .withColumn("length", F.when(F.octet_length("value") > F.col("head_size"), F.try_to_number(length, F.lit("9" * 18)).cast("long")))
+    )
+
 
-    The rows between two separators cover a file without gaps, so that offsets are sums of sizes: within
-    the block that a task reads, and over the totals of the blocks before it.
+def candidates(rows: DataFrame) -> DataFrame:
+    """(file, block, at, off, next, size): every place with the magic, and where its header says that the next record starts.
+
+    The rows between two magics cover a file without gaps, so that offsets are sums of sizes: within a
+    block, and over the totals of the blocks before it.  Payloads aren't shuffled.
     """
-    rows = spark.read.option("lineSep", MAGIC).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"), "value", (F.octet_length("value") + len(MAGIC)).cast("long").alias("size"),
-    )
+    rows = rows.drop("value")
     in_block = Window.partitionBy("file", "block").orderBy("at")
     in_file = Window.partitionBy("file").orderBy("block")
     blocks = rows.groupBy("file", "block").agg(F.sum("size").alias("total")).withColumn("base", F.sum("total").over(in_file) - F.col("total")).drop("total")
-    head = F.substring_index("value", END, 1)
-    length = F.regexp_extract(head, r"(?im)^Content-Length:[ \t]*(\d{1,18})\r?$", 1)
-    placed = (
+    return (
         rows.withColumn("upto", F.sum("size").over(in_block)).join(blocks, ["file", "block"])
         .withColumn("off", F.col("base") + F.col("upto") - F.col("size") - len(MAGIC))
-        .where(F.col("off") >= 0)  # what comes before a file's first magic is no record
-        .withColumn("head_size", F.octet_length(head).cast("long"))
-        .withColumn("length", F.when(F.octet_length("value") > F.col("head_size"), F.try_to_number(length, F.lit("9" * 18)).cast("long")))
+        .select("file", "block", "at", "off", (F.col("off") + len(MAGIC) + F.col("head_size") + F.col("length") + 2 * len(END)).alias("next"), "size")
     )
-    return placed.select("file", "off", (F.col("off") + len(MAGIC) + F.col("head_size") + F.col("length") + 2 * len(END)).alias("next"), "length", "head_size", "size", "value")
 
 
 def reached(links: DataFrame) -> DataFrame:
@@ -117,21 +124,21 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     payload is null for revisits.  payload_digest and payload_length are what the header declares.
     """
-    found = candidates(spark, path)
-    links = staged(found.select("file", "off", "next", (F.col("next") == F.col("off") + F.col("size")).alias("whole")), "warc-candidates")
-    # most files hold no false magic and chain from candidate to candidate; only the others need their payloads patched
-    true = reached(links)
-    owners = links.join(true.withColumn("true", F.lit(True)), ["file", "off"], "left")
-    torn = owners.where(~F.coalesce("true", F.lit(False)) | ~F.coalesce("whole", F.lit(False)))
+    rows = _rows(spark, path)
+    place = ["file", "block", "at"]
+    links = staged(candidates(rows), "warc-candidates")
+    true = reached(links.where("off >= 0").select("file", "off", "next")).withColumn("true", F.lit(True))
+    whole = F.coalesce(F.col("true") & (F.col("next") == F.col("off") + F.col("size")), F.lit(False))
+    # nearly every row is a whole record; only the others have to be brought together
+    rest = links.join(true, ["file", "off"], "left").where(~whole)
     holder = Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
-    torn = torn.withColumn("owner", F.last(F.when(F.col("true"), F.col("off")), True).over(holder)).select("file", "off", "owner", F.col("true").isNotNull().alias("opens"))
-    rows = found.join(torn, ["file", "off"], "left").withColumn("owner", F.coalesce("owner", "off"))
-    alone = rows.where(F.col("opens").isNull()).select("file", "off", "length", "head_size", "value")
+    rest = staged(rest.withColumn("owner", F.last(F.when(F.col("true"), F.col("off")), True).over(holder)).select(*place, "off", "owner", F.col("true").isNotNull().alias("opens")), "warc-rest")
+    alone = rows.join(rest.select(*place), place, "left_anti").select("length", "head_size", "value")
     patched = (
-        rows.where(F.col("opens").isNotNull()).groupBy("file", "owner")
+        rows.join(rest, place).where(F.col("owner").isNotNull()).groupBy("file", "owner")
         .agg(F.sort_array(F.collect_list(F.struct("off", "value"))).alias("parts"), F.max(F.when(F.col("opens"), F.col("length"))).alias("length"), F.max(F.when(F.col("opens"), F.col("head_size"))).alias("head_size"))
         .where(F.col("length").isNotNull())
-        .select("file", F.col("owner").alias("off"), "length", "head_size", F.array_join(F.col("parts.value"), MAGIC).alias("value"))
+        .select("length", "head_size", F.array_join(F.col("parts.value"), MAGIC).alias("value"))
     )
     return _parsed(alone.unionByName(patched))
 
