@@ -28,6 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PATTERN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Distinct words whose tokens a worker remembers: the first it meets, and so most of the common ones.
@@ -249,7 +250,7 @@ def with_tokens(docs: DataFrame, vocabulary: str, to: str = "token_ids") -> Data
             ids = [x for part in _batches(b.column(at).to_pylist()) for x in bpe.encode_batch(part)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, to])
 
-    return docs.mapInArrow(run, docs.schema.add(to, "array<int>"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.ArrayType(T.IntegerType()))]))
 
 
 def decode_tokens(docs: DataFrame, vocabulary: str, ids: str = "token_ids", to: str = "text") -> DataFrame:
@@ -263,7 +264,7 @@ def decode_tokens(docs: DataFrame, vocabulary: str, ids: str = "token_ids", to:
             texts = [None if x is None else bpe.decode(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, to])
 
-    return docs.mapInArrow(run, docs.schema.add(to, "string"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.StringType())]))
 
 
 def encoded_lengths(docs: DataFrame, vocabulary: str) -> DataFrame:

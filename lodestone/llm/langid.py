@@ -99,3 +99,20 @@ def label_languages(docs: DataFrame, **options: object) -> DataFrame:
     fit = {k: options.pop(k) for k in ("docs_per_lang", "bytes_per_doc", "max_langs") if k in options}
     found = identify_languages(docs, fit_dictionaries(docs.where(~held_out()), **fit), **options)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], *, piece: int = 1024, level: int = 6, min_margin: float = 0.005) -> DataFrame:
+    """The rows of ``docs`` whose language isn't rejected, with all their columns; a null ``lang`` is filled in."""
+    box = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coders = _coders(box.value, level)
+        known = {k: frozenset(v.split()) for k, v in box.value.items()}
+        for b in batches:
+            out = [classify(t, coders, known, piece, min_margin) for t in b.column(text).to_pylist()]
+            langs = pa.array([a if a is not None else f[0] for a, f in zip(b.column(lang).to_pylist(), out, strict=True)], pa.string())
+            columns = [langs if k == lang else b.column(k) for k in range(b.num_columns)]
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names).filter(pa.array([not f[2] for f in out], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, staged, uniform
+from .common import WORD, n_words, staged, uniform
 
 #: Sources up to this number travel to the executors by broadcast (about 100 bytes each).
 BROADCAST_SOURCES = 100_000
@@ -101,3 +101,19 @@ def mix_sources(
         .withColumn("upto", F.sum("size").over(in_slice))
         .select("doc_id", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
     )
+
+
+def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
+    """``docs`` as mix_sources() takes them: a row for each whole copy, and the last document of a budget cut to the words taken.
+
+    Rows that share an id are taken one by one only if their sizes differ; ``doc_id`` should be unique.
+    """
+    taken = mix_sources(docs, **options).where("taken > 0").groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
+    columns = docs.columns
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_words"), "taken").withColumnRenamed("taken", "_taken")
+    words = F.regexp_extract_all("text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1))
+    rows = docs.withColumn("_size", n_words(F.col("text"))).join(taken, (F.col("doc_id") == F.col("_id")) & (F.col("_size") == F.col("_words")))
+    rows = rows.withColumn("_whole", F.floor(F.col("_taken") / F.col("_words")).cast("int")).withColumn("_rest", (F.col("_taken") % F.col("_words")).cast("int"))
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_whole") + F.when(F.col("_rest") > 0, 1).otherwise(0))))
+    some = F.array_join(F.slice(words, 1, F.col("_rest")), "")
+    return rows.withColumn("text", F.when(F.col("_copy") > F.col("_whole"), some).otherwise(F.col("text"))).select(*columns)
