@@ -57,8 +57,7 @@ def heading_level(line: Column) -> Column:
 def markdown_images(text: Column) -> Column:
     """array<struct<alt, url>> of ![alt](url)."""
     pattern = F.lit(r"!\[([^\]]*)\]\(([^)\s]+)[^)]*\)")
-    pair = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("alt"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("url"))
-    return F.transform(pair, lambda x: F.struct(x["0"].alias("alt"), x["1"].alias("url")))
+    return F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("alt"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("url"))
 
 
 def html_images(text: Column) -> Column:
