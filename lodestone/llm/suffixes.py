@@ -270,7 +270,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     pieces = _pieces(docs)
-    often = pieces.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    often = staged(pieces.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+    release(spark)
+    # written first: a join of two plain shuffles can be split where an anchor is very common
     common = staged(pieces.join(often.hint("shuffle_hash"), "anchor"), "pieces")
     release(spark)
     place = F.struct("doc_id", "at")
