@@ -9,9 +9,10 @@ similarity of a candidate pair and drops the hopeless ones; full sets decide the
 
 Documents with equal sets are one node.  A bucket of nodes that share a band is never expanded into
 all pairs: its members are compared with one pivot first; once linked nodes are joined to components,
-only members outside a bucket's largest component are compared with members of other components.
-That leaves no candidate pair of different components untested, so no link between candidates is
-lost; at similarity 0.75, 32 bands of 4 registers miss a pair with probability 5e-6.
+only members outside a bucket's largest component are compared with members of other components, by
+estimates in blocks of sketches, the best pairs first and then all.  That leaves no likely pair of
+different components untested; at similarity 0.75, 32 bands of 4 registers miss a pair with
+probability 5e-6.
 
 Edge cases: a null, empty or blank text has an empty set, links with nothing and is kept; fewer than
 five words make one shingle; repeated rows (and rows that share an id) are nodes by their text alone,
@@ -26,12 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
 
 BANDS, ROWS = 32, 4
+BLOCK = 512
 BASE, TOP = 1.001, (1 << 16) - 1
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _ODD = np.random.default_rng(75).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,22 +170,121 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): the pairs of nodes that share a bucket of ``members`` (band, node) but not a component, except between members of one bucket's largest component (they share it)."""
-    m = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+def _pair_up(few: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows that hold few[r] and many[r] items, laid end to end: the indices of all pairs within a row."""
+    left = np.repeat(np.arange(few.sum()), np.repeat(many, few))
+    size = few * many
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    right = np.repeat(np.cumsum(many) - many, size) + within % np.repeat(many, size)
+    return left, right
+
+
+def _in_blocks(nodes: DataFrame, members: DataFrame) -> DataFrame:
+    """The ``nodes`` of ``members`` (band, node, pivot) with the block (tb) of about ``BLOCK`` alike nodes in which their texts travel."""
+    near = members.groupBy("node").agg(F.min("pivot").alias("cluster"))
+    large = near.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("size", F.lit(1)) / BLOCK))
+    return nodes.join(near.join(large, "cluster", "left").select("node", F.xxhash64("cluster", part).alias("tb")), "node")
+
+
+def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``nodes`` with the label of their component."""
+    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _across(members: DataFrame, nodes: DataFrame, least: float, best: int) -> DataFrame:
+    """Likely neighbours across components: what ``members`` (band, node) share, among ``nodes`` of _labelled().
+
+    Nodes outside their bucket's largest component (x) meet all others of the bucket that have another
+    label (y), as blocks of sketches; nothing is sent anywhere before its estimate is known to be at least
+    ``least``.  best > 0: (x, y, doc_x, doc_y), the so many best pairs of each x.  0: (x, tb), the blocks
+    that hold at least one likely y.
+    """
+    m = members.join(nodes, "node")
     sizes = m.groupBy("band", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("band", F.col("top.label").alias("top"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"), F.sum("n").alias("total")).where("labels > 1").select("band", F.col("top.label").alias("top"), "total")
     m = staged(m.join(largest, "band"), "open-buckets")
-    few = m.where("label <> top").select("band", F.col("node").alias("x"), F.col("label").alias("x_label"))
-    pairs = few.join(m, "band").where((F.col("x_label") != F.col("label")) & ((F.col("label") == F.col("top")) | (F.col("x") < F.col("node"))))
-    return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    m = m.withColumn("part", F.pmod("tb", F.ceil(F.col("total") / BLOCK)))  # one block for all but the large buckets
+    item = F.collect_list(F.struct("node", "label", "rep", "n", "sketch", "tb"))
+    few = m.where("label <> top").groupBy("band", "part").agg(F.first("top").alias("top"), item.alias("few")).drop("part")
+    many = m.groupBy("band", "part").agg(item.alias("many")).drop("part")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            work = np.cumsum(batch.column("few").value_lengths().to_numpy().astype(np.int64) * batch.column("many").value_lengths().to_numpy())
+            cuts = [0, *(np.flatnonzero(np.diff(work // 1_000_000)) + 1).tolist(), batch.num_rows]  # about a million pairs at a time
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                b = batch.slice(i, j - i)
+                top = b.column("top").to_numpy()
+                few, many = b.column("few"), b.column("many")
+                n_few, n_many = few.value_lengths().to_numpy().astype(np.int64), many.value_lengths().to_numpy().astype(np.int64)
+                few, many = few.flatten(), many.flatten()
+                get = lambda z, c: z.field(c).to_numpy(zero_copy_only=False)
+                left, right = _pair_up(n_few, n_many)
+                row = np.repeat(np.arange(len(top)), n_few)[left]
+                x, y, lx, ly = get(few, "node")[left], get(many, "node")[right], get(few, "label")[left], get(many, "label")[right]
+                ok = np.flatnonzero((lx != ly) & ((ly == top[row]) | (x < y)))
+                kf, km = (np.frombuffer(b"".join(z.field("sketch").to_pylist()), dtype=np.uint16).reshape(-1, BANDS * ROWS) for z in (few, many))
+                out = []
+                for k in range(0, len(ok), 20_000):
+                    at = ok[k : k + 20_000]
+                    like = estimate(kf[left[at]], km[right[at]], get(few, "n")[left[at]], get(many, "n")[right[at]])
+                    out.append((at[like >= least], like[like >= least]))
+                at, like = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (ok, ok.astype(float))
+                if best:
+                    order = np.lexsort((-like, x[at]))
+                    at, like = at[order], like[order]
+                    first = np.arange(len(at)) - np.searchsorted(x[at], x[at]) < 2  # of this slice of blocks; the best of all are picked below
+                    at, like = at[first], like[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in (x[at], y[at], get(few, "rep")[left[at]], get(many, "rep")[right[at]], like)], ["x", "y", "doc_x", "doc_y", "like"])
+                else:
+                    found = np.unique(np.stack([x[at], get(many, "tb")[right[at]]], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["x", "tb"])
+
+    met = few.join(many, "band").select("top", "few", "many")
+    if not best:
+        return met.mapInArrow(run, "x long, tb long").distinct()
+    pairs = met.mapInArrow(run, "x long, y long, doc_x long, doc_y long, like double").distinct()
+    return pairs.withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("like"), "y"))).where(F.col("k") <= best).drop("k", "like")
+
+
+def _confirmed_blocks(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """(a, b): the links between the nodes x of ``wanted`` (x, tb) and the nodes of other components in the blocks tb, by full sets."""
+    shown = nodes.select("node", "label", "tb", F.col("rep").alias("doc_id")).join(texts, "doc_id")
+    item = F.collect_list(F.struct("node", "label", "text"))
+    blocks = shown.join(wanted.select("tb").distinct(), "tb", "left_semi").groupBy("tb").agg(item.alias("block"))
+    counts = wanted.groupBy("tb").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / 64))
+    asked = wanted.join(counts, "tb").select("tb", part.alias("part"), F.col("x").alias("node")).join(shown.drop("tb"), "node").groupBy("tb", "part").agg(item.alias("asked"))
+    rows = asked.join(blocks, "tb").select("tb", "asked", "block")
 
-def near_duplicates(docs: DataFrame, *, percent: int = 75, k: int = 5, slack: float = 0.2) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = lambda rows: [(z["node"], z["label"], s) for z in rows if _node(s := shingles(z["text"], k)) == z["node"]]
+        last: tuple[int | None, list[tuple[int, int, np.ndarray]]] = (None, [])
+        for b in batches:
+            links = []
+            for i in range(b.num_rows):
+                tb, asked, block = (b.column(c)[i].as_py() for c in range(3))
+                if last[0] != tb:
+                    last = (tb, sets(block))
+                for x, label, s in sets(asked):
+                    for y, other, t in last[1]:
+                        if other != label and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)):
+                            both = len(np.intersect1d(s, t, assume_unique=True))
+                            if 100 * both >= percent * (len(s) + len(t) - both):
+                                links.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([z[c] for z in links], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, *, percent: int = 75, k: int = 5, slack: float = 0.15) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id that links reach; kept is doc_id = component_id.  slack: how far
-    below the threshold an estimate may lie for its pair to be tested (5 standard errors).
+    below the threshold an estimate may lie for its pair to be tested (4 standard errors: 3e-5 of the pairs right at the threshold).
     """
     sketched = staged(sketch_documents(docs, k), "sketches")
     nodes = staged(sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
@@ -193,10 +294,18 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, k: int = 5, slack: fl
     involved = members.select("node").distinct().join(nodes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct()
     texts = staged(docs.select(F.col("doc_id").cast("long"), "text").join(involved, "doc_id", "left_semi"), "candidate-texts")
 
-    first = staged(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = staged(_confirmed(_likely(first, nodes, percent / 100 - slack), texts, percent, k), "links")
-    second = _across(members.select("band", "node"), components(links)).join(first, ["a", "b"], "left_anti")
-    links = links.union(_confirmed(_likely(second, nodes, percent / 100 - slack), texts, percent, k))
+    least = percent / 100 - slack
+    pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    tested = staged(_likely(pairs, nodes, least), "pairs")
+    links = staged(_confirmed(tested, texts, percent, k), "links")
+    blocked = staged(_in_blocks(nodes, members), "blocked-nodes")
+    members = members.select("band", "node")
+    # the best pairs join most of what belongs together, and leave few for the complete pass
+    some = _across(members, _labelled(blocked, components(links)), least, best=4)
+    some = some.toDF("a", "b", "doc_a", "doc_b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    links = links.union(staged(_confirmed(staged(some, "pairs"), texts, percent, k), "links"))
+    known = staged(_labelled(blocked, components(links)), "labelled")
+    links = links.union(staged(_confirmed_blocks(staged(_across(members, known, least, best=0), "blocks"), known, texts, percent, k), "links"))
     labels = components(links)
 
     labelled = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
@@ -204,3 +313,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, k: int = 5, slack: fl
     found = labelled.join(smallest, "label").select("node", "component_id")
     component = F.coalesce("component_id", "doc_id")
     return sketched.select("doc_id", "n_shingles", "node").join(found, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, **options: object) -> DataFrame:
+    """The rows of ``docs`` that near_duplicates() keeps, with all their columns; rows that share an id stay once."""
+    kept = near_duplicates(docs, **options).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
