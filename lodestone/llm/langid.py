@@ -10,7 +10,7 @@ The margin is ``(second - best) / second`` of the totals; a prediction whose mar
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0 and is rejected; equal totals go to
 the dictionary that holds more of the text's words, then to the first by code point (margin 0); null or empty tables give no rows; null languages
-are not learned from; repeated rows are predicted alike; other columns of the input are ignored.
+are not learned from, nor are rows with a null id; repeated rows are predicted alike; other columns of the input are ignored.
 Text that is not white space or letters takes part like any other.
 """
 
@@ -29,8 +29,8 @@ SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
-    """True for the rows that no model may learn from: crc32 of the id's text leaves 0."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0
+    """True for the rows that no model may learn from: crc32 of the id's text leaves 0, or there is no id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
 def fit_dictionaries(labelled: DataFrame, *, docs_per_lang: int = 96, bytes_per_doc: int = 1200, max_langs: int = 256) -> dict[str, bytes]:

@@ -10,7 +10,7 @@ No source is sorted in one task: the key's range is cut into ``buckets`` slices
 sums are prefix-summed first, so that a task only orders one slice of one source.
 
 Edge cases: a null text has size 0 and takes 0 words; null is a source of its own, ranked last;
-rows with equal doc_id draw equal keys and are ordered by size; an empty table gives no rows; the
+rows with equal doc_id (or none) draw equal keys and are ordered by size; an empty table gives no rows; the
 target of a source without words is 0; other columns of the input are ignored.
 """
 
@@ -112,7 +112,7 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     columns = docs.columns
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_words"), "taken").withColumnRenamed("taken", "_taken")
     words = F.regexp_extract_all("text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1))
-    rows = docs.withColumn("_size", n_words(F.col("text"))).join(taken, (F.col("doc_id") == F.col("_id")) & (F.col("_size") == F.col("_words")))
+    rows = docs.withColumn("_size", n_words(F.col("text"))).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_words")))
     rows = rows.withColumn("_whole", F.floor(F.col("_taken") / F.col("_words")).cast("int")).withColumn("_rest", (F.col("_taken") % F.col("_words")).cast("int"))
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_whole") + F.when(F.col("_rest") > 0, 1).otherwise(0))))
     some = F.array_join(F.slice(words, 1, F.col("_rest")), "")

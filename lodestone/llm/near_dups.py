@@ -16,7 +16,8 @@ probability 5e-6.
 
 Edge cases: a null, empty or blank text has an empty set, links with nothing and is kept; fewer than
 five words make one shingle; repeated rows (and rows that share an id) are nodes by their text alone,
-so equal texts always share a component; an empty table gives no rows; other columns are ignored.
+so equal texts always share a component; a row with a null id makes no link and is kept, but shows the
+component of an equal text if there is one; an empty table gives no rows; other columns are ignored.
 Sets are compared as sets of 64-bit hashes.
 """
 
@@ -287,7 +288,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, k: int = 5, slack: fl
     below the threshold an estimate may lie for its pair to be tested (4 standard errors: 3e-5 of the pairs right at the threshold).
     """
     sketched = staged(sketch_documents(docs, k), "sketches")
-    nodes = staged(sketched.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = staged(sketched.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     keys = band_keys(nodes)
     shared = keys.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").select("band", "pivot")
     members = staged(keys.join(shared, "band"), "members")
@@ -312,10 +313,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, k: int = 5, slack: fl
     smallest = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
     found = labelled.join(smallest, "label").select("node", "component_id")
     component = F.coalesce("component_id", "doc_id")
-    return sketched.select("doc_id", "n_shingles", "node").join(found, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return sketched.select("doc_id", "n_shingles", "node").join(found, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates() keeps, with all their columns; rows that share an id stay once."""
+    """The rows of ``docs`` that near_duplicates() keeps, with all their columns; rows that share an id stay once, rows with a null id all stay."""
     kept = near_duplicates(docs, **options).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

@@ -23,7 +23,7 @@ cut up by the contents of their windows instead, aggregated before the shuffle.
 Edge cases: a null text is empty; a text shorter than ``length`` loses nothing; a text that was seen
 whole before loses everything; repeated rows are one document, so a row isn't removed for its twin,
 and rows that share an id but not their text are ordered by where strings start; overlapping repeats
-count; empty tables give no rows; other columns are ignored.
+count; rows with a null id come after all others; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ from .common import release, staged
 LENGTH, SEED = 100, 32
 HOT = 4096
 _SEGMENT = 1 << 17
+#: Where rows with a null id stand.
+_LAST = (1 << 63) - 1
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], dtype=np.uint64)
 _BASE = 0x5851F42D4C957F2D
 
@@ -268,7 +270,7 @@ def _by_window(pieces: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, from, to): byte ranges of ``docs`` (doc_id, text) to remove; they may overlap and touch."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text")
     pieces = _pieces(docs)
     often = staged(pieces.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     release(spark)
@@ -305,7 +307,7 @@ def _with_spans(docs: DataFrame) -> DataFrame:
     spans = staged(repeated_spans(docs), "spans")
     release(docs.sparkSession)
     lists = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("mark", "from", "to")).alias("_spans"))
-    return docs.join(lists, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    return docs.join(lists, F.coalesce("doc_id", F.lit(_LAST)) == F.col("_id"), "left").drop("_id")
 
 
 def _spans_of(data: bytes, spans: list[dict[str, int]] | None) -> list[tuple[int, int]]:

@@ -15,7 +15,7 @@ stay unreached lie inside a payload and are given back to the record around them
 Files may be far larger than a task's memory; a record may not.
 
 Edge cases: a null html is an empty payload, and so a response; urls may be null (then the header is
-left out) and lose control characters; repeated ids are written once each, and among equal payloads
+left out) and lose control characters; a null id is written empty, read back as null and always a response; repeated ids are written once each, and among equal payloads
 any one of the repeated largest id is the response; empty tables write and read no rows; other
 columns are ignored.  Bytes before a file's first magic or after its last complete record (a torn
 file) are never reached.
@@ -59,7 +59,7 @@ def record_text(date: str) -> Column:
     payload = F.when(revisit, "").otherwise(F.col("html"))
     return F.concat(
         F.lit(f"{MAGIC}WARC-Type: "), F.col("record_type"),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.col("page_id").cast("string"), F.lit(f">\r\nWARC-Date: {date}"),
+        F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(f">\r\nWARC-Date: {date}"),
         F.coalesce(F.concat(F.lit("\r\nWARC-Target-URI: "), url), F.lit("")),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"),
         F.lit("\r\nX-Payload-Length: "), F.col("payload_bytes").cast("string"),
@@ -148,8 +148,8 @@ def _parsed(records: DataFrame) -> DataFrame:
     field = lambda name: F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r]*)\r", 1)
     data = F.encode("value", "UTF-8")
     payload = F.substring(data, F.col("head_size").cast("int") + len(END) + 1, F.col("length").cast("int"))
-    number = lambda c: F.try_to_number(c, F.lit("9" * 18)).cast("long")
-    page = lambda name: number(F.regexp_extract(field(name), r"^<urn:page:(\d+)>$", 1))
+    number = lambda c: c.try_cast("long")
+    page = lambda name: number(F.regexp_extract(field(name), r"^<urn:page:(-?\d+)>$", 1))
     kind = F.lower(field("WARC-Type"))
     return records.where(F.octet_length("value") >= F.col("head_size") + F.col("length") + len(END)).select(
         page("WARC-Record-ID").alias("page_id"), F.nullif(field("WARC-Target-URI"), F.lit("")).alias("url"), kind.alias("record_type"), page("WARC-Refers-To").alias("refers_to"),

@@ -324,3 +324,26 @@ def test_largest_are_marked_exactly(spark):
     for k in (0, 1, 700, 2999, 3000, 5000):
         got = {r.id for r in importance.mark_largest(df, "key", "id", k, "top", bins=7, small=10).where("top").collect()}
         assert got == {i for i, _ in sorted(values, key=lambda x: (-x[1], x[0]))[:k]}
+
+
+# all of them
+
+
+def test_null_ids(make_docs):
+    texts = sample_texts()
+    ids = [None if i % 9 == 4 or i > 40 else i for i in range(len(texts))]
+    docs = make_docs(texts, ids)
+    some = [i for i in ids if i is not None]
+    for found in (
+        quality_rules.judge_quality(docs), langid.label_languages(docs), near_dups.near_duplicates(docs), suffixes.repeat_digest(docs), bpe.encode_documents(docs, vocabulary()), mixing.mix_sources(docs),
+        importance.resample(docs, docs.where("doc_id < 9").select("doc_id"), 0.5),
+    ):
+        rows = found.collect()
+        assert len(rows) == len(texts) and sorted(r.doc_id for r in rows if r.doc_id is not None) == some
+    last = [i if i is not None else 10**6 + k for k, i in enumerate(ids)]
+    cut = Counter((r.n_bytes, r.n_removed) for r in suffixes.repeat_digest(docs).collect() if r.doc_id is not None)
+    assert cut == Counter(v[:2] for k, v in plain_repeats(texts, last).items() if k < 10**6)
+    kept = near_dups.drop_near_duplicates(docs).collect()
+    assert sum(r.doc_id is None for r in kept) == ids.count(None)
+    taken = {r.doc_id for r in mixing.mix_sources(docs).collect() if r.taken}
+    assert {r.doc_id for r in mixing.mixed_documents(docs).collect()} == taken  # of rows that share an id and a size, any may be taken

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -58,6 +59,14 @@ def test_torn_archive_and_empty_table(spark):
     assert warc.archive_round_trip(table.limit(0)).count() == 0
 
 
+def test_ids_that_are_null_negative_or_large(spark):
+    rows = [(None, "u", "p" * 1200), (-7, "u", "p" * 1200), (1 << 62, None, "p" * 1200), (None, "u", None), (3, "u", "short")]
+    found = warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in found) == Counter(
+        [(None, 1200, "response", None), (-7, 1200, "revisit", 1 << 62), (1 << 62, 1200, "response", None), (None, 0, "response", None), (3, 5, "response", None)]
+    )
+
+
 def test_pointer_jumping_follows_only_the_chain(spark):
     links = [("f", 0, 10), ("f", 10, 30), ("f", 20, 30), ("f", 30, 40), ("f", 40, None), ("g", 5, 9), ("g", 9, 12)]
     found = warc.reached(spark.createDataFrame(links, "file string, off long, next long")).collect()
