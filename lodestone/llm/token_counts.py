@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 
 def length_histogram(lengths: DataFrame, n_tokens: str = "n_tokens") -> DataFrame:
     """(n_tokens, n_docs, total_tokens): one row for each length of ``lengths``."""
@@ -33,7 +35,8 @@ def length_table(lengths: DataFrame, n_tokens: str = "n_tokens", *, block: int =
     quantile: docs_at_most / documents, so the q-quantile is the smallest L with quantile >= q.
     """
     sums = ("n_docs", "total_tokens")
-    hist = length_histogram(lengths, n_tokens).withColumn("block", F.floor(F.col("n_tokens") / block))
+    hist = staged(length_histogram(lengths, n_tokens), "length-histogram")  # used three times, encoded once
+    hist = hist.withColumn("block", F.floor(F.col("n_tokens") / block))
     blocks = hist.groupBy("block").agg(*[F.sum(c).alias(f"block_{c}") for c in sums])
     over, every = Window.orderBy("block"), Window.partitionBy()
     blocks = blocks.select("block", *[(F.sum(f"block_{c}").over(over) - F.col(f"block_{c}")).alias(f"before_{c}") for c in sums], *[F.sum(f"block_{c}").over(every).alias(f"all_{c}") for c in sums])
