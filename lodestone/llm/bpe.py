@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 PATTERN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Distinct words whose tokens a worker remembers: the first it meets, and so most of the common ones.
-MEMORY = 400_000
+MEMORY = 100_000
 _NEVER = np.iinfo(np.int64).max
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -207,7 +207,7 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
-def _batches(texts: list[str | None], chars: int = 2_000_000) -> Iterator[list[str | None]]:
+def _batches(texts: list[str | None], chars: int = 500_000) -> Iterator[list[str | None]]:
     part: list[str | None] = []
     size = 0
     for t in texts:

@@ -75,8 +75,10 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, rows: int = 2048) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity of paired sketches (rows), from which register is larger how often, given the set sizes."""
+    if len(a) > rows:  # each pair takes about 10 kB while its likelihoods are compared
+        return np.concatenate([estimate(*(x[i : i + rows] for x in (a, b, n_a, n_b))) for i in range(0, len(a), rows)])
     more, less = (a > b).sum(axis=1)[:, None], (a < b).sum(axis=1)[:, None]
     same = a.shape[1] - more - less
     u = (n_a / (n_a + n_b))[:, None]
@@ -215,7 +217,7 @@ def _across(members: DataFrame, nodes: DataFrame, least: float, best: int) -> Da
             if not batch.num_rows:
                 continue
             work = np.cumsum(batch.column("few").value_lengths().to_numpy().astype(np.int64) * batch.column("many").value_lengths().to_numpy())
-            cuts = [0, *(np.flatnonzero(np.diff(work // 1_000_000)) + 1).tolist(), batch.num_rows]  # about a million pairs at a time
+            cuts = [0, *(np.flatnonzero(np.diff(work // 250_000)) + 1).tolist(), batch.num_rows]  # about 250,000 pairs at a time
             for i, j in zip(cuts, cuts[1:], strict=False):
                 b = batch.slice(i, j - i)
                 top = b.column("top").to_numpy()
