@@ -230,12 +230,26 @@ def chunk_coverage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.groupBy("source").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("chunks"), F.sum("chunk_words").alias("words"), r6(F.avg("chunk_words")).alias("mean_words"), F.max("chunk_words").alias("most_words"))
 
 
-@query()
+@query(f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
+             u AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+             p AS (SELECT doc_id, list(total ORDER BY i) AS sums, list(word ORDER BY i) AS ws
+                   FROM (SELECT doc_id, i, word, sum(len(regexp_extract_all(word, '\\p{{L}}+|\\p{{N}}+|[^\\s\\p{{L}}\\p{{N}}]'))) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS total FROM u) GROUP BY doc_id),
+             s AS (SELECT doc_id, [0::BIGINT] || sums AS sums, ws FROM p),
+             c AS (SELECT doc_id, 0 AS chunk_no, 0::BIGINT AS a, greatest(1, len(list_filter(sums, lambda x: x <= 300)) - 1) AS b FROM s
+                   UNION ALL
+                   SELECT doc_id, chunk_no + 1, next, greatest(next + 1, len(list_filter(sums, lambda x: x <= sums[next + 1] + 300)) - 1)
+                   FROM (SELECT c.doc_id, chunk_no, sums, greatest(a + 1, len(list_filter(sums, lambda x: x <= sums[b + 1] - 50)) - 1) AS next FROM c JOIN s ON s.doc_id = c.doc_id WHERE b < len(ws)))
+           SELECT c.doc_id, chunk_no, (sums[b + 1] - sums[a + 1])::INTEGER AS n_tokens, md5(array_to_string(ws[a + 1 : b], ' ')) AS chunk_md5 FROM c JOIN s ON s.doc_id = c.doc_id""")
 def chunk_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.token_chunks(t(spark, sf_dir, "documents"), "doc_id").select("doc_id", "chunk_no", "n_tokens", F.md5("chunk").alias("chunk_md5"))
 
 
-@query()
+@query(f"""WITH RECURSIVE l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS ls FROM documents),
+             u AS (SELECT doc_id, i, line, len({_WORDS.format("line")}) AS cost FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM l)),
+             f AS (SELECT doc_id, i, line, cost, 0 AS chunk_no, cost AS size FROM u WHERE i = 1
+                   UNION ALL
+                   SELECT u.doc_id, u.i, u.line, u.cost, chunk_no + (size + u.cost > 300)::INT, CASE WHEN size + u.cost > 300 THEN u.cost ELSE size + u.cost END FROM f JOIN u ON u.doc_id = f.doc_id AND u.i = f.i + 1)
+           SELECT doc_id, chunk_no, sum(cost)::INTEGER AS chunk_words, md5(string_agg(line, chr(10) ORDER BY i)) AS chunk_md5 FROM f GROUP BY doc_id, chunk_no""")
 def chunk_paragraph_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.paragraph_chunks(t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "chunk_no", "chunk_words", F.md5("chunk").alias("chunk_md5"))
 

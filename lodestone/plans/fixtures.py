@@ -12,6 +12,7 @@ from ..operators import chunking, code, imports, ingest, manifests, markdown
 from ..sources import files
 from ..streaming import limits
 from .catalog import QUERIES as _ALL
+from .catalog import SQL as _ALL_SQL
 from .catalog import Query, t
 
 QUERIES: dict[str, Query] = {}
@@ -200,6 +201,9 @@ def token_bucket_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, out, "token_bucket_stream_out", "append").withColumn("tokens", F.round("tokens", 4))
 
 
+SQL["token_bucket_stream"] = _ALL_SQL["token_bucket"]
+
+
 @_add
 def windowed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = t(spark, sf_dir, "events").schema
