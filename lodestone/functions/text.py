@@ -126,5 +126,5 @@ def title(text: Column, length: int = 150) -> Column:
 
 
 def embedding_text(*parts: Column, sep: str = " | ") -> Column:
-    """Non-empty parts joined; null ones leave no gap."""
-    return F.concat_ws(sep, *[F.nullif(F.trim(p), F.lit("")) for p in parts])
+    """Whole parts joined as they are; null and blank ones leave no gap."""
+    return F.concat_ws(sep, *[F.when(F.trim(p) != "", p) for p in parts])

@@ -269,6 +269,12 @@ def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat_ws(" | ", "lang", "source", F.when(F.trim(head) != "", head))).alias("embedding_md5"))
 
 
+@query("SELECT doc_id, md5(concat_ws(' | ', CASE WHEN trim(lang) <> '' THEN lang END, CASE WHEN trim(source) <> '' THEN source END, CASE WHEN trim(text) <> '' THEN text END)) AS embedding_md5 FROM documents")
+def embedding_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator over whole texts; embedding_text takes the first 80 characters only, as its SQL does."""
+    return t(spark, sf_dir, "documents").select("doc_id", F.md5(X.embedding_text(F.col("lang"), F.col("source"), F.col("text"))).alias("embedding_md5"))
+
+
 @query(r"""SELECT doc_id, md5(regexp_replace(replace(text || chr(10) || chr(10) || chr(10) || chr(10) || 'end', chr(0), ''), '\n{3,}', chr(10) || chr(10), 'g')) AS clean_md5,
                   len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))::BIGINT AS words, len(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]'))::BIGINT AS tokens FROM documents""")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 
@@ -54,6 +55,16 @@ def test_scalar_functions(spark):
     assert one(spark, X.token_count(c), a="ab 12,x") == chunking.count_tokens("ab 12,x") == 4
 
 
+def test_embedding_text_is_whole(spark, tmp_path):
+    from lodestone.plans import catalog
+
+    rows = [(1, "en", "s", "x" * 80 + "one"), (2, "en", "s", "x" * 80 + "two"), (3, "en", "s", " "), (4, "en", "s", " a ")]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.embedding_md5 for r in catalog.QUERIES["embedding_text_whole"](spark, str(tmp_path)).collect()}
+    plain = {i: " | ".join(p for p in r if p.strip(" ")) for i, *r in rows}
+    assert got == {i: hashlib.md5(p.encode()).hexdigest() for i, p in plain.items()} and got[1] != got[2]
+
+
 def test_fusion_ties_and_single_lists(spark):
     rows = [(0, 1, "a"), (0, 2, "b"), (1, 1, "b"), (1, 2, "a"), (1, 3, "c"), (2, 1, "d")]
     fused = retrieval.fuse(spark.createDataFrame(rows, "list_no int, rank int, id string"))
