@@ -107,6 +107,25 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_recall_holds_for_loose_vectors_outside_the_sample(spark):
+    x = np.random.default_rng(5).standard_normal((6000, 128))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, part_rows=187, sample=600).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {q: set(np.argsort(-(unit @ unit[q]), kind="stable")[1:6]) for q in range(0, 6000, 20)}
+    assert np.mean([len(set(found.get(q, [])) & want[q]) / 5 for q in want]) >= 0.9
+
+
+def test_queries_of_small_parts_find_k(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i if i % 16 else 0, (np.eye(16)[i % 16] + 0.01 * rng.standard_normal(16)).tolist()) for i in range(640)]  # all around id 0 have its id
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    counts = Counter(r.query_id for r in ann.nearest(table, F.col("vec_id").isin(0, 1), part_rows=40, target_recall=0.01).collect())
+    assert counts == {0: 5, 1: 5}
+
+
 def test_parts_are_balanced_and_cut_few_edges():
     rng = np.random.default_rng(1)
     x = vectors(1024, 16, rng)
