@@ -10,7 +10,9 @@ nothing.  Files are split at every magic by Spark's splittable text reader; each
 each such candidate, its offset and the offset of the successor that its Content-Length implies.
 Pointer jumping from offset 0 then doubles the reach of every pointer and the set of reached
 candidates round by round, so a file of n candidates takes log2(n) rounds of joins.  Candidates that
-stay unreached lie inside a payload and are given back to the record around them.
+stay unreached lie inside a payload and are given back to the record around them.  Archives are read
+once for the candidates and once for the payloads; how Spark splits the files may differ between the
+two, so that the second reading knows its rows by a digest of their content, never by their place.
 
 Files may be far larger than a task's memory; a record may not.
 
@@ -75,12 +77,16 @@ def write_warc(pages: DataFrame, path: str, *, min_bytes: int = 1000, date: str
 
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
-    """What lies between the magics of the archives: (file, block, at) tell the place, at rising within the block that a task reads."""
+    """What lies between the magics of the archives: (file, block, at) tell the place, at rising within the block that a task reads.
+
+    Places hold for one reading only: blocks depend on the number of cores alive when it is planned.  ``digest`` holds for all.
+    """
     head = F.substring_index("value", END, 1)
     length = F.regexp_extract(head, r"(?im)^Content-Length:[ \t]*(\d{1,18})\r?$", 1)
     return (
         spark.read.option("lineSep", MAGIC).text(path)
         .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+        .withColumn("digest", F.sha1(F.encode("value", "UTF-8")))
         .withColumn("size", (F.octet_length("value") + len(MAGIC)).cast("long"))
         .withColumn("head_size", F.octet_length(head).cast("long"))
         .withColumn("length", F.when(F.octet_length("value") > F.col("head_size"), F.try_to_number(length, F.lit("9" * 18)).cast("long")))
@@ -88,19 +94,20 @@ def _rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """(file, block, at, off, next, size): every place with the magic, and where its header says that the next record starts.
+    """(file, digest, off, next, size, length, head_size): every place with the magic, and where its header says that the next record starts.
 
     The rows between two magics cover a file without gaps, so that offsets are sums of sizes: within a
-    block, and over the totals of the blocks before it.  Payloads aren't shuffled.
+    block, and over the totals of the blocks before it.  Payloads aren't shuffled.  Places are written first, so that
+    all sums are over one reading.
     """
-    rows = rows.drop("value")
+    rows = staged(rows.drop("value"), "warc-places")
     in_block = Window.partitionBy("file", "block").orderBy("at")
     in_file = Window.partitionBy("file").orderBy("block")
     blocks = rows.groupBy("file", "block").agg(F.sum("size").alias("total")).withColumn("base", F.sum("total").over(in_file) - F.col("total")).drop("total")
     return (
         rows.withColumn("upto", F.sum("size").over(in_block)).join(blocks, ["file", "block"])
         .withColumn("off", F.col("base") + F.col("upto") - F.col("size") - len(MAGIC))
-        .select("file", "block", "at", "off", (F.col("off") + len(MAGIC) + F.col("head_size") + F.col("length") + 2 * len(END)).alias("next"), "size")
+        .select("file", "digest", "off", (F.col("off") + len(MAGIC) + F.col("head_size") + F.col("length") + 2 * len(END)).alias("next"), "size", "length", "head_size")
     )
 
 
@@ -125,17 +132,22 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     payload is null for revisits.  payload_digest and payload_length are what the header declares.
     """
     rows = _rows(spark, path)
-    place = ["file", "block", "at"]
     links = staged(candidates(rows), "warc-candidates")
     true = reached(links.where("off >= 0").select("file", "off", "next")).withColumn("true", F.lit(True))
     whole = F.coalesce(F.col("true") & (F.col("next") == F.col("off") + F.col("size")), F.lit(False))
     # nearly every row is a whole record; only the others have to be brought together
-    rest = links.join(true, ["file", "off"], "left").where(~whole)
+    known = links.join(true, ["file", "off"], "left").withColumn("whole", whole)
     holder = Window.partitionBy("file").orderBy("off").rowsBetween(Window.unboundedPreceding, 0)
-    rest = staged(rest.withColumn("owner", F.last(F.when(F.col("true"), F.col("off")), True).over(holder)).select(*place, "off", "owner", F.col("true").isNotNull().alias("opens")), "warc-rest")
-    alone = rows.join(rest.select(*place), place, "left_anti").select("length", "head_size", "value")
+    rest = known.where(~F.col("whole")).withColumn("owner", F.last(F.when(F.col("true"), F.col("off")), True).over(holder))
+    columns = ["file", "digest", "off", "owner", F.col("true").isNotNull().alias("opens"), "length", "head_size"]
+    rest = staged(rest.select(*columns), "warc-rest")
+    # equal rows can stand for each other: those that are whole here and parts there are all taken by their digest
+    digests = staged(rest.select("digest").distinct(), "warc-digests")
+    both = known.where("whole").join(digests, "digest", "left_semi").withColumn("owner", F.col("off")).select(*columns)
+    values = rows.join(digests, "digest", "left_semi").groupBy("digest").agg(F.first("value").alias("value"))
+    alone = rows.join(digests, "digest", "left_anti").select("length", "head_size", "value")
     patched = (
-        rows.join(rest, place).where(F.col("owner").isNotNull()).groupBy("file", "owner")
+        rest.where(F.col("owner").isNotNull()).unionByName(both).join(values, "digest").groupBy("file", "owner")
         .agg(F.sort_array(F.collect_list(F.struct("off", "value"))).alias("parts"), F.max(F.when(F.col("opens"), F.col("length"))).alias("length"), F.max(F.when(F.col("opens"), F.col("head_size"))).alias("head_size"))
         .where(F.col("length").isNotNull())
         .select("length", "head_size", F.array_join(F.col("parts.value"), MAGIC).alias("value"))

@@ -48,6 +48,28 @@ def test_archives_come_back_whole(spark):
         assert records[i].url == (f"http://h/{i}X:y" if i % 5 else None)
 
 
+def test_archives_split_otherwise_when_read_again(spark, monkeypatch):
+    """As when executors come or go between the reading of the candidates and that of the payloads."""
+    pages = {i: [f"page {i} " * 40, FALSE * 3 + f"{i}", f"{i}" + FALSE, FALSE * 40][i % 4] for i in range(80)}
+    table = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in pages.items()], "page_id long, url string, html string")
+    setting, old, plain = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes"), warc.reached
+
+    def reached(links):
+        found = plain(links)
+        spark.conf.set(setting, "7k")
+        return found
+
+    monkeypatch.setattr(warc, "reached", reached)
+    spark.conf.set(setting, "20k")
+    try:
+        path = shared_path(spark, "test")
+        warc.write_warc(table.coalesce(1), path, min_bytes=1 << 40)
+        records = [(r.page_id, bytes(r.payload)) for r in warc.read_warc(spark, path).collect()]
+    finally:
+        spark.conf.set(setting, old)
+    assert sorted(records) == sorted((i, h.encode()) for i, h in pages.items())
+
+
 def test_torn_archive_and_empty_table(spark):
     table = spark.createDataFrame([(1, "u", "a" * 50), (2, "u", "b" * 60)], "page_id long, url string, html string")
     path = shared_path(spark, "torn")
