@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -20,57 +21,90 @@ def vector_topk(df: DataFrame, query: list[float], k: int = 20, *, id_col: str =
     return df.withColumn("distance", distance).orderBy(F.asc_nulls_last("distance"), id_col).limit(k)
 
 
-def batch_topk(queries: DataFrame, df: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", with_self: bool = False, block: int = 4096) -> DataFrame:
+def batch_topk(queries: DataFrame, df: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", with_self: bool = False, block: int = 1024) -> DataFrame:
     """(query_id, rank, id, distance): the k nearest rows of ``df`` for every row of ``queries`` (same columns).
 
-    Queries go to the tasks in blocks of bounded size; each task returns k rows for a query and batch, so
-    that what is shuffled and ranked doesn't grow with the product of both sides.
+    Both sides are packed into blocks of at most ``block`` rows by the tasks, and every pair of blocks is
+    compared.  A task returns k rows for each query of the blocks it is given, however many pairs that are.
     """
-    rows = queries.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v")).where("v is not null")
-    parts: list[DataFrame] = []
-    held: list[tuple[int, list[float]]] = []
-
-    def flush() -> None:
-        ids, x = np.array([i for i, _ in held]), np.array([v for _, v in held])
-        parts.append(_nearest_to(df, ids, x, k, id_col, vec_col, with_self))
-        held.clear()
-
-    for r in rows.toLocalIterator():
-        held.append((r["i"], r["v"]))
-        if len(held) == block:
-            flush()
-    if held or not parts:
-        flush()
+    pairs = _vector_blocks(queries, "q", block, id_col, vec_col).crossJoin(_vector_blocks(df, "c", block, id_col, vec_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for i in range(b.num_rows):
+                name, (q_ids, q) = b.column("q_block")[i].as_py(), _unpacked(b, "q", i)
+                d, ids = _block_topk(q_ids, q, *_unpacked(b, "c", i), k, with_self)
+                if name in best:
+                    d, ids = _least(np.hstack([best[name][1], d]), np.hstack([best[name][2], ids]), k)
+                elif len(best) == 64:  # pairs come by query block, or there are few of those
+                    yield from (_hits(*x) for x in best.values())
+                    best.clear()
+                best[name] = q_ids.copy(), d, ids
+        yield from (_hits(*x) for x in best.values())
+
+    found = pairs.mapInArrow(run, "query_id long, id long, distance double")
     best = Window.partitionBy("query_id").orderBy("distance", "id")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def _nearest_to(df: DataFrame, ids: np.ndarray, x: np.ndarray, k: int, id_col: str, vec_col: str, with_self: bool) -> DataFrame:
-    box = df.sparkSession.sparkContext.broadcast((ids, x))
+def _vector_blocks(df: DataFrame, name: str, block: int, id_col: str, vec_col: str) -> DataFrame:
+    """(<name>_block, <name>_ids, <name>_vecs): ``df`` without null vectors, in blocks of at most ``block`` rows, components one after the other."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q = box.value
-        if not len(q_ids):
-            return
-        norm = np.sqrt((q * q).sum(axis=1))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        room = block
         for b in batches:
-            for i in range(0, b.num_rows, 8192):
-                part = b.slice(i, 8192)
-                c_ids = part.column(0).to_numpy()
-                c = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(c_ids), -1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    d = 1.0 - (q @ c.T) / (norm[:, None] * np.sqrt((c * c).sum(axis=1))[None, :])
-                d = np.round(np.where(np.isfinite(d), d, np.inf), 9)
-                if not with_self:
-                    d[q_ids[:, None] == c_ids[None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(c_ids, d.shape), d), axis=1)[:, :k]
-                best = np.take_along_axis(d, order, axis=1)
-                keep = np.isfinite(best)
-                out = (np.broadcast_to(q_ids[:, None], best.shape)[keep], c_ids[order][keep], best[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(z) for z in out], ["query_id", "id", "distance"])
-
-    rows = df.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")).where(F.col(vec_col).isNotNull())
-    return rows.mapInArrow(run, "query_id long, id long, distance double")
+            while b.num_rows:
+                held.append(b.slice(0, room))
+                b = b.slice(held[-1].num_rows)
+                room -= held[-1].num_rows
+                if not room:
+                    yield packed(held)
+                    held, room = [], block
+        if held:
+            yield packed(held)
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids = pa.concat_arrays([b.column(0) for b in held]).to_numpy(zero_copy_only=False)
+        x = pa.concat_arrays([b.column(1).flatten() for b in held]).to_numpy(zero_copy_only=False)
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())), pa.array([x], pa.list_(pa.float64()))], [f"{name}_block", f"{name}_ids", f"{name}_vecs"])
+
+    rows = df.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")).where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull())
+    return rows.mapInArrow(pack, f"{name}_block string, {name}_ids array<long>, {name}_vecs array<double>")
+
+
+def _unpacked(b: pa.RecordBatch, name: str, i: int) -> tuple[np.ndarray, np.ndarray]:
+    ids, x = (b.column(f"{name}_{c}")[i].values.to_numpy(zero_copy_only=False) for c in ("ids", "vecs"))
+    return ids, x.reshape(len(ids), -1)
+
+
+def _least(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, the k least distances with their ids; ties by id."""
+    if d.shape[1] > 4 * k:  # all that may be among them: up to the k-th distance
+        floor = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        width = int((d <= floor).sum(axis=1).max())
+        if width < d.shape[1]:
+            near = np.argpartition(d, width - 1, axis=1)[:, :width]
+            d, ids = np.take_along_axis(d, near, axis=1), np.take_along_axis(ids, near, axis=1)
+    order = np.lexsort((ids, d), axis=1)[:, :k]
+    return np.take_along_axis(d, order, axis=1), np.take_along_axis(ids, order, axis=1)
+
+
+def _block_topk(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, with_self: bool) -> tuple[np.ndarray, np.ndarray]:
+    norm = np.sqrt((q * q).sum(axis=1))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        d = 1.0 - (q @ c.T) / (norm[:, None] * np.sqrt((c * c).sum(axis=1))[None, :])
+    d = np.round(np.where(np.isfinite(d), d, np.inf), 9)
+    if not with_self:
+        d[q_ids[:, None] == c_ids[None, :]] = np.inf
+    return _least(d, np.broadcast_to(c_ids, d.shape), k)
+
+
+def _hits(q_ids: np.ndarray, d: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    keep = np.isfinite(d)
+    out = (np.broadcast_to(q_ids[:, None], d.shape)[keep], ids[keep], d[keep])
+    return pa.RecordBatch.from_arrays([pa.array(z) for z in out], ["query_id", "id", "distance"])
 
 
 def trigram_topk(df: DataFrame, query: str, k: int = 20, *, id_col: str = "doc_id", text_col: str = "text", floor: float = 0.05) -> DataFrame:

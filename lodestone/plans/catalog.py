@@ -153,9 +153,7 @@ def provenance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _results(spark: SparkSession, sf_dir: str, k: int = 8) -> tuple[DataFrame, DataFrame]:
     e = t(spark, sf_dir, "embeddings")
     asked = e.where("vec_id % 50 = 0")
-    peers = e.select(F.col("vec_id").alias("id"), "label")
-    relevant = asked.select(F.col("vec_id").alias("query_id"), "label").join(peers, "label").where("id <> query_id").select("query_id", "id")
-    return retrieval.batch_topk(asked, e, k).select("query_id", "rank", "id"), relevant
+    return retrieval.batch_topk(asked, e, k).select("query_id", "rank", "id"), e.select(F.col("vec_id").alias("id"), "label")
 
 
 _METRICS = _BATCH.format(where="q.vec_id % 50 = 0") + """,
@@ -168,27 +166,27 @@ _METRICS = _BATCH.format(where="q.vec_id % 50 = 0") + """,
 
 @query(_METRICS + " SELECT query_id, hit::INTEGER AS hit FROM m")
 def eval_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.query_metrics(*_results(spark, sf_dir), 8).select("query_id", "hit")
+    return evaluation.label_metrics(*_results(spark, sf_dir), 8).select("query_id", "hit")
 
 
 @query(_METRICS + " SELECT query_id, round(precision, 6) AS precision, round(recall, 6) AS recall FROM m")
 def eval_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.query_metrics(*_results(spark, sf_dir), 8).select("query_id", r6("precision").alias("precision"), r6("recall").alias("recall"))
+    return evaluation.label_metrics(*_results(spark, sf_dir), 8).select("query_id", r6("precision").alias("precision"), r6("recall").alias("recall"))
 
 
 @query(_METRICS + " SELECT query_id, round(mrr, 6) AS mrr FROM m")
 def eval_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.query_metrics(*_results(spark, sf_dir), 8).select("query_id", r6("mrr").alias("mrr"))
+    return evaluation.label_metrics(*_results(spark, sf_dir), 8).select("query_id", r6("mrr").alias("mrr"))
 
 
 @query(_METRICS + " SELECT query_id, round(ap, 6) AS ap FROM m")
 def eval_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.query_metrics(*_results(spark, sf_dir), 8).select("query_id", r6("ap").alias("ap"))
+    return evaluation.label_metrics(*_results(spark, sf_dir), 8).select("query_id", r6("ap").alias("ap"))
 
 
 @query(_METRICS + ' SELECT count(*) AS queries, round(avg(hit), 4) AS hit_rate, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(mrr), 4) AS mrr, round(avg(ap), 4) AS "map" FROM m')
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.summary(evaluation.query_metrics(*_results(spark, sf_dir), 8))
+    return evaluation.summary(evaluation.label_metrics(*_results(spark, sf_dir), 8))
 
 
 @query("""SELECT lang, count(*) AS rows, count(quality) FILTER (toxic IS NOT NULL) AS scored, round(avg(quality) FILTER (toxic IS NOT NULL), 4) AS avg_quality, round(avg(toxic) FILTER (quality IS NOT NULL), 4) AS avg_toxic

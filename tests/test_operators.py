@@ -4,6 +4,7 @@ import hashlib
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -82,6 +83,28 @@ def test_metrics(spark):
     assert [(rows[q].hit, rows[q].recall, rows[q].mrr, rows[q].ap) for q in (2, 3)] == [(0, 0, 0, 0)] * 2
 
 
+def test_batch_topk_keeps_queries_off_the_driver(spark, monkeypatch):
+    x = np.random.default_rng(0).integers(-2, 3, (90, 4)).astype(float)  # many ties, and zero vectors
+    x[7] = 0.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "vec_id long, embedding array<double>").repartition(3).cache()
+    for name in ("toLocalIterator", "collect", "toPandas", "toArrow"):
+        monkeypatch.setattr(type(df), name, lambda *a, **b: pytest.fail("rows went through the driver"))
+    found = retrieval.batch_topk(df, df, 3, block=8)
+    monkeypatch.undo()
+    with np.errstate(invalid="ignore", divide="ignore"):
+        d = np.round(1 - (x @ x.T) / np.sqrt((x * x).sum(1)[:, None] * (x * x).sum(1)[None, :]), 9)
+    want = {(q, r + 1, i) for q in range(90) for r, (_, i) in enumerate(sorted((d[q, i], i) for i in range(90) if i != q and np.isfinite(d[q, i]))[:3])}
+    assert {(r.query_id, r["rank"], r.id) for r in found.collect()} == want
+
+
+def test_label_metrics_equal_those_of_pairs(spark):
+    labels = [(i, None if i == 9 else i % 3) for i in range(20)] + [(20, 7)]
+    results = spark.createDataFrame([(q, r, (q * 5 + r * 2) % 21) for q in (0, 3, 9, 11, 20) for r in range(1, 6)], "query_id long, rank int, id long").where("id <> query_id")
+    pairs = spark.createDataFrame([(a, b) for a, x in labels for b, y in labels if a != b and x is not None and x == y], "query_id long, id long")
+    got = evaluation.label_metrics(results, spark.createDataFrame(labels, "id long, label long"), 4)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, evaluation.query_metrics(results, pairs, 4).collect()))
+
+
 def test_judge_averages_need_whole_rows(spark):
     df = spark.createDataFrame([(2, 1), (1, None), (3, 1), (0, 0)], "a int, b int")
     r = evaluation.judge_averages(df, ["a", "b"]).first()
