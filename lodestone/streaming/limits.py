@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import heapq
+import itertools
+import pickle
+import tempfile
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -28,32 +34,76 @@ def spend(state: tuple[float, float, float] | None, t: float, cost: float, capac
 
 
 def token_bucket(events: DataFrame, key: str, t: str, order: str, cost: str, capacity: float, rate: float, ttl: float = 86_400.0) -> DataFrame:
-    """(key, order, allowed, tokens) for each of ``events``, whose column ``t`` holds seconds; ties in time go by ``order``."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([t, order])
-        state, out = None, []
-        for k, o, at, c in zip(pdf[key], pdf[order], pdf[t], pdf[cost], strict=True):
-            ok, state = spend(state, at, c, capacity, rate, ttl)
-            out.append((k, o, ok, state[0]))
-        return pd.DataFrame(out, columns=[key, order, "allowed", "tokens"])
+    """(key, order, allowed, tokens) for each of ``events``, whose column ``t`` holds seconds; ties in time go by ``order``.
+
+    Tasks walk their sorted rows and carry the state of one key, so that a key may have more rows than memory holds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for b in batches:
+            allowed, tokens = [], []
+            at, costs = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))  # null as NaN
+            for k, x, c in zip(b.column(0).to_pylist(), at.tolist(), costs.tolist(), strict=True):
+                if k != now and (k == k or now == now):  # NaN is one key
+                    now, state = k, None
+                ok, state = spend(state, x, c, capacity, rate, ttl)
+                allowed.append(ok)
+                tokens.append(state[0])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(allowed, pa.bool_()), pa.array(tokens, pa.float64())], [key, order, "allowed", "tokens"])
 
     kinds = dict(events.dtypes)
-    return events.select(key, t, order, cost).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean, tokens double")
+    rows = events.select(key, order, F.col(t).cast("double").alias("_t"), F.col(cost).cast("double").alias("_cost"))
+    walk = rows.repartition(key).sortWithinPartitions(key, F.asc_nulls_last("_t"), F.asc_nulls_last(order))
+    return walk.mapInArrow(run, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean, tokens double")
+
+
+def _in_order(batches: Iterator[pd.DataFrame], by: list[str], run_rows: int = 200_000, piece: int = 2_000) -> Iterator[pd.DataFrame]:
+    """The rows of ``batches`` by ``by``, nulls last, in frames of bounded size; what exceeds ``run_rows`` is sorted through files."""
+    with contextlib.ExitStack() as files:
+        runs: list[Any] = []
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            held.append(b)
+            if sum(map(len, held)) >= run_rows:
+                runs.append(files.enter_context(tempfile.TemporaryFile()))
+                pdf = pd.concat(held).sort_values(by, kind="stable")
+                for i in range(0, len(pdf), piece):
+                    pickle.dump(pdf.iloc[i : i + piece], runs[-1])
+                runs[-1].seek(0)
+                held = []
+        last = [pd.concat(held).sort_values(by, kind="stable")] if held else []
+        if not runs:
+            yield from last
+            return
+
+        def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[Any, ...]]:
+            for pdf in frames:
+                keys = [[(x is None or x != x, 0 if x is None or x != x else x) for x in pdf[c].tolist()] for c in by]
+                yield from zip(zip(*keys, strict=True), pdf.itertuples(index=False, name=None), strict=True)
+
+        def pieces(file: Any) -> Iterator[pd.DataFrame]:
+            with contextlib.suppress(EOFError):
+                while True:
+                    yield pickle.load(file)
+
+        merged = heapq.merge(*[rows(pieces(f)) for f in runs], rows(iter(last)), key=lambda x: x[0])
+        while some := list(itertools.islice(merged, piece)):
+            yield pd.DataFrame([x for _, x in some], columns=b.columns)
 
 
 def token_bucket_stream(events: DataFrame, key: str, t: str, order: str, cost: str, capacity: float, rate: float, ttl: float = 86_400.0) -> DataFrame:
-    """token_bucket() over a stream; each key's state is (tokens, time, expiry)."""
+    """token_bucket() over a stream; each key's state is (tokens, time, expiry).  Rows of a key that come together are put in order through files when they are many."""
 
     def run(k: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values([t, order])
-        out = []
-        for o, at, c in zip(pdf[order], pdf[t], pdf[cost], strict=True):
-            ok, now = spend(now, at, c, capacity, rate, ttl)
-            out.append((k[0], o, ok, now[0]))
-        state.update(now)
-        yield pd.DataFrame(out, columns=[key, order, "allowed", "tokens"])
+        for pdf in _in_order(batches, [t, order]):
+            out = []
+            for o, at, c in zip(pdf[order], pdf[t], pdf[cost], strict=True):
+                ok, now = spend(now, at, c, capacity, rate, ttl)
+                out.append((k[0], o, ok, now[0]))
+            state.update(now)
+            yield pd.DataFrame(out, columns=[key, order, "allowed", "tokens"])
 
     kinds = dict(events.dtypes)
     return events.select(key, t, order, cost).groupBy(key).applyInPandasWithState(

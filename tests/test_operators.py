@@ -5,6 +5,7 @@ import io
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -196,6 +197,36 @@ def test_token_bucket_rules():
     assert limits.spend(s, 106.0, 10.0, 10.0, 0.0, 100.0)[0]  # expired: full again
 
 
+def plain_bucket(rows, *limit):
+    state, out = {}, []
+    for k, t, o, c in sorted(rows, key=lambda r: (r[1], r[2])):
+        ok, state[k] = limits.spend(state.get(k), t, c, *limit)
+        out.append((k, o, ok, state[k][0]))
+    return sorted(out)
+
+
+def test_token_bucket_holds_no_whole_group(spark, monkeypatch):
+    rows = [(i % 7 if i % 3 else 0, float(i * 37 % 500), i, 1.0 + i % 5) for i in range(3000)]
+    df = spark.createDataFrame(rows, "user long, at double, event long, cost double").repartition(3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        out = limits.token_bucket(df, "user", "at", "event", "cost", 20.0, 0.5, 1e3)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(tuple, out.collect())) == plain_bucket(rows, 20.0, 0.5, 1e3)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_rows_of_a_group_are_put_in_order_in_bounded_frames():
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"k": 1, "t": rng.integers(0, 50, 1000).astype(float), "o": rng.permutation(1000)})
+    pdf.loc[::97, "t"] = np.nan
+    got = list(limits._in_order((pdf.iloc[i : i + 30] for i in range(0, 1000, 30)), ["t", "o"], run_rows=100, piece=20))
+    assert max(map(len, got)) <= 20
+    pd.testing.assert_frame_equal(pd.concat(got, ignore_index=True), pdf.sort_values(["t", "o"], ignore_index=True))
+
+
 def test_extractors():
     got = imports.js_imports("import a, { b as c } from './m'\nconst { x: y } = require(\"n\")\nimport 's'\nawait import('d')")
     assert [(g[0], g[2], g[3], g[5]) for g in got] == [("./m", [("default", "a"), ("b", "c")], False, False), ("s", [], True, False), ("n", [("x", "y")], False, False), ("d", [], False, True)]
