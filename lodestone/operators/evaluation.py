@@ -11,29 +11,26 @@ def query_metrics(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
 
     precision divides by k, not by what was returned; recall, mrr and ap are 0 without relevant ids.
     """
-    total = relevant.distinct().groupBy("query_id").agg(F.count("*").alias("n_relevant"))
-    return _metrics(results, relevant.distinct(), total, k)
+    top = results.where(F.col("rank") <= k).join(relevant.distinct().withColumn("hit", F.lit(1)), ["query_id", "id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    return _metrics(top, ["query_id"], relevant.distinct().groupBy("query_id").agg(F.count("*").alias("n_relevant")), k)
 
 
 def label_metrics(results: DataFrame, labels: DataFrame, k: int) -> DataFrame:
-    """query_metrics() where all other ids of a query's label in ``labels`` (id, label), one label an id, are relevant; their pairs are never built."""
-    labels = labels.where("label is not null").distinct()
-    mine = labels.select(F.col("id").alias("query_id"), "label")
-    asked = results.select("query_id").distinct().join(mine, "query_id")
-    hits = results.where((F.col("rank") <= k) & (F.col("id") != F.col("query_id"))).select("query_id", "id").distinct().join(mine, "query_id").join(labels, ["id", "label"])
-    total = asked.join(labels.groupBy("label").agg((F.count("*") - 1).alias("n_relevant")), "label").select("query_id", "n_relevant")
-    return _metrics(results, hits.select("query_id", "id"), total, k)
-
-
-def _metrics(results: DataFrame, hits: DataFrame, total: DataFrame, k: int) -> DataFrame:
-    """query_metrics() from ``hits`` (query_id, id), which holds at least the relevant ones of the results once each, and ``total`` (query_id, n_relevant)."""
-    top = results.where(F.col("rank") <= k).join(hits.withColumn("hit", F.lit(1)), ["query_id", "id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    """query_metrics() where all other ids of a query's label in ``labels`` (id, label) are relevant; their pairs are never built.  An id has one label: the least."""
+    labels = labels.groupBy("id").agg(F.min("label").alias("label"))
+    top = results.where(F.col("rank") <= k).join(labels.select(F.col("id").alias("query_id"), "label"), "query_id", "left").join(labels.select("id", F.col("label").alias("other")), "id", "left")
+    hit = F.coalesce((F.col("label") == F.col("other")) & (F.col("id") != F.col("query_id")), F.lit(False)).cast("int")
+    return _metrics(top.withColumn("hit", hit), ["query_id", "label"], labels.groupBy("label").agg((F.count("*") - 1).alias("n_relevant")), k)
+
+
+def _metrics(top: DataFrame, by: list[str], total: DataFrame, k: int) -> DataFrame:
+    """query_metrics() of the queries ``by`` from their results ``top`` (by..., rank, hit), and ``total`` (the last of by, n_relevant)."""
     upto = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    per = top.withColumn("hits", F.sum("hit").over(upto)).groupBy("query_id").agg(
+    per = top.withColumn("hits", F.sum("hit").over(upto)).groupBy(*by).agg(
         F.sum("hit").alias("n_hit"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"), F.sum(F.col("hit") * F.col("hits") / F.col("rank")).alias("gain"),
     )
     share = lambda x: F.coalesce(F.try_divide(x.cast("double"), F.col("n_relevant").cast("double")), F.lit(0.0))
-    return per.join(total, "query_id", "left").select(
+    return per.join(total, by[-1], "left").select(
         "query_id", F.when(F.col("n_hit") > 0, 1).otherwise(0).alias("hit"), (F.col("n_hit") / float(k)).alias("precision"), share(F.col("n_hit")).alias("recall"),
         F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), share(F.col("gain")).alias("ap"),
     )
