@@ -16,6 +16,30 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+# The usual English stop words of full-text search.
+STOP_WORDS = (
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
+    "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while "
+    "of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there "
+    "when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now"
+).split()
+#: (pattern, replacement) in order: plurals, then -ed and -ing after a vowel, then a final y or e.  A light stemmer, the same in any SQL.
+STEMS = (("sses$", "ss"), ("ies$", "i"), ("([^s])s$", "$1"), ("([aeiouy].*)(?:ed|ing)$", "$1"), ("y$", "i"), ("([a-z]{2})e$", "$1"))
+
+
+def stem(term: Column) -> Column:
+    """The stem of a lower-cased English term of four letters or more."""
+    out = term
+    for pattern, to in STEMS:
+        out = F.regexp_replace(out, pattern, to)
+    return F.when(F.length(term) > 3, out).otherwise(term)
+
+
+def english(text: Column) -> Column:
+    """terms() without stop words, as stems."""
+    return F.transform(F.filter(terms(text), lambda x: ~x.isin(*STOP_WORDS)), stem)
+
+
 def token_count(text: Column) -> Column:
     """Default token estimate: runs of letters, runs of digits, and single other marks.  Additive over words."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]")), F.lit(0))
@@ -26,9 +50,10 @@ def word_count(text: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct three-letter grams of each term, padded by two spaces before and one after."""
-    grams = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.concat(F.lit("  "), w, F.lit(" ")).substr(i, F.lit(3)))
-    return F.array_distinct(F.flatten(F.transform(terms(text), grams)))
+    """Distinct three-letter grams of each term, padded by two spaces before and one after.  Repeated terms are looked at once."""
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: w.substr(i, F.lit(3)))
+    padded = F.transform(F.array_distinct(terms(text)), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    return F.array_distinct(F.flatten(F.transform(padded, grams)))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -40,6 +65,12 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return overlap(trigrams(a), trigrams(b))
 
 
+def overlap_with(grams: Column, wanted: list[str]) -> Column:
+    """overlap() of a distinct array and a list of distinct texts that is known when the plan is made."""
+    both = F.size(F.array_intersect(grams, F.array(*map(F.lit, wanted)).cast("array<string>")))
+    return F.coalesce(F.try_divide(both.cast("double"), (F.size(grams) + len(wanted) - both).cast("double")), F.lit(0.0))
+
+
 def clean(text: Column) -> Column:
     """Without NUL characters, and with no more than one blank line in a row."""
     return F.regexp_replace(F.translate(text, "\0", ""), "\n{3,}", "\n\n")

@@ -33,9 +33,14 @@ def insert_absent(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
     return table.unionByName(new.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti"))
 
 
-def upsert(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The next snapshot: ``new`` in place of the rows with the same keys.  Write it to a new folder, then switch."""
-    return new.unionByName(table.join(new.select(*keys), keys, "left_anti"))
+def upsert(table: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """The next snapshot: ``new`` in place of the rows with the same keys.  Write it to a new folder, then switch.
+
+    Where ``new`` holds a key several times, the first by ``order`` counts; without an order, the largest by the other columns.
+    """
+    order = order or [F.desc_nulls_last(c) for c, kind in new.dtypes if c not in keys and not kind.startswith("map")]
+    one = latest(new, keys, order or [F.lit(1)]).drop("recency") if set(new.columns) - set(keys) else new.distinct()
+    return one.unionByName(table.join(new.select(*keys), keys, "left_anti"))
 
 
 def latest_by_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 def query_metrics(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """(query_id, hit, precision, recall, mrr, ap) of ranked ``results`` (query_id, rank, id) against ``relevant`` (query_id, id).
 
-    precision divides by k, not by what was returned; recall, mrr and ap are 0 without relevant ids.
+    precision divides by k, not by what was returned; recall, mrr and ap are 0 without relevant ids.  A query with relevant
+    ids but no result counts with 0 in everything.
     """
     top = results.where(F.col("rank") <= k).join(relevant.distinct().withColumn("hit", F.lit(1)), ["query_id", "id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    return _metrics(top, ["query_id"], relevant.distinct().groupBy("query_id").agg(F.count("*").alias("n_relevant")), k)
+    asked = relevant.select("query_id").distinct().join(results.select("query_id"), "query_id", "left_anti").select("query_id", *[F.lit(None).cast(top.schema[c].dataType).alias(c) for c in top.columns if c not in ("query_id", "hit")], F.lit(0).alias("hit"))
+    return _metrics(top.unionByName(asked), ["query_id"], relevant.distinct().groupBy("query_id").agg(F.count("*").alias("n_relevant")), k)
 
 
 def label_metrics(results: DataFrame, labels: DataFrame, k: int) -> DataFrame:

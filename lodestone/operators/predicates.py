@@ -35,8 +35,12 @@ def coerce(value: Any, kind: T.DataType) -> Any:
     return value
 
 
+def _fractional(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.FloatType, T.DoubleType))
+
+
 def _missing(c: Column, kind: T.DataType) -> Column:
-    return c.isNull() | F.isnan(c) if isinstance(kind, (T.FloatType, T.DoubleType)) else c.isNull()
+    return c.isNull() | F.isnan(c) if _fractional(kind) else c.isNull()
 
 
 _OPERATORS: dict[str, Callable[[Column, Any, T.DataType], Column]] = {
@@ -55,7 +59,7 @@ _OPERATORS: dict[str, Callable[[Column, Any, T.DataType], Column]] = {
 
 
 def condition(df: DataFrame, spec: dict[str, Any]) -> Column:
-    """The Column of one {column, operator, value}; ValueError for what the language doesn't know."""
+    """The Column of one {column, operator, value}: true where it holds, false or null elsewhere; ValueError for what the language doesn't know."""
     name, op = spec.get("column"), spec.get("operator")
     if name not in df.columns:
         raise ValueError(f"unknown column {name!r}")
@@ -70,7 +74,9 @@ def condition(df: DataFrame, spec: dict[str, Any]) -> Column:
         raise ValueError("between needs two values")
     kind = df.schema[name].dataType
     value = value if op == "contains" else coerce(value, kind)
-    return F.coalesce(_OPERATORS[op](F.col(name), value, kind), F.lit(False))
+    found = _OPERATORS[op](F.col(name), value, kind)
+    # Spark ranks NaN above infinity; here it is above nothing.  Unlike isnan(), the comparison reaches the scan.
+    return found & (F.col(name) <= float("inf")) if op in ("gt", "gte") and _fractional(kind) else found
 
 
 def compile_filter(df: DataFrame, conditions: list[dict[str, Any]], combine: str = "and") -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vector as V
 
+# How many chunks the providers' contexts take.
+PROVIDER_LIMITS = {"groq": 8, "google": 20}
+DEFAULT_LIMIT = 30
+
 
 def vector_topk(df: DataFrame, query: list[float], k: int = 20, *, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k rows nearest to ``query`` with their cosine distance; null distances come last, ties by id."""
@@ -108,17 +112,47 @@ def _hits(q_ids: np.ndarray, d: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
 
 
 def trigram_topk(df: DataFrame, query: str, k: int = 20, *, id_col: str = "doc_id", text_col: str = "text", floor: float = 0.05) -> DataFrame:
-    """The k rows whose trigrams are most similar to ``query``'s, above ``floor``; ties by id."""
-    similarity = F.round(T.trigram_similarity(F.col(text_col), F.lit(query)), 9)
-    return df.withColumn("similarity", similarity).where(F.col("similarity") > floor).orderBy(F.desc("similarity"), id_col).limit(k)
+    """The k rows whose trigrams are most similar to ``query``'s, above ``floor``; ties by id.
+
+    The query's grams are worked out once, by the same expression as the rows', and are a literal of the plan.  The
+    floor is applied to the k best, so that no row's grams are made twice.
+    """
+    wanted = df.sparkSession.range(1).select(T.trigrams(F.lit(query))).first()[0] or []
+    similarity = F.round(T.overlap_with(T.trigrams(F.col(text_col)), wanted), 9)
+    return df.withColumn("similarity", similarity).orderBy(F.desc_nulls_last("similarity"), id_col).limit(k).where(F.col("similarity") > floor)
+
+
+def trigram_index(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(gram, id, n_grams): an inverted index of ``df`` by hashed trigram, to be written partitioned or bucketed by gram."""
+    grams = df.select(F.col(id_col).alias("id"), T.trigrams(F.col(text_col)).alias("grams")).where(F.size("grams") > 0)
+    return grams.select("id", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram")).select(F.xxhash64("gram").alias("gram"), "id", "n_grams")
+
 
+def trigram_search(index: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str = "query_id", text_col: str = "text", floor: float = 0.05) -> DataFrame:
+    """(query_id, rank, id, similarity): trigram_topk() of every row of ``queries`` over a trigram_index(), by one join on grams.
 
-def fulltext_topk(df: DataFrame, query: str, k: int = 20, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows that hold every term of ``query``, by the share of their terms that are query terms."""
-    have, want = T.terms(F.col(text_col)), F.array_distinct(T.terms(F.lit(query)))
-    hits = F.size(F.filter(have, lambda x: F.array_contains(want, x)))
-    found = df.where(F.size(F.array_except(want, have)) == 0).withColumn("rank_score", F.round(F.try_divide(hits.cast("double"), F.size(have).cast("double")), 9))
-    return found.where(F.col("rank_score") > 0).orderBy(F.desc("rank_score"), id_col).limit(k)
+    Postings are counted by (query, id) before they are ranked; a row that shares no gram with a query is never looked at.
+    """
+    asked = trigram_index(queries, id_col=id_col, text_col=text_col).select("gram", F.col("id").alias("query_id"), F.col("n_grams").alias("n_query"))
+    shared = index.join(asked, "gram").groupBy("query_id", "id", "n_grams", "n_query").agg(F.count("*").alias("both"))
+    scored = shared.select("query_id", "id", F.round(F.col("both") / (F.col("n_grams") + F.col("n_query") - F.col("both")), 9).alias("similarity")).where(F.col("similarity") > floor)
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
+
+
+def fulltext_topk(df: DataFrame, query: str, k: int = 20, *, id_col: str = "doc_id", text_col: str = "text", lexemes: Callable[[Column], Column] = T.terms) -> DataFrame:
+    """Rows that hold every lexeme of ``query``, by the share of their lexemes that are the query's; none for a query without lexemes.
+
+    lexemes: how a text is normalised, T.terms() or T.english(); the query's lexemes are worked out once, by the same expression.
+    """
+    wanted = df.sparkSession.range(1).select(F.array_distinct(lexemes(F.lit(query)))).first()[0] or []
+    if not wanted:
+        return df.withColumn("rank_score", F.lit(0.0)).limit(0)
+    want = F.array(*map(F.lit, wanted))
+    # one array for each row: its lexemes that are the query's, and the number of all
+    score = lambda have: F.when(F.size(F.array_intersect(want, have)) == len(wanted), F.size(F.filter(have, lambda x: x.isin(*wanted))) / F.size(have).cast("double"))
+    rank = F.round(F.transform(F.array(lexemes(F.col(text_col))), score)[0], 9)
+    return df.withColumn("rank_score", rank).orderBy(F.desc_nulls_last("rank_score"), id_col).limit(k).where(F.col("rank_score") > 0)
 
 
 def ranked(df: DataFrame, list_no: int, order: list[Column], id_col: str) -> DataFrame:
@@ -135,17 +169,52 @@ def top_fused(fused: DataFrame, k: int) -> DataFrame:
     return fused.orderBy(F.desc("rrf"), "first", "id").limit(k)
 
 
-def hybrid(corpus: DataFrame, texts: list[str], vectors: list[list[float]], *, top: int = 20, limit: int = 20, id_col: str = "doc_id", text_col: str = "text", vec_col: str = "embedding") -> DataFrame:
-    """(id, rrf): a vector list and a trigram list for each of the query's wordings, fused.  Other columns are joined after ranking."""
+def hybrid(texts_of: DataFrame, vectors_of: DataFrame, texts: list[str], vectors: list[list[float]], *, top: int = 20, limit: int = 20, text_id: str = "doc_id", vec_id: str = "vec_id", text_col: str = "text", vec_col: str = "embedding") -> DataFrame:
+    """(id, rrf, first): a vector list and a trigram list for each of the query's wordings, fused.  Other columns are joined after ranking.
+
+    Each list is taken from its whole table, so that a text without a vector can be found by its letters, and a vector without a text too.
+    """
     lists = []
     for i, (t, v) in enumerate(zip(texts, vectors, strict=True)):
-        near = vector_topk(corpus.select(id_col, vec_col), v, limit, id_col=id_col, vec_col=vec_col)
-        like = trigram_topk(corpus.select(id_col, text_col), t, limit, id_col=id_col, text_col=text_col)
-        lists += [ranked(near, 2 * i, [F.asc_nulls_last("distance"), F.col(id_col)], id_col), ranked(like, 2 * i + 1, [F.desc("similarity"), F.col(id_col)], id_col)]
+        near = vector_topk(vectors_of.select(vec_id, vec_col), v, limit, id_col=vec_id, vec_col=vec_col)
+        like = trigram_topk(texts_of.select(text_id, text_col), t, limit, id_col=text_id, text_col=text_col)
+        lists += [ranked(near, 2 * i, [F.asc_nulls_last("distance"), F.col(vec_id)], vec_id), ranked(like, 2 * i + 1, [F.desc("similarity"), F.col(text_id)], text_id)]
     return top_fused(fuse(reduce(DataFrame.unionByName, lists)), top)
 
 
-def context(hits: DataFrame, chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row: the non-empty texts of ``hits`` (id, place) in order, joined by blank lines.  Hits are a top-k list."""
-    rows = hits.join(chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("chunk")), "id").where(F.trim("chunk") != "")
+def first_seen(lists: list[DataFrame], id_col: str, fields: list[str]) -> DataFrame:
+    """(id_col, fields...): for every id of the ranked ``lists`` (rank, id_col, fields...), the record of the first list that holds it, at its best rank."""
+    rows = reduce(DataFrame.unionByName, [x.select(id_col, F.struct(F.lit(i).alias("list_no"), "rank").alias("_place"), F.struct(*fields).alias("_record")) for i, x in enumerate(lists)])
+    return rows.groupBy(id_col).agg(F.min_by("_record", "_place").alias("_record")).select(id_col, "_record.*")
+
+
+def limit_for(provider: str | None, wanted: int | None = None) -> int:
+    """How many chunks a provider's context takes; the caller's own number counts from 3 on."""
+    return wanted if wanted is not None and wanted >= 3 else PROVIDER_LIMITS.get((provider or "").lower(), DEFAULT_LIMIT)
+
+
+def rerank(hits: DataFrame, score: Column, k: int, *, id_col: str = "id", by: tuple[str, ...] = ()) -> DataFrame:
+    """The k best of ``hits`` (for each of ``by``) by a cross-encoder's raw ``score``, with rerank_score, its sigmoid to four places; ties by id, null scores last."""
+    scored = hits.withColumn("_raw", score.cast("double"))
+    shown = F.round(1.0 / (1.0 + F.exp(-F.col("_raw"))), 4)
+    order = [F.desc_nulls_last("_raw"), F.col(id_col)]
+    if by:
+        return scored.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= k).withColumn("rerank_score", shown).drop("_raw", "_n")
+    return scored.orderBy(*order).limit(k).withColumn("rerank_score", shown).drop("_raw")
+
+
+def context(hits: DataFrame, chunks: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, chunk_json: str | None = None, images: DataFrame | None = None) -> DataFrame:
+    """One row: the non-empty texts of ``hits`` (id, place) in order, joined by blank lines.  Hits are a top-k list.
+
+    chunk_json: a struct column of ``chunks`` that is shown as JSON in place of the text where it is set.  images: (id, url)
+    rows; the JSON of a chunk that has some lists them as actual_image_urls.
+    """
+    rows = hits.join(chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("chunk"), *([F.col(chunk_json).alias("_json")] if chunk_json else [])), "id")
+    if chunk_json:
+        shown = F.to_json("_json")
+        if images is not None:
+            rows = rows.join(images.join(hits.select("id"), "id", "left_semi").groupBy("id").agg(F.sort_array(F.collect_set("url")).alias("_urls")), "id", "left")
+            shown = F.when(F.col("_urls").isNull(), shown).otherwise(F.to_json(F.col("_json").withField("actual_image_urls", F.col("_urls"))))
+        rows = rows.withColumn("chunk", F.coalesce(shown, F.col("chunk")))
+    rows = rows.where(F.trim("chunk") != "")
     return rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "chunk"))), lambda x: x["chunk"]), "\n\n").alias("context"))

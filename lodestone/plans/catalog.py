@@ -38,10 +38,6 @@ def text_of(spark: SparkSession, sf_dir: str, doc_id: int) -> str:
     return t(spark, sf_dir, "documents").where(F.col("doc_id") == doc_id).select("text").first()[0]
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "documents").join(t(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id")
-
-
 def r6(c: str | Column) -> Column:
     return F.round(c, 6)
 
@@ -53,13 +49,13 @@ _GRAMS = "list_distinct(flatten(list_transform(" + _TERMS + ", lambda w: list_tr
 _SIM = "len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))"
 
 
-def _near(doc: int, source: str = "(SELECT doc_id AS id, embedding FROM documents JOIN embeddings ON doc_id = vec_id)") -> str:
+def _near(doc: int, source: str = "(SELECT vec_id AS id, embedding FROM embeddings)") -> str:
     return f"SELECT id, row_number() OVER (ORDER BY d, id) AS rank FROM (SELECT id, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {doc})), 9) AS d FROM {source}) ORDER BY d, id LIMIT 20"
 
 
 def _like(doc: int) -> str:
     grams = _GRAMS.format("text")
-    return f"SELECT id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM (SELECT id, round({_SIM}, 9) AS s FROM (SELECT doc_id AS id, {grams} AS a, (SELECT {grams} FROM documents WHERE doc_id = {doc}) AS b FROM documents JOIN embeddings ON doc_id = vec_id)) WHERE s > 0.05 ORDER BY s DESC, id LIMIT 20"
+    return f"SELECT id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM (SELECT id, round({_SIM}, 9) AS s FROM (SELECT doc_id AS id, {grams} AS a, (SELECT {grams} FROM documents WHERE doc_id = {doc}) AS b FROM documents)) WHERE s > 0.05 ORDER BY s DESC, id LIMIT 20"
 
 
 def _fused(*docs: int, top: int = 20) -> str:
@@ -113,7 +109,7 @@ def fulltext_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, *docs: int) -> DataFrame:
-    return retrieval.hybrid(corpus(spark, sf_dir), [text_of(spark, sf_dir, d) for d in docs], [vector_of(spark, sf_dir, d) for d in docs])
+    return retrieval.hybrid(t(spark, sf_dir, "documents"), t(spark, sf_dir, "embeddings"), [text_of(spark, sf_dir, d) for d in docs], [vector_of(spark, sf_dir, d) for d in docs])
 
 
 @query(f"SELECT doc_id, source, round(rrf, 6) AS rrf FROM ({_fused(7)}) JOIN documents ON doc_id = id")
@@ -132,6 +128,40 @@ def multi_query_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir, 7, 11, 23).select("id", r6("rrf").alias("rrf"), F.col("first").cast("long").alias("first"))
 
 
+@query(f"SELECT id, source, rerank_score FROM (SELECT id, source, round(1 / (1 + exp(-n_chars / 100.0)), 4) AS rerank_score FROM ({_fused(7)}) JOIN documents ON doc_id = id ORDER BY n_chars DESC NULLS LAST, id LIMIT 8)")
+def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cross-encoder is a column here: longer documents first."""
+    hits = _hybrid(spark, sf_dir, 7).join(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars"), "id")
+    return retrieval.rerank(hits, F.col("n_chars") / 100.0, retrieval.limit_for("groq")).select("id", "source", "rerank_score")
+
+
+@query(f"""WITH g AS (SELECT doc_id, unnest({_GRAMS.format("text")}) AS gram FROM documents), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+                p AS (SELECT q.doc_id AS query_id, d.doc_id AS id, count(*) AS n_both FROM g q JOIN g d USING (gram) WHERE q.doc_id % 500 = 7 GROUP BY ALL),
+                s AS (SELECT query_id, id, round(n_both / (a.n + b.n - n_both), 9) AS s FROM p JOIN n a ON a.doc_id = query_id JOIN n b ON b.doc_id = id),
+                r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s WHERE s > 0.05)
+           SELECT query_id, rank::INTEGER AS rank, id, round(s, 6) AS similarity FROM r WHERE rank <= 20""")
+def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several queries at once over the inverted index: the texts of documents whose id leaves 7 when divided by 500."""
+    d = t(spark, sf_dir, "documents").select("doc_id", "text")
+    found = retrieval.trigram_search(retrieval.trigram_index(d), d.where("doc_id % 500 = 7").withColumnRenamed("doc_id", "query_id"))
+    return found.withColumn("similarity", r6("similarity"))
+
+
+_ENGLISH = "list_transform(list_filter(" + _TERMS.format("text") + ", lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ")), lambda x: CASE WHEN length(x) > 3 THEN "
+_STEM = "x"
+for _pattern, _to in X.STEMS:
+    _STEM = f"regexp_replace({_STEM}, '{_pattern}', '{_to.replace('$', chr(92))}')"
+_ENGLISH += _STEM + " ELSE x END)"
+
+
+@query(f"""WITH q AS (SELECT list_distinct({_ENGLISH}) AS q FROM (SELECT 'This tion the thers' AS text)), d AS (SELECT doc_id, {_ENGLISH} AS w FROM documents)
+           SELECT doc_id, round(s, 6) AS rank_score FROM (SELECT doc_id, round(len(list_filter(w, lambda x: list_contains(q, x))) / len(w), 9) AS s FROM d, q WHERE list_has_all(w, q)) WHERE s > 0 ORDER BY s DESC, doc_id LIMIT 20""")
+def fulltext_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full text with stop words and stems."""
+    found = retrieval.fulltext_topk(t(spark, sf_dir, "documents").select("doc_id", "text"), "This tion the thers", lexemes=X.english)
+    return found.select("doc_id", r6("rank_score").alias("rank_score"))
+
+
 @query(f"SELECT string_agg(text, chr(10) || chr(10) ORDER BY place) AS context FROM (SELECT *, row_number() OVER (ORDER BY rrf DESC, first, id) AS place FROM ({_fused(7)})) JOIN documents ON doc_id = id WHERE trim(text) <> ''")
 def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _hybrid(spark, sf_dir, 7).withColumn("place", F.row_number().over(Window.orderBy(F.desc("rrf"), "first", "id")))
@@ -261,15 +291,8 @@ def section_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.section_chunks(sections, "doc_id", "ord").select("doc_id", "chunk_no", "n_tokens", "is_table", F.md5("chunk").alias("chunk_md5"))
 
 
-@query("SELECT doc_id, md5(lang || ' | ' || source || CASE WHEN trim(substr(text, 1, 80)) = '' THEN '' ELSE ' | ' || substr(text, 1, 80) END) AS embedding_md5 FROM documents")
-def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 80)
-    return t(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat_ws(" | ", "lang", "source", F.when(F.trim(head) != "", head))).alias("embedding_md5"))
-
-
 @query("SELECT doc_id, md5(concat_ws(' | ', CASE WHEN trim(lang) <> '' THEN lang END, CASE WHEN trim(source) <> '' THEN source END, CASE WHEN trim(text) <> '' THEN text END)) AS embedding_md5 FROM documents")
-def embedding_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The operator over whole texts; embedding_text takes the first 80 characters only, as its SQL does."""
+def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", F.md5(X.embedding_text(F.col("lang"), F.col("source"), F.col("text"))).alias("embedding_md5"))
 
 
