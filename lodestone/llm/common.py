@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but ASCII white space; bytes.split() has the same rule.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,11 +29,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_path(spark: SparkSession, what: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Everything an application leaves there is under ``lodestone-<application id>``.  Only where
-    the setting is absent (local runs and tests) a temporary folder is used and removed at exit.
+    Everything an application leaves there is under ``lodestone-<application id>``.  Where the setting is
+    absent, local runs (tests) use a temporary folder that is removed at exit; elsewhere executors would each
+    write to a disk of their own, and so ValueError is raised.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _fallback:
             _fallback.append(tempfile.mkdtemp(prefix="lodestone-"))
             atexit.register(shutil.rmtree, _fallback[0], True)
@@ -44,12 +52,66 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Remove the folders of staged() frames whose last reader has ended."""
+    for df in frames:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if f"/lodestone-{spark.sparkContext.applicationId}/" in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop the shuffle files of finished, unreferenced steps now rather than at some later collection."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be none of ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def tidy_worker() -> None:
+    """Give a Python worker's free memory back to the system.
+
+    Workers are reused from stage to stage, and neither Arrow's allocator nor the C library's returns what
+    large batches leave behind: a worker would go on holding the most that any of its tasks ever took.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``most`` bytes, one row at least; nothing is copied."""
+    if batch.num_rows < 2 or batch.nbytes <= most:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from pieces(batch.slice(0, half), most)
+        yield from pieces(batch.slice(half), most)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, most: int = 4 << 20) -> DataFrame:
+    """df.mapInArrow() with batches bounded by bytes, whose memory is given back when a task ends."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(p for b in batches for p in pieces(b, most))
+        finally:
+            tidy_worker()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def uniform(seed: int, *cols: str | Column) -> Column:
     """A repeatable number in (0, 1) for each distinct value of ``cols``."""
     h = F.xxhash64(F.lit(seed), *cols)

@@ -1,17 +1,21 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 Each source gets a word budget; whole epochs of the source come first and the rest of the budget
-is a weighted sample without replacement: every document draws the key ``u ** (1 / weight)``, the
-source is sorted by falling key, and documents are taken while the prefix sum of their sizes stays
-within the budget.  The document that crosses the budget is taken in part, so a source's taken
-words equal its budget rounded to a word.
+is a weighted sample without replacement: every document draws the exponential key ``-ln(u) / weight``
+(the order of ``u ** (1 / weight)``, falling), the source is sorted by rising key, and documents are
+taken while the prefix sum of their sizes stays within the budget.  The document that crosses the
+budget is taken in part, so a source's taken words equal its budget rounded to a word.  The weight is
+the posterior quality of the quality rules, 0.05 at least.
 
-No source is sorted in one task: the key's range is cut into ``buckets`` slices per source whose
-sums are prefix-summed first, so that a task only orders one slice of one source.
+No source is sorted in one task.  Prefix sums over counted bins of the key name the bin in which a
+source's budget is used up; that bin is cut into bins again, until it holds few documents, and only
+these are put in order.  All others are known to lie before or behind the edge, however the keys or the
+sources are spread.
 
 Edge cases: a null text has size 0 and takes 0 words; null is a source of its own, ranked last;
-rows with equal doc_id (or none) draw equal keys and are ordered by size; an empty table gives no rows; the
-target of a source without words is 0; other columns of the input are ignored.
+documents that share an id (or have none) draw keys of their own unless their texts are equal too, and
+then any of them may be the one that is taken; an empty table gives no rows; the target of a source
+without words is 0; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,99 +25,135 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, n_words, staged, uniform
+from . import quality_rules
+from .common import WORD, n_words, staged, uniform, unused
 
 #: Sources up to this number travel to the executors by broadcast (about 100 bytes each).
 BROADCAST_SOURCES = 100_000
 
 
-def text_quality(text: Column, size: Column) -> Column:
-    """Sampling weight in [0.05, 1]: falls with the number of mark-up symbols per word."""
-    symbols = F.coalesce(F.regexp_count(text, F.lit(r"[#*$%&|<>!]")), F.lit(0))
-    return F.when(size > 0, F.greatest(F.lit(0.05), size / (size + 4.0 * symbols))).otherwise(F.lit(1.0))
+def _numbered(sources: DataFrame) -> DataFrame:
+    """``sources`` with source_id, their place by code point from 0, null last: sorted in ranges, counted, then numbered within the ranges."""
+    name = F.col("source").asc_nulls_last()
+    ranges = staged(sources.repartitionByRange(name).withColumn("range", F.spark_partition_id()), "mix-sources")
+    counts = ranges.groupBy("range").agg(F.count("*").alias("n"))  # a row for each range
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(name)) - 1
+    return ranges.join(F.broadcast(before), "range").withColumn("source_id", (F.col("before") + place).cast("long")).drop("range", "before")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: float) -> DataFrame:
     """(source, source_id, source_size, target) of ``sizes`` (source, size): one row for each source.
 
-    Weighted water-filling: with the sources sorted by cap / weight, the level that the sources from
-    position k on would share if all before it were at their caps is a ratio of suffix sums; the
-    first source whose cap isn't below its level ends the search.  The windows run over one row per
-    source, after the aggregation, and never over documents.
+    Weighted water-filling.  Sources whose cap lies below the level that all uncapped ones share stop at
+    their cap and raise the level; it settles after a few rounds, each an aggregate over sources.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("source_id") % len(weights) + 1).cast("int"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = Window.orderBy("ratio", "source_id")
-    every = Window.partitionBy()
-    totals = (
-        sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-        .withColumn("source_id", F.row_number().over(by_name) - 1)
-        .withColumn("w", w)
-        .withColumn("cap", F.col("source_size") * float(max_epochs))
-        .withColumn("ratio", F.col("cap") / F.col("w"))
-        .withColumn("left", F.sum("source_size").over(every) - (F.sum("cap").over(by_ratio) - F.col("cap")))
-        .withColumn("w_left", F.sum("w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("level", F.col("left") / F.col("w_left"))
-        .withColumn("k", F.row_number().over(by_ratio))
-        .withColumn("final", F.min_by("level", F.when(F.col("ratio") >= F.col("level"), F.col("k"))).over(every))
-        .withColumn("final", F.when(F.max(F.col("ratio") >= F.col("level")).over(every), F.col("final")))
-    )
-    target = F.least(F.col("cap"), F.coalesce(F.col("final") * F.col("w"), F.col("cap")))
-    return totals.select("source", "source_id", "source_size", target.alias("target"))
-
-
-def mix_sources(
-    docs: DataFrame,
-    *,
-    weights: Sequence[float] = (5, 2, 1),
-    max_epochs: float = 3.0,
-    quality: Column | None = None,
-    seed: int = 20,
-    buckets: int = 4096,
-) -> DataFrame:
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    totals = staged(_numbered(totals).withColumn("w", w).withColumn("cap", F.col("source_size") * float(max_epochs)), "mix-totals")
+    level = -1.0
+    while True:
+        free = F.col("cap") >= level * F.col("w")
+        all_words, capped, shares = totals.agg(F.sum("source_size"), F.sum(F.when(free, 0.0).otherwise(F.col("cap"))), F.sum(F.when(free, F.col("w")))).first()
+        if not shares:
+            break
+        new = (all_words - capped) / shares
+        if new <= level:
+            break
+        level = new
+    return totals.select("source", "source_id", "source_size", F.least(F.col("cap"), level * F.col("w")).alias("target"))
+
+
+def _drawn(docs: DataFrame, columns: list[str], weights: Sequence[float], max_epochs: float, quality: Column | None, seed: int) -> tuple[DataFrame, str, DataFrame]:
+    """Rows of ``docs`` with ``columns`` and a struct of what mixing knows of them; the struct's name; the targets with epochs and budget."""
+    to = unused(docs.columns, "mix")
+    mark, row = F.xxhash64("text").alias("mark"), F.monotonically_increasing_id().alias("row")
+    if quality is None:
+        rows = quality_rules.with_counts(docs.select(*dict.fromkeys([*columns, "doc_id", "source", "text"])), to)
+        votes = quality_rules.rules(f"{to}.")
+        rows = staged(rows.withColumn(to, F.struct(F.col(f"{to}.n_words").alias("size"), mark, row, F.struct(*[v.alias(k) for k, v in votes.items()]).alias("votes"))).select(*dict.fromkeys([*columns, "doc_id", "source", to])), "mix-sizes")
+        good = quality_rules.posteriors(rows.select(f"{to}.votes.*"), list(votes))
+        weight = F.greatest(F.lit(0.05), F.element_at(good, F.concat_ws(",", *[F.col(f"{to}.votes.{k}").cast("string") for k in votes]))) if good is not None else F.lit(1.0)
+    else:
+        rows = docs.select(*dict.fromkeys([*columns, "doc_id", "source"]), F.struct(n_words(F.col("text")).alias("size"), mark, row, quality.cast("double").alias("weight")).alias(to))
+        rows = staged(rows, "mix-sizes")
+        weight = F.col(f"{to}.weight")
+    targets = source_targets(rows.select("source", F.col(f"{to}.size").alias("size")), weights, max_epochs)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    targets = targets.withColumn("epochs", epochs).withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    targets = staged(targets, "mix-targets")
+    k = -F.log(uniform(seed, "doc_id", f"{to}.mark")) / weight
+    return rows.withColumn(to, F.struct(f"{to}.size", f"{to}.row", (k / (1 + k)).alias("key"))), to, targets
+
+
+def _small(sources: DataFrame) -> DataFrame:
+    """``sources``, marked for broadcast if they are few enough."""
+    return F.broadcast(sources) if sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else sources
+
+
+def _edges(keyed: DataFrame, targets: DataFrame, bins: int, few: int) -> DataFrame:
+    """(source_id, lo, hi, from, to, before) for each source with a budget: the documents of ``keyed`` (source_id, size, key, row) with lo <= key <= hi (and from <= row <= to) hold the edge of the budget, and ``before`` words come before them."""
+    c = F.col
+    edges = targets.where("budget > 0").select("source_id", "budget", F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), F.lit(0).cast("long").alias("from"), F.lit((1 << 63) - 1).alias("to"), F.lit(0).cast("long").alias("before"))
+    while True:
+        by_row = c("lo") >= c("hi")  # equal keys are told apart by their rows
+        at, a, b = (F.when(by_row, c(x).cast("double")).otherwise(c(y)) for x, y in (("row", "key"), ("from", "lo"), ("to", "hi")))
+        inside = keyed.join(_small(edges), "source_id").where(c("key").between(c("lo"), c("hi")) & (~by_row | c("row").between(c("from"), c("to"))))
+        at = F.when(b > a, F.least(F.lit(bins - 1), F.floor((at - a) / (b - a) * bins).cast("int"))).otherwise(0)
+        counts = inside.groupBy("source_id", "budget", "before", at.alias("bin")).agg(
+            F.sum("size").alias("words"), F.count("*").alias("rows"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.min("row").alias("from"), F.max("row").alias("to")
+        )
+        upto = c("before") + F.sum("words").over(Window.partitionBy("source_id").orderBy("bin"))  # bins of one source: a bounded number
+        found = counts.withColumn("upto", upto).where((c("upto") >= c("budget")) & (c("upto") - c("words") < c("budget")))
+        edges = staged(found.select("source_id", "budget", "lo", "hi", "from", "to", (c("upto") - c("words")).alias("before"), "rows"), "mix-edges")
+        if (edges.agg(F.max("rows")).first()[0] or 0) <= few:
+            return edges.drop("budget", "rows")
+
+
+def _taken(docs: DataFrame, columns: list[str], *, weights: Sequence[float] = (5, 2, 1), max_epochs: float = 3.0, quality: Column | None = None, seed: int = 20, buckets: int = 4096, few: int = 10_000) -> tuple[DataFrame, str]:
+    """``columns`` of ``docs`` with a struct (size, source_size, target, taken), and the struct's name."""
+    rows, to, targets = _drawn(docs, columns, weights, max_epochs, quality, seed)
+    c = F.col
+    of = unused([*rows.columns, "s"], "of")
+    every = targets.select(F.col("source").alias("s"), F.struct("source_id", "source_size", "target", "epochs", "budget").alias(of))
+    s = unused([*rows.columns, of], "s")
+    rows = rows.join(_small(every.withColumnRenamed("s", s)), c("source").eqNullSafe(c(s))).drop(s)
+    keyed = rows.select(c(f"{of}.source_id").alias("source_id"), f"{to}.size", f"{to}.key", f"{to}.row")
+    edges = _edges(keyed, targets, buckets, few)
+    edge = unused([*rows.columns, "i"], "edge")
+    i = unused([*rows.columns, edge], "i")
+    rows = rows.join(_small(edges.select(c("source_id").alias(i), F.struct("lo", "hi", "from", "to", "before").alias(edge))), c(f"{of}.source_id") == c(i), "left").drop(i)
+    key, row, lo, hi = c(f"{to}.key"), c(f"{to}.row"), c(f"{edge}.lo"), c(f"{edge}.hi")
+    within = lambda r: (lo < hi) | r.between(c(f"{edge}.from"), c(f"{edge}.to"))
+    rows = rows.withColumn(to, c(to).withField("on", F.coalesce(key.between(lo, hi) & within(row), F.lit(False))).withField("whole", F.coalesce((key < lo) | ((key == lo) & (lo >= hi) & (row < c(f"{edge}.from"))), F.lit(False))))
+    # the few documents of an edge are put in order; the rest of the rows stay where they are
+    in_order = Window.partitionBy(f"{of}.source_id").orderBy(f"{to}.key", f"{to}.row").rowsBetween(Window.unboundedPreceding, 0)
+    size, budget = c(f"{to}.size"), c(f"{of}.budget")
+    part = F.greatest(F.lit(0), F.least(size, budget - c(f"{edge}.before") - F.sum(f"{to}.size").over(in_order) + size))
+    parts = rows.where(c(f"{to}.on")).withColumn(to, c(to).withField("part", part.cast("long")))
+    rest = rows.where(~c(f"{to}.on")).withColumn(to, c(to).withField("part", F.when(c(f"{to}.whole"), size).otherwise(0).cast("long")))
+    shown = F.struct(size.alias("size"), f"{of}.source_size", f"{of}.target", (c(f"{of}.epochs") * size + c(f"{to}.part")).cast("long").alias("taken"))
+    return rest.unionByName(parts).select(*columns, shown.alias(to)), to
+
+
+def mix_sources(docs: DataFrame, **options: object) -> DataFrame:
     """(doc_id, size, source, source_size, target, taken) for each row of ``docs`` (doc_id, source, text).
 
-    weights: cycled over the sources in the order of their names by code point.  quality: the
-    sampling weight of a document, text_quality() of its text if None.
+    weights: cycled over the sources in the order of their names by code point ((5, 2, 1)).  max_epochs: a source's target
+    in terms of its size, at most (3).  quality: the sampling weight of a document, the posterior of the quality
+    rules if None.  seed: of the keys.  buckets, few: how edges are searched; no influence on what is taken.
     """
-    sized = docs.select("doc_id", "source", "text").withColumn("size", n_words(F.col("text")))
-    sized = sized.select("doc_id", "source", "size", (text_quality(F.col("text"), F.col("size")) if quality is None else quality).alias("weight"))
-    sized = staged(sized, "mix-sizes")
-    targets = staged(source_targets(sized, weights, max_epochs), "mix-targets")
-    small = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    right = targets.withColumnRenamed("source", "s")
-    drawn = (
-        sized.join(F.broadcast(right) if small else right, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        .withColumn("key", F.pow(uniform(seed, "doc_id"), 1.0 / F.col("weight")))
-        .withColumn("slice", F.least(F.lit(buckets - 1), F.floor((1.0 - F.col("key")) * buckets).cast("int")))
-        .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-        .withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    )
-    before = (
-        drawn.groupBy("source_id", "slice").agg(F.sum("size").alias("slice_size"))
-        .withColumn("before", F.sum("slice_size").over(Window.partitionBy("source_id").orderBy("slice")) - F.col("slice_size"))
-        .select("source_id", "slice", "before")
-    )
-    in_slice = Window.partitionBy("source_id", "slice").orderBy(F.desc("key"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("before") - F.col("upto") + F.col("size")))
-    return (
-        drawn.join(before, ["source_id", "slice"])
-        .withColumn("upto", F.sum("size").over(in_slice))
-        .select("doc_id", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
-    )
+    rows, to = _taken(docs.select("doc_id", "source", "text"), ["doc_id", "source"], **options)
+    return rows.select("doc_id", f"{to}.size", "source", f"{to}.source_size", f"{to}.target", f"{to}.taken")
 
 
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
-    """``docs`` as mix_sources() takes them: a row for each whole copy, and the last document of a budget cut to the words taken.
-
-    Rows that share an id are taken one by one only if their sizes differ; ``doc_id`` should be unique.
-    """
-    taken = mix_sources(docs, **options).where("taken > 0").groupBy("doc_id", "size").agg(F.max("taken").alias("taken"))
-    columns = docs.columns
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_words"), "taken").withColumnRenamed("taken", "_taken")
+    """``docs`` as mix_sources() takes them: a row for each whole copy, and the last document of a budget cut to the words taken."""
+    rows, to = _taken(docs, docs.columns, **options)
+    rows = rows.where(F.col(f"{to}.taken") > 0)
+    whole, rest = F.floor(F.col(f"{to}.taken") / F.col(f"{to}.size")).cast("int"), (F.col(f"{to}.taken") % F.col(f"{to}.size")).cast("int")
+    n = unused(rows.columns, "copy")
+    copies = rows.select("*", F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))).alias(n))
     words = F.regexp_extract_all("text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1))
-    rows = docs.withColumn("_size", n_words(F.col("text"))).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_words")))
-    rows = rows.withColumn("_whole", F.floor(F.col("_taken") / F.col("_words")).cast("int")).withColumn("_rest", (F.col("_taken") % F.col("_words")).cast("int"))
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_whole") + F.when(F.col("_rest") > 0, 1).otherwise(0))))
-    some = F.array_join(F.slice(words, 1, F.col("_rest")), "")
-    return rows.withColumn("text", F.when(F.col("_copy") > F.col("_whole"), some).otherwise(F.col("text"))).select(*columns)
+    some = F.array_join(F.slice(words, 1, rest), "")
+    return copies.withColumn("text", F.when(F.col(n) > whole, some).otherwise(F.col("text"))).select(*docs.columns)

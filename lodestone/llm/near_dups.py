@@ -18,6 +18,7 @@ Edge cases: a null, empty or blank text has an empty set, links with nothing and
 five words make one shingle; repeated rows (and rows that share an id) are nodes by their text alone,
 so equal texts always share a component; a row with a null id makes no link and is kept, but shows the
 component of an equal text if there is one; an empty table gives no rows; other columns are ignored.
+Where documents are dropped, unlike texts that share an id are documents of their own.
 Sets are compared as sets of 64-bit hashes.
 """
 
@@ -28,14 +29,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import forget, map_arrow, staged, unused
 
 BANDS, ROWS = 32, 4
 BLOCK = 512
-BASE, TOP = 1.001, (1 << 16) - 1
+#: A group whose texts are compared in one go has so many shingles at most, unless a single text has more.
+SHINGLES = 4_000_000
+#: START keeps the registers of the smallest sets above 0: one shingle's hash exceeds e ** (START * (BASE - 1)) = 60 with probability e ** -60.
+BASE, START, TOP = 1.001, 4096, (1 << 16) - 1
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _ODD = np.random.default_rng(75).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -67,7 +71,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     for i in range(0, len(hashes), 1024):
         np.minimum(low, np.multiply.outer(_ODD, hashes[i : i + 1024]).min(axis=1), out=low)
     x = -np.log1p(-((low >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53))
-    return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP).astype(np.uint16)
+    return np.clip(np.floor(START + 1 - np.log(x) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -94,18 +98,22 @@ def _node(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).astype(np.int64))
 
 
+def _mark() -> Column:
+    return F.xxhash64("text")
+
+
 def sketch_documents(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, node, sketch) for each row of ``docs`` (doc_id, text); node and sketch are null for empty sets."""
+    """(doc_id, mark, n_shingles, node, sketch) for each row of ``docs`` (doc_id, text); node and sketch are null for empty sets.  mark: a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t, k) for t in b.column(1).to_pylist()]
+            sets = [shingles(t, k) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([
-                b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
+                b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
                 pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
-            ], ["doc_id", "n_shingles", "node", "sketch"])
+            ], ["doc_id", "mark", "n_shingles", "node", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, sketch binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), _mark().alias("mark"), "text"), run, "doc_id long, mark long, n_shingles long, node long, sketch binary")
 
 
 def band_keys(nodes: DataFrame) -> DataFrame:
@@ -119,7 +127,7 @@ def band_keys(nodes: DataFrame) -> DataFrame:
                 keys = _mixed(packed ^ salt).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], ["band", "node"])
 
-    return nodes.select("node", "sketch").mapInArrow(run, "band long, node long")
+    return map_arrow(nodes.select("node", "sketch"), run, "band long, node long")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -133,7 +141,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
                 yield b.select(["a", "b", "doc_a", "doc_b"]).filter(pa.array(ok))
 
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("rep").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long, doc_a long, doc_b long")
+    return map_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a long, b long, doc_a long, doc_b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
@@ -152,7 +160,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> Data
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda x: texts.select(F.col("doc_id").alias(f"doc_{x}"), F.col("text").alias(f"t_{x}"))
-    return pairs.join(side("a"), "doc_a").join(side("b"), "doc_b").select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(pairs.join(side("a"), "doc_a").join(side("b"), "doc_b").select("a", "b", "t_a", "t_b"), run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -170,7 +178,9 @@ def components(links: DataFrame) -> DataFrame:
         new = staged(step.join(jump, "label").select("node", "old", F.least("label", "far").alias("label")), "labels")
         labels = new.select("node", "label")
         if new.where("label <> old").isEmpty():
+            forget(edges, step)
             return labels
+        forget(step)
 
 
 def _pair_up(few: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,11 +193,12 @@ def _pair_up(few: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _in_blocks(nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """The ``nodes`` of ``members`` (band, node, pivot) with the block (tb) of about ``BLOCK`` alike nodes in which their texts travel."""
-    near = members.groupBy("node").agg(F.min("pivot").alias("cluster"))
-    large = near.groupBy("cluster").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.coalesce("size", F.lit(1)) / BLOCK))
-    return nodes.join(near.join(large, "cluster", "left").select("node", F.xxhash64("cluster", part).alias("tb")), "node")
+    """The ``nodes`` of ``members`` (band, node, pivot) with the block (tb) of about ``BLOCK`` alike nodes, and ``SHINGLES``, in which their texts travel."""
+    near = nodes.join(members.groupBy("node").agg(F.min("pivot").alias("cluster")), "node")
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES))
+    large = near.groupBy("cluster").agg(parts.alias("parts")).where(F.col("parts") > 1)
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+    return near.join(large, "cluster", "left").withColumn("tb", F.xxhash64("cluster", part)).select(*nodes.columns, "tb")
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -239,7 +250,7 @@ def _across(members: DataFrame, nodes: DataFrame, least: float, best: int) -> Da
                 if best:
                     order = np.lexsort((-like, x[at]))
                     at, like = at[order], like[order]
-                    first = np.arange(len(at)) - np.searchsorted(x[at], x[at]) < 2  # of this slice of blocks; the best of all are picked below
+                    first = np.arange(len(at)) - np.searchsorted(x[at], x[at]) < best  # of this slice of blocks; the best of all are picked below
                     at, like = at[first], like[first]
                     yield pa.RecordBatch.from_arrays([pa.array(z) for z in (x[at], y[at], get(few, "rep")[left[at]], get(many, "rep")[right[at]], like)], ["x", "y", "doc_x", "doc_y", "like"])
                 else:
@@ -248,47 +259,53 @@ def _across(members: DataFrame, nodes: DataFrame, least: float, best: int) -> Da
 
     met = few.join(many, "band").select("top", "few", "many")
     if not best:
-        return met.mapInArrow(run, "x long, tb long").distinct()
-    pairs = met.mapInArrow(run, "x long, y long, doc_x long, doc_y long, like double").distinct()
+        return map_arrow(met, run, "x long, tb long").distinct()
+    pairs = map_arrow(met, run, "x long, y long, doc_x long, doc_y long, like double").distinct()
     return pairs.withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("like"), "y"))).where(F.col("k") <= best).drop("k", "like")
 
 
 def _confirmed_blocks(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """(a, b): the links between the nodes x of ``wanted`` (x, tb) and the nodes of other components in the blocks tb, by full sets."""
-    shown = nodes.select("node", "label", "tb", F.col("rep").alias("doc_id")).join(texts, "doc_id")
-    item = F.collect_list(F.struct("node", "label", "text"))
-    blocks = shown.join(wanted.select("tb").distinct(), "tb", "left_semi").groupBy("tb").agg(item.alias("block"))
-    counts = wanted.groupBy("tb").agg(F.count("*").alias("n"))
-    part = F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / 64))
-    asked = wanted.join(counts, "tb").select("tb", part.alias("part"), F.col("x").alias("node")).join(shown.drop("tb"), "node").groupBy("tb", "part").agg(item.alias("asked"))
-    rows = asked.join(blocks, "tb").select("tb", "asked", "block")
+    """(a, b): the links between the nodes x of ``wanted`` (x, tb) and the nodes of other components in the blocks tb, by full sets.
+
+    The askers of a block come in parts of bounded size, and the block's texts pass by each part one at a
+    time: a task holds the hashes of one part's askers and no list of texts.
+    """
+    shown = nodes.select("node", "label", "tb", "n", F.col("rep").alias("doc_id")).join(texts, "doc_id")
+    asked = wanted.select("tb", F.col("x").alias("node")).join(shown.drop("tb"), "node")
+    parts = wanted.select("tb", F.col("x").alias("node")).join(nodes.select("node", "n"), "node").groupBy("tb").agg(F.ceil(F.greatest(F.count("*") / 64, F.sum("n") / (SHINGLES / 4))).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), "parts").cast("int")
+    asked = asked.join(parts, "tb").select("tb", part.alias("part"), F.lit(0).alias("turn"), "node", "label", "text")
+    passing = shown.join(parts, "tb").select("tb", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("turn"), "node", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = lambda rows: [(z["node"], z["label"], s) for z in rows if _node(s := shingles(z["text"], k)) == z["node"]]
-        last: tuple[int | None, list[tuple[int, int, np.ndarray]]] = (None, [])
+        at: tuple[int, int] | None = None
+        held: list[tuple[int, int, np.ndarray]] = []
         for b in batches:
-            links = []
-            for i in range(b.num_rows):
-                tb, asked, block = (b.column(c)[i].as_py() for c in range(3))
-                if last[0] != tb:
-                    last = (tb, sets(block))
-                for x, label, s in sets(asked):
-                    for y, other, t in last[1]:
-                        if other != label and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)):
-                            both = len(np.intersect1d(s, t, assume_unique=True))
-                            if 100 * both >= percent * (len(s) + len(t) - both):
-                                links.append((x, y))
+            links: list[tuple[int, int]] = []
+            for tb, part, turn, node, label, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at != (tb, part):
+                    at, held = (tb, part), []
+                if turn and not held:
+                    continue
+                t = shingles(text, k)
+                if _node(t) != node:
+                    continue  # another text with the same id
+                if not turn:
+                    held.append((node, label, t))
+                    continue
+                for x, own, s in held:
+                    if own != label and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)):
+                        both = len(np.intersect1d(s, t, assume_unique=True))
+                        if 100 * both >= percent * (len(s) + len(t) - both):
+                            links.append((x, node))
             yield pa.RecordBatch.from_arrays([pa.array([z[c] for z in links], pa.int64()) for c in (0, 1)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
-
+    rows = asked.unionByName(passing).repartition("tb", "part").sortWithinPartitions("tb", "part", "turn")
+    return map_arrow(rows, run, "a long, b long").distinct()
 
-def near_duplicates(docs: DataFrame, *, percent: int = 75, k: int = 5, slack: float = 0.15) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
-    component_id is the smallest doc_id that links reach; kept is doc_id = component_id.  slack: how far
-    below the threshold an estimate may lie for its pair to be tested (4 standard errors: 3e-5 of the pairs right at the threshold).
-    """
+def _grouped(docs: DataFrame, percent: int, k: int, slack: float) -> tuple[DataFrame, DataFrame]:
+    """(sketched rows (doc_id, mark, n_shingles, node), found (node, label, component_id)) of ``docs`` (doc_id, text)."""
     sketched = staged(sketch_documents(docs, k), "sketches")
     nodes = staged(sketched.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     keys = band_keys(nodes)
@@ -300,25 +317,53 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, k: int = 5, slack: fl
     least = percent / 100 - slack
     pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     tested = staged(_likely(pairs, nodes, least), "pairs")
-    links = staged(_confirmed(tested, texts, percent, k), "links")
+    first = staged(_confirmed(tested, texts, percent, k), "links")
     blocked = staged(_in_blocks(nodes, members), "blocked-nodes")
-    members = members.select("band", "node")
     # the best pairs join most of what belongs together, and leave few for the complete pass
-    some = _across(members, _labelled(blocked, components(links)), least, best=4)
-    some = some.toDF("a", "b", "doc_a", "doc_b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.union(staged(_confirmed(staged(some, "pairs"), texts, percent, k), "links"))
-    known = staged(_labelled(blocked, components(links)), "labelled")
-    links = links.union(staged(_confirmed_blocks(staged(_across(members, known, least, best=0), "blocks"), known, texts, percent, k), "links"))
-    labels = components(links)
+    some = _across(members.select("band", "node"), _labelled(blocked, components(first)), least, best=4)
+    some = staged(some.toDF("a", "b", "doc_a", "doc_b").join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    second = staged(_confirmed(some, texts, percent, k), "links")
+    known = staged(_labelled(blocked, components(first.union(second))), "labelled")
+    wanted = staged(_across(members.select("band", "node"), known, least, best=0), "blocks")
+    third = staged(_confirmed_blocks(wanted, known, texts, percent, k), "links")
+    labels = components(first.union(second).union(third))
 
     labelled = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = labelled.join(smallest, "label").select("node", "component_id")
+    found = staged(labelled.join(smallest, "label").select("node", "label", "component_id"), "components")
+    forget(nodes, members, texts, tested, first, blocked, some, second, known, wanted, third, labels)
+    return sketched.drop("sketch"), found
+
+
+def near_duplicates(docs: DataFrame, *, percent: int = 75, k: int = 5, slack: float = 0.15) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
+
+    component_id is the smallest doc_id that links reach; kept is doc_id = component_id.  slack: how far
+    below the threshold an estimate may lie for its pair to be tested (4 standard errors: 3e-5 of the pairs right at the threshold).
+    """
+    sketched, found = _grouped(docs, percent, k, slack)
     component = F.coalesce("component_id", "doc_id")
     return sketched.select("doc_id", "n_shingles", "node").join(found, "node", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, **options: object) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates() keeps, with all their columns; rows that share an id stay once, rows with a null id all stay."""
-    kept = near_duplicates(docs, **options).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+def drop_near_duplicates(docs: DataFrame, *, percent: int = 75, k: int = 5, slack: float = 0.15) -> DataFrame:
+    """``docs`` without near duplicates, with all columns: one row of each component stays.
+
+    It is the one with the smallest doc_id, of rows that share it the one whose text has the smallest hash, and of
+    rows with equal texts too the first by the other columns.  Rows without words and rows with a null id all stay.
+    """
+    sketched, found = _grouped(docs, percent, k, slack)
+    rows = sketched.where("node is not null and doc_id is not null").groupBy("node", "doc_id", "mark").agg(F.count("*").alias("rows")).join(found.select("node", "label"), "node")
+    rows = staged(rows.select("label", "doc_id", "mark", "rows"), "documents")
+    stays = rows.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("stays"))
+    d, m, n = unused(docs.columns, "d"), unused(docs.columns, "m"), unused(docs.columns, "n")
+    named = (F.col("doc_id").alias(d), F.col("mark").alias(m))
+    gone = rows.join(stays, "label").where(F.struct("doc_id", "mark") != F.col("stays")).select(*named)
+    own = (F.col("doc_id").cast("long") == F.col(d)) & (_mark() == F.col(m))
+    left = docs.join(gone, own, "left_anti")
+    twice = staged(rows.where("rows > 1").select(*named), "repeated")
+    if twice.isEmpty():
+        return left
+    order = [F.col(c) for c, kind in docs.dtypes if not kind.startswith("map")]
+    again = left.join(twice, own, "left_semi").withColumn(n, F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*order)))
+    return left.join(twice, own, "left_anti").unionByName(again.where(F.col(n) == 1).drop(n))

@@ -14,13 +14,15 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import staged
+from .common import map_arrow, staged
 
 _SPACE, _SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
 _LOWER, _UPPER = bytes(range(97, 123)), bytes(range(65, 91))
@@ -74,28 +76,58 @@ def count_texts(docs: DataFrame) -> DataFrame:
             cols = zip(*rows, strict=True) if rows else [()] * len(COUNTS)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", *COUNTS])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)
+
+
+def with_counts(docs: DataFrame, to: str) -> DataFrame:
+    """``docs`` with the counts of its ``text`` as the new struct column ``to``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [text_counts(t) for t in b.column(at).to_pylist()]
+            cols = zip(*rows, strict=True) if rows else [()] * len(COUNTS)
+            counts = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], COUNTS)
+            yield pa.RecordBatch.from_arrays([*b.columns, counts], [*b.schema.names, to])
+
+    kind = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(to, kind)]))
 
 
 def _vote(ratio: Column, good: Column, bad: Column) -> Column:
     return F.when(ratio.isNull(), 0).when(bad, -1).when(good, 1).otherwise(0).cast("byte")
 
 
-def _low(part: str, whole: Column, good: float, bad: float) -> Column:
-    r = F.try_divide(F.col(part).cast("double"), whole.cast("double"))
-    return _vote(r, r <= good, r >= bad)
+@dataclass(frozen=True)
+class Limits:
+    """(good, bad) of each rule: it votes good up to the first share and bad from the second on, and abstains between."""
+
+    symbols: tuple[float, float] = (0.01, 0.08)
+    marked_words: tuple[float, float] = (0.05, 0.30)
+    repeated_words: tuple[float, float] = (0.10, 0.40)
+    repeated_lines: tuple[float, float] = (0.05, 0.30)
+    capitals: tuple[float, float] = (0.20, 0.60)
+    #: Mean letters a word: good between the first two, bad below the third or above the fourth.
+    word_length: tuple[float, float, float, float] = (3.0, 12.0, 2.0, 20.0)
+
 
+def rules(at: str = "", limits: Limits = Limits()) -> dict[str, Column]:
+    """Name and vote of each rule, from the counts; at: what their columns' names begin with."""
+    n = lambda c: F.col(at + c).cast("double")
 
-def rules() -> dict[str, Column]:
-    """Name and vote of each rule, from the counts."""
-    words, length = F.col("n_words"), F.try_divide(F.col("word_chars").cast("double"), F.col("n_words").cast("double"))
+    def low(part: Column, whole: Column, limit: tuple[float, float]) -> Column:
+        r = F.try_divide(part, whole)
+        return _vote(r, r <= limit[0], r >= limit[1])
+
+    length = F.try_divide(n("word_chars"), n("n_words"))
+    least, most, short, long = limits.word_length
     return {
-        "symbols": _low("n_symbols", F.col("word_chars"), 0.01, 0.08),
-        "marked_words": _low("n_marked", words, 0.05, 0.30),
-        "repeated_words": _low("n_repeat_words", words, 0.10, 0.40),
-        "repeated_lines": _low("n_dup_lines", F.col("n_lines"), 0.05, 0.30),
-        "capitals": _low("n_upper", F.col("n_upper") + F.col("n_lower"), 0.20, 0.60),
-        "word_length": _vote(length, length.between(3.0, 12.0), (length < 2.0) | (length > 20.0)),
+        "symbols": low(n("n_symbols"), n("word_chars"), limits.symbols),
+        "marked_words": low(n("n_marked"), n("n_words"), limits.marked_words),
+        "repeated_words": low(n("n_repeat_words"), n("n_words"), limits.repeated_words),
+        "repeated_lines": low(n("n_dup_lines"), n("n_lines"), limits.repeated_lines),
+        "capitals": low(n("n_upper"), n("n_upper") + n("n_lower"), limits.capitals),
+        "word_length": _vote(length, length.between(least, most), (length < short) | (length > long)),
     }
 
 
@@ -127,16 +159,22 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]], *, rounds: int = 200,
     return share, p, {tuple(int(x) for x in v): float(g) for v, g in zip(votes, good, strict=True)}
 
 
-def judge_quality(docs: DataFrame, *, threshold: float = 0.5, min_words: int = 50, max_repeat: float = 0.5) -> DataFrame:
+def posteriors(votes: DataFrame, named: list[str]) -> Column | None:
+    """Posterior quality by pattern, as a map literal from the votes ``named`` joined by commas; None without rows.
+
+    Only the patterns' counts reach the driver, at most 3 ** len(named) rows.
+    """
+    rows = votes.groupBy(*named).agg(F.count("*").alias("n")).collect()
+    _, _, good = fit_votes(sorted((tuple(r[c] for c in named), r["n"]) for r in rows))
+    return F.create_map(*[F.lit(x) for k, v in good.items() for x in (",".join(map(str, k)), v)]) if good else None
+
+
+def judge_quality(docs: DataFrame, *, threshold: float = 0.5, min_words: int = 50, max_repeat: float = 0.5, limits: Limits = Limits()) -> DataFrame:
     """(doc_id, counts, base_failed, kept, quality, votes) for each row of ``docs`` (doc_id, text)."""
-    votes = rules()
+    votes = rules(limits=limits)
     counted = staged(count_texts(docs).withColumns(votes), "quality-counts")
-    named = list(votes)
-    rows = counted.groupBy(*named).agg(F.count("*").alias("n")).collect()  # at most 3 ** len(named)
-    _, _, good = fit_votes(sorted((tuple(r[c] for c in named), r["n"]) for r in rows))
-    table = docs.sparkSession.createDataFrame([(*k, v) for k, v in good.items()], ", ".join(f"{c} byte" for c in named) + ", quality double")
+    good = posteriors(counted, list(votes))
+    pattern = F.concat_ws(",", *[F.col(c).cast("string") for c in votes])
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    return counted.join(F.broadcast(table), named).select(
-        "doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & (F.col("quality") >= threshold)).alias("kept"), "quality",
-        F.concat_ws(",", *[F.col(c).cast("string") for c in named]).alias("votes"),
-    )
+    rows = counted.select("*", pattern.alias("pattern"), (F.element_at(good, pattern) if good is not None else F.lit(0.0)).alias("quality"))
+    return rows.select("doc_id", *COUNTS[:5], failed.alias("base_failed"), (~failed & (F.col("quality") >= threshold)).alias("kept"), "quality", F.col("pattern").alias("votes"))

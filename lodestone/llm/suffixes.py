@@ -34,10 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, staged
+from .common import forget, map_arrow, release, staged, unused
 
 LENGTH, SEED = 100, 32
 HOT = 4096
@@ -62,9 +62,9 @@ def _scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def text_mark(data: bytes) -> int:
-    """16 bits that tell texts apart whose rows share an id."""
-    return xxhash.xxh3_64_intdigest(data) & 0xFFFF
+def text_mark() -> Column:
+    """16 bits that tell texts apart whose rows share an id; with them, rows without an id are many groups and not one."""
+    return F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("long")
 
 
 def pack(start: np.ndarray, windows: np.ndarray, offset: np.ndarray, mark: np.ndarray) -> np.ndarray:
@@ -135,19 +135,17 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def _pieces(docs: DataFrame) -> DataFrame:
-    """(anchor, piece, doc_id, at): a row for every piece of ``docs`` (doc_id, text)."""
+    """(anchor, piece, doc_id, at): a row for every piece of ``docs`` (doc_id, mark, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0).to_numpy(), _bytes(b.column(1))
+            ids, marks, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), _bytes(b.column(2))
             for i in range(0, len(texts), 256):
-                group = texts[i : i + 256]
-                text, start, windows, offset, anchor, piece = anchors(group)
+                text, start, windows, offset, anchor, piece = anchors(texts[i : i + 256])
                 if len(text):
-                    marks = np.array([text_mark(t) for t in group])
-                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in (anchor, piece, ids[i + text], pack(start, windows, offset, marks[text]))], ["anchor", "piece", "doc_id", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in (anchor, piece, ids[i + text], pack(start, windows, offset, marks[i + text]))], ["anchor", "piece", "doc_id", "at"])
 
-    return docs.mapInArrow(run, "anchor long, piece long, doc_id long, at long")
+    return map_arrow(docs, run, "anchor long, piece long, doc_id long, at long")
 
 
 def induce(anchor: np.ndarray, doc_id: np.ndarray, at: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,7 +212,9 @@ def _induced(pieces: DataFrame, at_once: int = 20_000) -> DataFrame:
 
         def settle(rows: pa.Table) -> pa.RecordBatch:
             anchor, doc_id, at = (rows.column(c).to_numpy() for c in ("anchor", "doc_id", "at"))
-            piece, begin, end = induce(anchor, doc_id, at, rows.column("data").to_pylist())
+            once = np.sort(np.unique(np.stack([anchor, doc_id, at]), axis=1, return_index=True)[1])  # twins show a piece several times
+            anchor, doc_id, at = anchor[once], doc_id[once], at[once]
+            piece, begin, end = induce(anchor, doc_id, at, rows.column("data").take(pa.array(once)).to_pylist())
             return pa.RecordBatch.from_arrays([pa.array(z) for z in (doc_id[piece], (at & 0xFFFF)[piece], begin, end)], ["doc_id", "mark", "from", "to"])
 
         for b in batches:
@@ -229,26 +229,26 @@ def _induced(pieces: DataFrame, at_once: int = 20_000) -> DataFrame:
         if held:
             yield settle(pa.Table.from_batches(held))
 
-    return pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "doc_id long, mark long, from long, to long")
+    return map_arrow(pieces.repartition("anchor").sortWithinPartitions("anchor"), run, "doc_id long, mark long, from long, to long")
+
+
+def _mark_of(at: str) -> Column:
+    return F.col(at).bitwiseAND(F.lit(0xFFFF).cast("long"))
 
 
 def _shown(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """The rows of ``wanted`` (anchor, doc_id, at, hot) with the bytes of their pieces from ``docs`` (doc_id, text)."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "at", "hot")).alias("wanted"))
+    """The rows of ``wanted`` (anchor, doc_id, at, hot) with the bytes of their pieces from ``docs`` (doc_id, mark, text)."""
+    lists = wanted.groupBy("doc_id", _mark_of("at").alias("mark")).agg(F.collect_list(F.struct("anchor", "at", "hot")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: set[tuple[int, int]] = set()  # twins show a piece once
             out: list[tuple[int, int, int, bool, bytes]] = []
             for doc_id, text, want in zip(b.column(0).to_pylist(), _bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
-                mark = text_mark(text)
-                if (doc_id, mark) not in seen:
-                    seen.add((doc_id, mark))
-                    out += [(w["anchor"], doc_id, w["at"], w["hot"], text[(s := w["at"] >> 30) : s + ((w["at"] >> 23) & 127) + LENGTH - 1]) for w in want if w["at"] & 0xFFFF == mark]
+                out += [(w["anchor"], doc_id, w["at"], w["hot"], text[(s := w["at"] >> 30) : s + ((w["at"] >> 23) & 127) + LENGTH - 1]) for w in want]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["anchor", "doc_id", "at", "hot", "data"])
 
-    return docs.join(lists, "doc_id").select("doc_id", "text", "wanted").mapInArrow(run, "anchor long, doc_id long, at long, hot boolean, data binary")
+    return map_arrow(docs.join(lists, ["doc_id", "mark"]).select("doc_id", "text", "wanted"), run, "anchor long, doc_id long, at long, hot boolean, data binary")
 
 
 def _by_window(pieces: DataFrame) -> DataFrame:
@@ -261,7 +261,7 @@ def _by_window(pieces: DataFrame) -> DataFrame:
                 h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[i : i + LENGTH]) for i in range(n)), dtype=np.int64).reshape(n, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.full(n, doc_id)), pa.array((at >> 30) + np.arange(n)), pa.array(np.full(n, at & 0xFFFF))], ["h1", "h2", "doc_id", "from", "mark"])
 
-    windows = pieces.mapInArrow(run, "h1 long, h2 long, doc_id long, from long, mark long")
+    windows = map_arrow(pieces, run, "h1 long, h2 long, doc_id long, from long, mark long")
     place = F.struct("doc_id", "from", "mark")
     firsts = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     return windows.join(firsts, ["h1", "h2"]).where(place > F.col("first")).select("doc_id", "mark", "from", (F.col("from") + LENGTH).alias("to"))
@@ -270,7 +270,7 @@ def _by_window(pieces: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, from, to): byte ranges of ``docs`` (doc_id, text) to remove; they may overlap and touch."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), text_mark().alias("mark"), "text")
     pieces = _pieces(docs)
     often = staged(pieces.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     release(spark)
@@ -281,10 +281,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     firsts = staged(common.groupBy("anchor", "piece").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first-pieces")
     twins = common.join(firsts.where("n > 1").select("anchor", "piece", "first"), ["anchor", "piece"]).where(place > F.col("first"))
     start, windows = F.shiftright("at", 30), F.shiftright("at", 23).bitwiseAND(F.lit(127))
-    spans = staged(twins.select("doc_id", F.col("at").bitwiseAND(F.lit(0xFFFF).cast("long")).alias("mark"), start.alias("from"), (start + windows + LENGTH - 1).alias("to")), "twin-spans")
+    spans = staged(twins.select("doc_id", _mark_of("at").alias("mark"), start.alias("from"), (start + windows + LENGTH - 1).alias("to")), "twin-spans")
     unlike = firsts.groupBy("anchor").agg(F.count("*").alias("pieces")).where("pieces > 1")
     wanted = firsts.join(unlike, "anchor").select("anchor", "first.doc_id", "first.at", (F.col("pieces") > HOT).alias("hot"))
     shown = staged(_shown(wanted, docs), "shown-pieces")
+    forget(often, common, firsts)
     release(spark)
     return spans.unionByName(_induced(shown.where("not hot"))).unionByName(_by_window(shown.where("hot")))
 
@@ -302,19 +303,17 @@ def cut_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(kept), runs
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    spans = staged(repeated_spans(docs), "spans")
+def _with_spans(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with the spans to remove in a new column, and the column's name."""
+    spans = staged(repeated_spans(docs.select("doc_id", "text")), "spans")
     release(docs.sparkSession)
-    lists = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("mark", "from", "to")).alias("_spans"))
-    return docs.join(lists, F.coalesce("doc_id", F.lit(_LAST)) == F.col("_id"), "left").drop("_id")
+    to, i, m = (unused([*docs.columns, *taken], c) for c, taken in (("spans", "im"), ("i", ["m"]), ("m", "i")))
+    lists = spans.groupBy(F.col("doc_id").alias(i), F.col("mark").alias(m)).agg(F.collect_list(F.struct("from", "to")).alias(to))
+    return docs.join(lists, (F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)) == F.col(i)) & (text_mark() == F.col(m)), "left").drop(i, m), to
 
 
-def _spans_of(data: bytes, spans: list[dict[str, int]] | None) -> list[tuple[int, int]]:
-    if not spans:
-        return []
-    mark = text_mark(data)
-    return [(s["from"], s["to"]) for s in spans if s["mark"] == mark]
+def _pairs(spans: list[dict[str, int]] | None) -> list[tuple[int, int]]:
+    return [(s["from"], s["to"]) for s in spans or ()]
 
 
 def repeat_digest(docs: DataFrame) -> DataFrame:
@@ -324,29 +323,27 @@ def repeat_digest(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for data, spans in zip(_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
-                left, runs = cut_spans(data, _spans_of(data, spans))
+                left, runs = cut_spans(data, _pairs(spans))
                 rows.append((len(data), len(data) - len(left), runs, hashlib.sha256(left).hexdigest()))
             n, removed, runs, sha = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = _with_spans(docs.select("doc_id", "text")).select("doc_id", "text", "_spans")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows, spans = _with_spans(docs.select(F.col("doc_id").cast("long"), "text"))
+    return map_arrow(rows.select("doc_id", "text", spans), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated strings cut out of ``text``; bytes of a character that was cut in two go as well.  Texts without repeats (null ones too) stay as they are."""
-    at = docs.columns.index("text")
-    rows = _with_spans(docs)
+    at, docs_columns = docs.columns.index("text"), docs.columns
+    rows, to = _with_spans(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()
-            for i, spans in enumerate(b.column("_spans").to_pylist()):
+            for i, spans in enumerate(b.column(len(docs_columns)).to_pylist()):
                 if texts[i] and spans:
-                    data = texts[i].encode("utf-8", "replace")
-                    texts[i] = cut_spans(data, _spans_of(data, spans))[0].decode("utf-8", "ignore")
+                    texts[i] = cut_spans(texts[i].encode("utf-8", "replace"), _pairs(spans))[0].decode("utf-8", "ignore")
             columns = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(docs_columns))]
             yield pa.RecordBatch.from_arrays(columns, docs_columns)
 
-    docs_columns = docs.columns
-    return rows.select(*docs_columns, "_spans").mapInArrow(run, rows.select(*docs_columns).schema)
+    return map_arrow(rows.select(*docs_columns, to), run, docs.schema)
