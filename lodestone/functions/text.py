@@ -147,6 +147,27 @@ def repo_of(url: Column) -> Column:
     return F.struct(path[0].alias("owner"), F.regexp_replace(path[1], r"\.git$", "").alias("name"))
 
 
+def file_name(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]+)$", 1)
+
+
+def decode(content: Column) -> Column:
+    """Bytes as UTF-8, without NUL characters; what isn't valid is replaced."""
+    return F.translate(F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.make_valid_utf8(content.cast("string"))), "\0", "")
+
+
+def replace_image_sources(text: Column, mapping: Column) -> Column:
+    """Markdown with the addresses of its images replaced by those that ``mapping`` (map<string,string>) has for them."""
+    urls = F.array_distinct(F.transform(markdown_images(text), lambda x: x["url"]))
+    known = F.filter(urls, lambda u: F.map_contains_key(mapping, u))
+    return F.aggregate(known, text, lambda t, u: F.replace(t, F.concat(F.lit("]("), u), F.concat(F.lit("]("), F.element_at(mapping, u))))
+
+
+def token_cost(texts: Column) -> Column:
+    """Tokens of an array of texts, null ones at no cost."""
+    return F.aggregate(F.transform(texts, token_count), F.lit(0), lambda s, n: s + n)
+
+
 def one_line(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), r"\s+", " ")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,3 +64,74 @@ def nested(parents: DataFrame, children: DataFrame, keys: list[str], fields: lis
     lists = children.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(to))
     kind = lists.schema[to].dataType
     return parents.join(lists, keys, "left").withColumn(to, F.coalesce(to, F.from_json(F.lit("[]"), kind)))
+
+
+def write_embeddings(files: DataFrame, embedded: DataFrame, path: str, keys: list[str] | None = None, done: str = "success", failed: str = "failed") -> DataFrame:
+    """Append ``embedded`` to the table at ``path``, and return ``files`` with the status of what was written.
+
+    Spark's committer shows all rows of the write or none; a file counts as done if it has a row there.
+    """
+    keys = keys or ["file_id"]
+    embedded.write.mode("append").parquet(path)
+    written = files.sparkSession.read.schema(embedded.schema).parquet(path)
+    return mark(files.withColumn("status", F.lit(failed)), written, keys, "status", F.lit(done))
+
+
+def with_details(saved: DataFrame, new: DataFrame, keys: list[str], at: str = "updated_at") -> DataFrame:
+    """One row of manifest details for each of ``keys``: the latest by ``at``, of rows as late the new one."""
+    both = saved.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return latest(both, keys, [F.desc_nulls_last(at), F.desc("_new"), F.desc("details")]).drop("recency", "_new")
+
+
+def new_repositories(saved: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``found`` (repo_full_name, repo_url, repo_created_at as ISO text, ...) that ``saved`` doesn't have yet, by name or address, with a repo_id and a timestamp."""
+    fresh = insert_absent(found.limit(0), found, ["repo_full_name"]).dropDuplicates(["repo_url"])
+    for key in ("repo_full_name", "repo_url"):
+        fresh = fresh.join(saved.select(key), key, "left_anti")
+    at = F.try_to_timestamp(F.regexp_replace("repo_created_at", "Z$", "+00:00"))
+    return fresh.select(F.sha2(F.lower("repo_full_name"), 256).alias("repo_id"), *found.columns).withColumn("repo_created_at", at)
+
+
+def update_vectors(table: DataFrame, vectors: DataFrame, id_col: str = "embed_id", vec_col: str = "vector") -> DataFrame:
+    """The next snapshot of ``table`` with the vectors of ``vectors`` (id_col, vec_col); ValueError if an id is unknown or comes twice.
+
+    Both checks are one aggregate; nothing is written here.
+    """
+    asked = vectors.groupBy(id_col).agg(F.count("*").alias("n")).join(table.select(id_col).distinct().withColumn("_known", F.lit(True)), id_col, "left")
+    unknown, twice = asked.agg(F.count_if(F.col("_known").isNull()), F.count_if(F.col("n") > 1)).first()
+    if unknown or twice:
+        raise ValueError(f"{unknown} ids are unknown, {twice} come more than once")
+    new = vectors.select(id_col, F.struct(F.col(vec_col).alias("v")).alias("_new"))
+    return table.join(new, id_col, "left").withColumn(vec_col, F.when(F.col("_new").isNotNull(), F.col("_new.v")).otherwise(F.col(vec_col))).drop("_new").select(*table.columns)
+
+
+def update_latest(table: DataFrame, asked: DataFrame, by: list[str], order: list[Column], keys: list[str], column: str) -> DataFrame:
+    """``table`` with ``column`` from ``asked`` (keys..., column), where the row asked for is the latest of its group; other requests change nothing."""
+    last = latest(table, by, order).select(*keys)
+    fit = asked.join(last, keys, "left_semi").select(*keys, F.struct(F.col(column).alias("v")).alias("_new"))
+    return table.join(fit, keys, "left").withColumn(column, F.when(F.col("_new").isNotNull(), F.col("_new.v")).otherwise(F.col(column))).drop("_new").select(*table.columns)
+
+
+def new_rooms(asked: DataFrame, existing: DataFrame, by: str, limit: int | Column, name: str = "New Chat") -> DataFrame:
+    """Rows of ``asked`` (by, chat_name, ...) within their owner's quota, with a default name where they have none, and named_by_user."""
+    allowed = within_quota(asked, existing, by, limit).where("allowed").drop("n", "allowed")
+    given = F.nullif(F.trim("chat_name"), F.lit(""))
+    return allowed.withColumn("named_by_user", given.isNotNull()).withColumn("chat_name", F.coalesce(given, F.lit(name)))
+
+
+def is_false(flag: Column) -> Column:
+    """True where ``flag`` is false; unlike ``not flag``, never null."""
+    return F.coalesce(flag == F.lit(False), F.lit(False))
+
+
+def append_new(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Append the ``rows`` whose ``keys`` the report at ``path`` doesn't hold yet, so that an interrupted report can be resumed; returns the whole report."""
+    spark = rows.sparkSession
+    try:
+        rest = rows.join(spark.read.schema(rows.schema).json(path).select(*keys), keys, "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rest = rows
+    rest.write.mode("append").json(path)
+    return spark.read.schema(rows.schema).json(path)

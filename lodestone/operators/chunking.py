@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import Any
 
 import pandas as pd
@@ -14,12 +18,20 @@ from ..functions import text as X
 
 _TOKEN = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]")
 
+_IMAGE = re.compile(r"!\[[^\]]*\]\([^)]+\)|<img\b", re.IGNORECASE)
+# Fixed value: the note before a piece of a table row.
+_ROW_NOTE = "<!-- Oversized table row fragment -->"
+SECTION_CHUNK = "chunk_no:int,n_tokens:int,chunk:string,is_image:boolean,is_table:boolean,is_code:boolean,headings:map<int,string>,h1:array<string>,h2:array<string>,fragment:int"
+
 
 def count_tokens(text: str) -> int:
     """The same count as functions.text.token_count; additive over words, which chunking relies on."""
     return len(_TOKEN.findall(text))
 
 
+_ROW_COST = count_tokens(_ROW_NOTE)
+
+
 def word_chunks(df: DataFrame, text: str = "text", target: int = 300, overlap: int = 50) -> DataFrame:
     """A row for each chunk of ``target`` words that overlaps its neighbour by ``overlap``, with the columns chunk_no, chunk_words and chunk.
 
@@ -90,92 +102,136 @@ def paragraph_chunks(df: DataFrame, text: str = "text", target: int = 300, sep:
     return df.select("*", F.posexplode(packed).alias("chunk_no", "_c")).withColumn("chunk_words", F.col("_c.cost")).withColumn("chunk", F.array_join(F.col("_c.parts"), sep)).drop("_c")
 
 
-def merge_sections(sections: list[dict[str, Any]], target: int = 300, most: int = 450, least: int = 150, count: Callable[[str], int] = count_tokens) -> list[dict[str, Any]]:
-    """Sections {headings {level: title}, content, is_image, is_table, is_code} merged up to a token budget.
+def merge_sections(sections: list[dict[str, Any]], target: int = 300, most: int = 450, least: int = 150, count: Callable[[str], int] = count_tokens, overlap: int = 0) -> list[dict[str, Any]]:
+    """Sections {headings {level: title}, content, is_image, is_table, is_code, context_tokens} merged up to a token budget.
 
     Images and tables flush what is gathered and stand alone, split if they are too long; a change of
-    the first two heading levels flushes once ``least`` tokens are there; nothing grows beyond ``most``.
+    the first two heading levels flushes once ``least`` tokens are there; nothing grows beyond ``most``, of which
+    context_tokens (0 if absent) are kept free for what a section's embedding text says before its content.
+    overlap: how many sections of a chunk open the next one too, if it has more of them.
     """
     out: list[dict[str, Any]] = []
     held: list[dict[str, Any]] = []
-    size = 0
+    fresh = False  # whether anything was added since the last flush
 
-    def flush() -> None:
-        nonlocal size
-        if held:
+    def flush(keep: int) -> None:
+        nonlocal fresh
+        if held and fresh:
             covered = {f"h{k}": list(dict.fromkeys(h for s in held if (h := s["headings"].get(k)))) for k in (1, 2)}
-            out.append({"content": "\n\n".join(s["content"] for s in held), "token_count": size, "headings": held[0]["headings"], "sections": covered, "is_image": False, "is_table": False, "is_code": any(s.get("is_code") for s in held)})
-            held.clear()
-            size = 0
+            out.append({
+                "content": "\n\n".join(s["content"] for s in held), "token_count": sum(s["n"] for s in held), "headings": held[0]["headings"], "sections": covered,
+                "is_image": False, "is_table": False, "is_code": any(s.get("is_code") for s in held), "fragment": held[0]["fragment"] if len(held) == 1 else None,
+            })
+        held[:] = held[-keep:] if 0 < keep < len(held) else []
+        fresh = False
 
     for s in sections:
-        n = count(s["content"])
+        room = max(1, most - s.get("context_tokens", 0))
+        alone = {"headings": s["headings"], "sections": {}, "is_image": bool(s.get("is_image")), "is_table": bool(s.get("is_table")), "is_code": False}
         if s.get("is_image") or s.get("is_table"):
-            flush()
-            pieces = split_table(s["content"], most, count) if s.get("is_table") else [s["content"]]
-            out += [{"content": p, "token_count": count(p), "headings": s["headings"], "sections": {}, "is_image": bool(s.get("is_image")), "is_table": bool(s.get("is_table")), "is_code": False} for p in pieces]
+            flush(0)
+            windows = image_pieces(s["content"]) if s.get("is_image") else [s["content"]]
+            for w in windows:
+                pieces = table_pieces(w, room, count) if s.get("is_table") else split_text(w, room, count)
+                out += [{**alone, "content": p, "token_count": count(p), "fragment": f} for p, f in pieces]
             continue
-        parts = [s["content"]] if n <= most else split_text(s["content"], most, count)
-        for p in parts:
-            m = count(p)
-            if held and ([held[-1]["headings"].get(k) for k in (1, 2)] != [s["headings"].get(k) for k in (1, 2)] and size >= least or size + m > most):
-                flush()
-            held.append({**s, "content": p})
-            size += m
-            if size >= target:
-                flush()
-    flush()
+        for p, fragment in split_text(s["content"], room, count):
+            n = count(p)
+            size = sum(x["n"] for x in held)
+            if held and ([held[-1]["headings"].get(k) for k in (1, 2)] != [s["headings"].get(k) for k in (1, 2)] and size >= least or size + n > most):
+                flush(overlap)
+                if sum(x["n"] for x in held) + n > most:
+                    held.clear()
+            held.append({**s, "content": p, "n": n, "fragment": fragment})
+            fresh = True
+            if sum(x["n"] for x in held) >= target:
+                flush(overlap)
+    flush(0)
     return out
 
 
-def split_text(text: str, most: int, count: Callable[[str], int] = count_tokens, overlap_words: int = 20) -> list[str]:
-    """Paragraphs packed up to ``most`` tokens; longer ones cut between words with an overlap."""
-    out: list[str] = []
+def split_text(text: str, most: int, count: Callable[[str], int] = count_tokens, overlap_words: int = 20) -> list[tuple[str, int | None]]:
+    """Paragraphs packed up to ``most`` tokens; longer ones cut between words with an overlap and numbered as fragments."""
+    if count(text) <= most:
+        return [(text, None)]
+    out: list[tuple[str, int | None]] = []
     held: list[str] = []
     size = 0
     for p in (p for p in text.split("\n\n") if p.strip()):
         n = count(p)
         if held and size + n > most:
-            out.append("\n\n".join(held))
+            out.append(("\n\n".join(held), None))
             held, size = [], 0
         if n > most:
             words = p.split()
-            costs = [count(w) for w in words]
-            a = 0
+            sums = [0, *accumulate(map(count, words))]
+            a = k = 0
             while a < len(words):
-                b, used = a + 1, costs[a]
-                while b < len(words) and used + costs[b] <= most:
-                    used += costs[b]
-                    b += 1
-                out.append(" ".join(words[a:b]))
-                a = b if b == len(words) else max(a + 1, b - overlap_words)
+                b = max(a + 1, bisect_right(sums, sums[a] + most) - 1)
+                out.append((" ".join(words[a:b]), k))
+                a, k = (b, k) if b == len(words) else (max(a + 1, b - overlap_words), k + 1)
         else:
             held.append(p)
             size += n
     if held:
-        out.append("\n\n".join(held))
+        out.append(("\n\n".join(held), None))
     return out
 
 
-def split_table(table: str, most: int, count: Callable[[str], int] = count_tokens) -> list[str]:
-    """Rows packed up to ``most`` tokens under the repeated two header lines; a header alone stays whole."""
-    lines = table.split("\n")
-    head, rows = lines[:2], lines[2:]
-    if not rows or count(table) <= most:
-        return [table]
+def image_pieces(text: str) -> list[str]:
+    """A window for each image of ``text``, from the image before it (or the start) to the one behind it (or the end)."""
+    starts = [m.start() for m in _IMAGE.finditer(text)]
+    if len(starts) < 2:
+        return [text]
+    edges = [0, *starts[1:], len(text)]  # the first window opens with the text, the others with the image before
+    return [re.sub(r"\n{3,}", "\n\n", text[(edges[0] if i == 0 else starts[i - 1]) : (starts[i + 1] if i + 1 < len(starts) else edges[-1])].strip()) for i in range(len(starts))]
+
+
+def table_pieces(text: str, most: int, count: Callable[[str], int] = count_tokens, overlap_chars: int = 100) -> list[tuple[str, int | None]]:
+    """(piece, fragment): rows packed up to ``most`` tokens under what stands before the table and its two header lines.
+
+    What stands behind the table goes with its last piece.  A row that is too long alone is cut into
+    numbered fragments that overlap by ``overlap_chars``; a header alone stays whole.
+    """
+    if count(text) <= most:
+        return [(text, None)]
+    lines = text.split("\n")
+    in_table = [x.strip().startswith("|") for x in lines]
+    first = in_table.index(True) if True in in_table else len(lines)
+    end = next((i for i in range(first, len(lines)) if not in_table[i]), len(lines))
+    head, rows, tail = lines[: first + 2], lines[first + 2 : end], lines[end:]
+    if end - first < 3:
+        return [(text, None)]
     base = count("\n".join(head))
-    out: list[str] = []
+    out: list[tuple[list[str], int | None]] = []
     held: list[str] = []
     size = base
     for r in rows:
         n = count(r)
         if held and size + n > most:
-            out.append("\n".join(head + held))
+            out.append((head + held, None))
             held, size = [], base
+        if base + n > most:
+            a = k = 0
+            while a < len(r):
+                low, high = a + 1, len(r)  # the longest slice that fits, one character at least
+                while low < high:
+                    middle = (low + high + 1) // 2
+                    low, high = (middle, high) if count(r[a:middle]) <= most - base - _ROW_COST else (low, middle - 1)
+                out.append(([*head, _ROW_NOTE, r[a:low]], k))
+                a, k = (low if low == len(r) else max(a + 1, low - overlap_chars)), k + 1
+            continue
         held.append(r)
         size += n
-    out.append("\n".join(head + held))
-    return out
+    if held:
+        out.append((head + held, None))
+    out[-1] = (out[-1][0] + tail, out[-1][1])
+    return [("\n".join(x), k) for x, k in out]
+
+
+def split_table(table: str, most: int, count: Callable[[str], int] = count_tokens) -> list[str]:
+    """table_pieces() without their numbers."""
+    return [p for p, _ in table_pieces(table, most, count)]
 
 
 def split_code(code: str, limit: int = 450, count: Callable[[str], int] = count_tokens) -> list[str]:
@@ -196,14 +252,51 @@ def split_code(code: str, limit: int = 450, count: Callable[[str], int] = count_
     return out
 
 
-def section_chunks(sections: DataFrame, by: str, order: str, **limits: int) -> DataFrame:
-    """merge_sections() over ``sections`` (by, order, headings, content, is_image, is_table, is_code), one file at a time."""
+def split_definition(code: str, statements: list[tuple[int, int]], limit: int = 450, count: Callable[[str], int] = count_tokens) -> list[tuple[str, int, int]]:
+    """(piece, first line, last line) of a definition whose body has ``statements`` (first and last line within ``code``).
+
+    Whole statements are packed behind the signature, what stands before the first of them, and a brace that
+    closes the body closes each piece.  Where a statement is too long for that, lines are packed instead.
+    """
+    lines = code.split("\n")
+    last = len(lines) - 1
+    if count(code) <= limit:
+        return [(code, 0, last)]
+    if statements:
+        signature = "\n".join(lines[: statements[0][0]])
+        closing = "\n}" if signature.rstrip().endswith("{") else ""
+        base = count(signature) + count(closing)
+        groups: list[list[tuple[int, int]]] = []
+        size = limit
+        for a, b in statements:
+            n = count("\n".join(lines[a : b + 1]))
+            if not groups or size + n > limit:
+                groups.append([])
+                size = base
+            groups[-1].append((a, b))
+            size += n
+        pieces = [("\n".join([signature, *lines[g[0][0] : g[-1][1] + 1]]) + closing, g[0][0], g[-1][1]) for g in groups]
+        if all(count(p) <= limit for p, _, _ in pieces):
+            return pieces
+    return [(p, 0, last) for p in split_code(code, limit, count)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order).to_dict("records")
-        items = [{**r, "headings": {int(k): v for k, v in dict(r["headings"] or {}).items()}} for r in rows]
-        merged = merge_sections(items, **limits)
-        return pd.DataFrame([(pdf[by].iloc[0], i, m["token_count"], m["content"], m["is_image"], m["is_table"], m["is_code"]) for i, m in enumerate(merged)], columns=["k", "chunk_no", "n_tokens", "chunk", "is_image", "is_table", "is_code"])
 
-    kind = sections.schema[by].dataType.simpleString()
-    return sections.groupBy(by).applyInPandas(run, f"k {kind}, chunk_no int, n_tokens int, chunk string, is_image boolean, is_table boolean, is_code boolean").withColumnRenamed("k", by)
+def section_chunks(sections: DataFrame, by: str | list[str], order: str, **limits: int) -> DataFrame:
+    """merge_sections() over ``sections`` (by..., order, headings, content, is_image, is_table, is_code), one file at a time.
+
+    A file's sections travel as one array, so a file must fit in a task; files do.
+    """
+    keys = [by] if isinstance(by, str) else by
+    fields = ["headings", "content", "is_image", "is_table", "is_code", *(["context_tokens"] if "context_tokens" in sections.columns else [])]
+    lists = sections.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, F.to_json(F.struct(*fields)).alias("s")))).alias("_sections"))
+
+    @F.udf(f"array<struct<{SECTION_CHUNK}>>", useArrow=True)
+    def merged(items: list[Any]) -> list[tuple[Any, ...]]:
+        rows = [json.loads(x["s"]) for x in items]
+        rows = [{**r, "content": r.get("content") or "", "headings": {int(k): v for k, v in (r.get("headings") or {}).items()}} for r in rows]
+        return [
+            (i, m["token_count"], m["content"], m["is_image"], m["is_table"], m["is_code"], {k: v for k, v in m["headings"].items() if v}, m["sections"].get("h1", []), m["sections"].get("h2", []), m["fragment"])
+            for i, m in enumerate(merge_sections(rows, **limits))
+        ]
+
+    return lists.select(*keys, F.inline(merged("_sections")))

@@ -4,25 +4,34 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunking import split_code
+from .chunking import count_tokens, split_definition
 
-SCHEMA = "path string, kind string, name string, comment string, parent_class string, parent_function string, content string, start_line int, end_line int"
+SCHEMA = "kind:string,name:string,comment:string,parent_class:string,parent_function:string,content:string,start_line:int,end_line:int"
 Chunk = tuple[str, str | None, str | None, str | None, str | None, str, int, int]
 #: Nested functions shorter than this stay inside their parent.
 INLINE_LINES = 10
+_MODIFIERS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|virtual|override|async|inline|extern|unsafe|default|synchronized|readonly)\s+)*"
 _OPENERS = {
-    "javascript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(class|function|interface|type|enum)\s*\*?\s*([\w$]+)|^\s*(?:export\s+)?const\s+([\w$]+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>",
-    "java": r"^\s*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*(class|interface|enum|record)\s+(\w+)",
+    "javascript": r"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(class|function|interface|type|enum)\s*\*?\s*([\w$]+)|^\s*(?:export\s+)?const\s+([\w$]+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*=>",
+    "java": rf"^\s*{_MODIFIERS}(class|interface|enum|record)\s+(\w+)",
     "go": r"^(func|type)\s+(?:\([^)]*\)\s*)?(\w+)",
+    "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(fn|struct|enum|trait|impl|mod)\b(?:<[^>]*>)?\s*(?:[\w:<>]+\s+for\s+)?(\w+)",
+    "c": r"^(?:typedef\s+)?(struct|enum|union|class|namespace)\s+(\w+)[^;=()]*$|^(?!\s|#|return\b|else\b)[\w:*&<>,~\s]*?[\s*&](\w[\w:~]*)\s*\([^;]*$",
 }
-_OPENERS["typescript"] = _OPENERS["javascript"]
-_KINDS = {"func": "function", "type": "type", "record": "class"}
+_OPENERS |= {"typescript": _OPENERS["javascript"], "cpp": _OPENERS["c"], "kotlin": rf"^\s*{_MODIFIERS}(class|interface|enum|fun|object)\s+(\w+)", "php": rf"^\s*{_MODIFIERS}(class|interface|trait|enum|function)\s+(\w+)"}
+_KINDS = {"func": "function", "fn": "function", "fun": "function", "record": "class", "impl": "class", "object": "class", "trait": "interface", "union": "struct", "mod": "namespace"}
+#: Lines inside the braces of a class that open a method.
+_METHODS = {
+    "javascript": r"^\s*(?:(?:public|private|protected|static|async|get|set|override|readonly)\s+)*[*#]?([\w$]+)\s*(?:<[^>]*>)?\([^;]*\)?[^;=]*\{\s*$|^\s*(?:(?:public|private|protected|static|readonly)\s+)*([\w$]+)\s*=\s*(?:async\s*)?\([^)]*\)[^=]*=>",
+    "java": rf"^\s*(?:@\w+(?:\([^)]*\))?\s+)*{_MODIFIERS}(?:<[^>]*>\s*)?(?:[\w.<>\[\],?\s]+\s+)?(\w+)\s*\([^;]*$",
+    "rust": _OPENERS["rust"],
+}
+_METHODS |= {"typescript": _METHODS["javascript"], "kotlin": r"^\s*(?:\w+\s+)*fun\s+(\w+)", "php": r"^\s*(?:\w+\s+)*function\s+(\w+)", "cpp": r"^\s*[\w:*&<>,~\s]*?(~?\w+)\s*\([^;]*$"}
+_CONTROL = frozenset("if for while switch catch return else do try match loop foreach synchronized function".split())
 
 
 def significant(name: Column, value: Column, keep_all: Column | bool = False) -> Column:
@@ -34,7 +43,7 @@ def significant(name: Column, value: Column, keep_all: Column | bool = False) ->
 def _comment(lines: list[str], start: int) -> str | None:
     """The block of comment lines right above."""
     a = start
-    while a > 0 and lines[a - 1].strip().startswith(("#", "//", "*", "/*")):
+    while a > 0 and lines[a - 1].strip().startswith(("#", "//", "*", "/*")) and not lines[a - 1].lstrip().startswith(("#include", "#define", "#pragma", "#[")):
         a -= 1
     return "\n".join(x.strip() for x in lines[a:start]) or None
 
@@ -72,60 +81,133 @@ def python_chunks(code: str) -> list[Chunk]:
     return out
 
 
+def _block_end(lines: list[str], i: int, stop: int, opener: str) -> int:
+    """The last line of the definition that opens at line ``i``: where its braces close, or where it ends without any."""
+    depth, opened = 0, False
+    for j in range(i, stop):
+        bare = re.sub(r"""//.*|/\*.*?\*/|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'""", "", lines[j])
+        depth += bare.count("{") - bare.count("}")
+        opened = opened or "{" in bare
+        if opened and depth <= 0 or not opened and bare.rstrip().endswith(";"):
+            return j
+        if not opened and (j > i and bare.rstrip().endswith(")") or j + 1 < stop and re.match(opener, lines[j + 1])):
+            return j
+    return stop - 1
+
+
+def _methods(lines: list[str], start: int, end: int, language: str) -> list[tuple[str, int, int]]:
+    """(name, first line, last line) of the methods between the braces of a class."""
+    found: list[tuple[str, int, int]] = []
+    pattern = _METHODS.get(language)
+    i = next((k for k in range(start, end + 1) if "{" in lines[k]), end) + 1
+    while pattern and i < end:
+        m = re.match(pattern, lines[i])
+        name = next((g for g in reversed(m.groups()) if g), None) if m else None
+        if not name or name in _CONTROL:
+            i += 1
+            continue
+        j = _block_end(lines, i, end, r"(?!)")
+        if any("{" in x for x in lines[i : j + 1]):
+            found.append((name, i, j))
+            i = j
+        i += 1
+    return found
+
+
 def brace_chunks(code: str, language: str) -> list[Chunk]:
-    """Top-level definitions of a language with braces, up to the brace that closes them; the rest is global."""
+    """Definitions of a language with braces, up to the brace that closes them; a class gives a summary and its methods; the rest is global."""
     lines = code.split("\n")
     out: list[Chunk] = []
     rest: list[int] = []
     i = 0
     while i < len(lines):
         m = re.match(_OPENERS[language], lines[i])
-        if not m:
-            if lines[i].strip() and not re.match(r"\s*(//|/\*|\*|(import|package|from)\b)", lines[i]):
+        word = (m[1] or "function") if m else ""
+        name = next((g for g in m.groups()[1:] if g), None) if m else None
+        if not m or name in _CONTROL:
+            if lines[i].strip() and not re.match(r"\s*(//|/\*|\*|(import|package|from|use|using)\b|#include\b)", lines[i]):
                 rest.append(i)
             i += 1
             continue
-        groups = m.groups()
-        word = groups[0] or "function"
-        depth, j, opened = 0, i, False
-        while j < len(lines):
-            bare = re.sub(r"""//.*|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'""", "", lines[j])
-            depth += bare.count("{") - bare.count("}")
-            opened = opened or "{" in bare
-            if (opened and depth <= 0) or (not opened and bare.rstrip().endswith((";", ")")) and j > i):
-                break
-            if not opened and j + 1 < len(lines) and re.match(_OPENERS[language], lines[j + 1]):
-                break
-            j += 1
-        j = min(j, len(lines) - 1)
+        j = _block_end(lines, i, len(lines), _OPENERS[language])
         kind = _KINDS.get(word, word)
         if language == "go" and word == "type":
             kind = "struct" if " struct" in lines[i] else "interface" if " interface" in lines[i] else "type"
-        out.append((kind, next((g for g in groups[1:] if g), None), _comment(lines, i), None, None, "\n".join(lines[i : j + 1]), i, j))
+        methods = _methods(lines, i, j, language) if kind == "class" else []
+        if methods:
+            out.append(("class_summary", name, _comment(lines, i), None, None, f"class {name}: " + ", ".join(x for x, _, _ in methods), i, j))
+            out += [("method", x, _comment(lines, a), name, None, "\n".join(lines[a : b + 1]), a, b) for x, a, b in methods]
+        else:
+            out.append((kind, name, _comment(lines, i), None, None, "\n".join(lines[i : j + 1]), i, j))
         i = j + 1
     if rest:
         out.insert(0, ("global", None, None, None, None, "\n".join(lines[k] for k in rest), rest[0], rest[-1]))
     return out
 
 
-def code_chunks(files: DataFrame, limit: int = 450) -> DataFrame:
-    """SCHEMA rows and part for ``files`` (path, language, content): definitions, cut to ``limit`` tokens (name (part n)).
+def _statements(text: str, language: str) -> list[tuple[int, int]]:
+    """First and last line of each statement in the body of the definition ``text``."""
+    lines = text.split("\n")
+    if language == "python":
+        inner = ast.parse("\n".join(x[len(lines[0]) - len(lines[0].lstrip()) :] if x.strip() else "" for x in lines)).body
+        body = inner[0].body if len(inner) == 1 and hasattr(inner[0], "body") else inner
+        first = lambda s: min([s.lineno, *(d.lineno for d in getattr(s, "decorator_list", []))]) - 1
+        return [(first(s), (s.end_lineno or s.lineno) - 1) for s in body]
+    out: list[tuple[int, int]] = []
+    i = next((k for k, x in enumerate(lines) if "{" in x), len(lines)) + 1
+    while i < len(lines) - 1:
+        if lines[i].strip():
+            depth, j = 0, i
+            while j < len(lines) - 1:
+                bare = re.sub(r"""//.*|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'""", "", lines[j])
+                depth += sum(bare.count(x) for x in "{([") - sum(bare.count(x) for x in "})]")
+                if depth <= 0:
+                    break
+                j += 1
+            out.append((i, min(j, len(lines) - 2)))
+            i = out[-1][1]
+        i += 1
+    return out
+
+
+def chunks_of(language: str | None, code: str | None, limit: int = 450) -> list[tuple[object, ...]]:
+    """SCHEMA fields and part of every chunk of a file."""
+    code = code or ""
+    try:
+        found = python_chunks(code) if language == "python" else brace_chunks(code, language) if language in _OPENERS else []
+    except (SyntaxError, ValueError, RecursionError):
+        found = []
+    found = found or [("text", None, None, None, None, code, 0, code.count("\n"))]
+    rows: list[tuple[object, ...]] = []
+    for kind, name, comment, cls, fn, text, a, b in found:
+        body: list[tuple[int, int]] = []
+        if kind in ("function", "method") and count_tokens(text) > limit:
+            try:
+                body = _statements(text, language or "")
+            except (SyntaxError, ValueError, RecursionError):
+                body = []
+        parts = split_definition(text, body, limit)
+        whole = len(parts) == 1
+        rows += [(kind, name if whole or not name else f"{name} (part {i + 1})", comment, cls, fn, p, a if whole or not body else a + x, b if whole or not body else a + y, i) for i, (p, x, y) in enumerate(parts)]
+    return rows
+
+
+def code_chunks(files: DataFrame, limit: int = 450, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(keys..., SCHEMA, part) for ``files`` (keys..., language, content): definitions, cut to ``limit`` tokens between statements (name (part n)).
 
     Files that don't parse, or have no definition, come as one chunk of kind text.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, lang, code in zip(pdf["path"], pdf["language"], pdf["content"], strict=True):
-                try:
-                    found = python_chunks(code or "") if lang == "python" else brace_chunks(code or "", lang) if lang in _OPENERS else []
-                except (SyntaxError, ValueError, RecursionError):
-                    found = []
-                found = found or [("text", None, None, None, None, code or "", 0, (code or "").count("\n"))]
-                for kind, name, comment, cls, fn, text, a, b in found:
-                    parts = split_code(text, limit)
-                    rows += [(path, kind, f"{name} (part {i + 1})" if name and len(parts) > 1 else name, comment, cls, fn, p, a, b, i) for i, p in enumerate(parts)]
-            yield pd.DataFrame(rows, columns=[*(c.split()[0] for c in SCHEMA.split(", ")), "part"])
-
-    return files.select("path", "language", "content").mapInPandas(run, SCHEMA + ", part int")
+    @F.udf(f"array<struct<{SCHEMA},part:int>>", useArrow=True)
+    def chunks(language: str | None, content: str | None) -> list[tuple[object, ...]]:
+        return chunks_of(language, content, limit)
+
+    return files.select(*keys, F.inline(chunks("language", "content")))
+
+
+def global_variables(files: DataFrame, keys: tuple[str, ...] = ("path",), keep_all: bool = False) -> DataFrame:
+    """(keys..., name, value) of the assignments in the first column of ``files`` (keys..., content) that are significant()."""
+    lines = files.select(*keys, F.explode(F.split("content", "\n")).alias("line"))
+    pattern = r"^(?:(?:export|const|let|var|final|static|public)\s+)*([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=(?!=)\s*(.+)$"
+    found = lines.where(F.col("line").rlike(pattern)).select(*keys, F.regexp_extract("line", pattern, 1).alias("name"), F.trim(F.regexp_extract("line", pattern, 2)).alias("value"))
+    return found.where(significant(F.col("name"), F.col("value"), keep_all))

@@ -59,3 +59,16 @@ def multiset_rest(wanted: DataFrame, done: DataFrame) -> DataFrame:
 def replace_or_append(saved: DataFrame, new: DataFrame, key: Column) -> DataFrame:
     """``new`` and the rows of ``saved`` that no row of ``new`` has the same key as."""
     return saved.withColumn("_key", key).join(new.select(key.alias("_key")).distinct(), "_key", "left_anti").drop("_key").unionByName(new)
+
+
+def judge_scores(rows: DataFrame, scores: list[str], report: str = "evaluation") -> DataFrame:
+    """``rows`` with an int column for each of ``scores`` from a judge's JSON report: null unless it is a whole number from 0 to 2, and never from true or false."""
+    raw = lambda c: F.get_json_object(report, f"$.{c}.score")
+    return rows.withColumns({c: F.when(raw(c).rlike(r"^[0-2]$"), raw(c).cast("int")) for c in scores})
+
+
+def recalculated(saved: DataFrame, selected: DataFrame, by: list[str], scores: list[str]) -> DataFrame:
+    """judge_averages() of the rows of a ``saved`` report that ``selected`` names, as often as it names them: one row is one case, not all with its key."""
+    number = lambda df: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*[c for c in df.columns if c not in by] or [F.lit(1)])))
+    chosen = number(saved).join(number(selected.select(*by)), [*by, "_n"], "left_semi").drop("_n")
+    return judge_averages(chosen, scores)

@@ -6,7 +6,6 @@ import ast
 import posixpath
 import re
 import sys
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,7 +17,8 @@ JAVA_PREFIXES = ("java.", "javax.", "jdk.", "sun.", "com.sun.", "org.w3c.", "org
 JS_SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 JAVA_ROOTS = ("", "src", "src/main/java", "src/test/java")
 
-SCHEMA = "path string, language string, source string, alias string, symbols array<struct<name:string,alias:string>>, is_wildcard boolean, is_static boolean, is_dynamic boolean"
+SCHEMA = "source:string,alias:string,symbols:array<struct<name:string,alias:string>>,is_wildcard:boolean,is_static:boolean,is_dynamic:boolean"
+RUST_PREFIXES = ("std::", "core::", "alloc::")
 Import = tuple[str, str | None, list[tuple[str, str | None]], bool, bool, bool]
 
 
@@ -64,24 +64,47 @@ def go_imports(code: str) -> list[Import]:
     return [(m[2], m[1], [], m[1] == ".", False, False) for b in blocks for m in re.finditer(r'(?:([\w.]+)\s+)?"([^"]+)"', b)]
 
 
-EXTRACTORS = {"python": python_imports, "javascript": js_imports, "typescript": js_imports, "java": java_imports, "go": go_imports}
+def rust_imports(code: str) -> list[Import]:
+    """One import for each leaf of the trees that ``use`` declares."""
+    out: list[Import] = []
+
+    def leaves(prefix: str, tree: str) -> None:
+        head, brace, rest = tree.partition("{")
+        if not brace:
+            path, _, alias = (x.strip() for x in (prefix + tree).partition(" as "))
+            star, self_ = path.endswith("::*"), path.endswith("::self")
+            path = path.removesuffix("::*").removesuffix("::self")
+            out.append((path, alias or None, [] if star or self_ else [(path.rpartition("::")[2], alias or None)], star, False, False))
+            return
+        depth, start = 0, 0
+        inner = rest.rpartition("}")[0]
+        for i, ch in enumerate(inner + ","):
+            depth += (ch == "{") - (ch == "}")
+            if ch == "," and not depth:
+                if part := inner[start:i].strip():
+                    leaves(prefix + head.strip(), part)
+                start = i + 1
+
+    for m in re.finditer(r"^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", code, re.M):
+        leaves("", re.sub(r"\s+", " ", m[1]).strip())
+    return out
 
 
-def extract_imports(files: DataFrame) -> DataFrame:
-    """SCHEMA rows for every import of ``files`` (path, language, content); files that don't parse give none."""
+EXTRACTORS = {"rust": rust_imports, "python": python_imports, "javascript": js_imports, "typescript": js_imports, "java": java_imports, "go": go_imports}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path, lang, code in zip(pdf["path"], pdf["language"], pdf["content"], strict=True):
-                try:
-                    found = EXTRACTORS[lang](code) if lang in EXTRACTORS and code is not None else []
-                except (SyntaxError, ValueError, RecursionError):
-                    continue
-                rows += [(path, lang, s, a, [{"name": n, "alias": x} for n, x in names], w, st, dyn) for s, a, names, w, st, dyn in found]
-            yield pd.DataFrame(rows, columns=["path", "language", "source", "alias", "symbols", "is_wildcard", "is_static", "is_dynamic"])
 
-    return files.select("path", "language", "content").mapInPandas(run, SCHEMA)
+def imports_of(language: str | None, code: str | None) -> list[Import]:
+    """The imports of a file; none if it doesn't parse."""
+    try:
+        return EXTRACTORS[language](code) if language in EXTRACTORS and code is not None else []
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+
+
+def extract_imports(files: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(keys..., language, SCHEMA) for every import of ``files`` (keys..., language, content); files that don't parse give none."""
+    found = F.udf(imports_of, f"array<struct<{SCHEMA}>>", useArrow=True)
+    return files.where(F.col("language").isin(*EXTRACTORS)).select(*keys, "language", F.inline(found("language", "content")))
 
 
 def _roots(folder: str) -> list[str]:
@@ -130,6 +153,21 @@ def candidates(path: str, language: str, source: str, go_modules: dict[str, str]
         if home is not None and (source == go_modules[home] or source.startswith(go_modules[home] + "/")):
             return "internal", [_join(home, source[len(go_modules[home]) :].lstrip("/"))]
         return ("external" if "." in source.split("/")[0] else "stdlib"), []
+    if language == "rust":
+        if source.startswith(RUST_PREFIXES):
+            return "stdlib", []
+        parts = source.split("::")
+        if parts[0] not in ("crate", "self", "super"):
+            return "external", []
+        # the folder that a module's children lie in: its own for main, lib and mod, else the one named after it
+        stem = posixpath.basename(path).removesuffix(".rs")
+        own = folder if stem in ("main", "lib", "mod") else _join(folder, stem)
+        home = next((r for r in roots if posixpath.basename(r) == "src"), "src") if parts[0] == "crate" else own
+        while parts and parts[0] in ("crate", "self", "super"):
+            home = _join(home, "..") if parts[0] == "super" else home
+            parts = parts[1:]
+        stems = [_join(home, *parts[:i]) for i in range(len(parts), 0, -1)]  # the last names may be items of a module
+        return "internal", [c for s in stems for c in (s + ".rs", _join(s, "mod.rs"))]
     return "unknown", []
 
 

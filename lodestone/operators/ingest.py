@@ -10,10 +10,15 @@ from .access import upsert
 IMAGES = ("png", "jpg", "jpeg", "gif", "webp", "bmp", "svg", "ico", "tiff")
 DOCUMENTS = ("pdf", "docx", "pptx", "odt", "rtf", "doc", "ppt")
 DATA = ("csv", "tsv", "xls", "xlsx", "xlsm", "ods", "parquet")
-LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "rb": "ruby", "php": "php", "kt": "kotlin", "scala": "scala", "sh": "bash", "sql": "sql", "css": "css", "html": "html"}
+LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "rs": "rust", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "cxx": "cpp", "hpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "swift": "swift", "dart": "dart", "lua": "lua", "r": "r", "pl": "perl", "hs": "haskell", "ex": "elixir", "exs": "elixir", "sh": "bash", "bash": "bash", "ps1": "powershell", "sql": "sql", "css": "css", "scss": "scss", "html": "html", "vue": "vue", "mjs": "javascript", "cjs": "javascript", "pyi": "python"}
 TEXTS = ("md", "txt", "rst", "json", "yaml", "yml", "toml", "xml", "ini", "cfg", "ipynb", "mod")
-IGNORED_FOLDERS = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".idea", ".vscode", "target")
-IGNORED_NAMES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "uv.lock", "Cargo.lock", "go.sum")
+# Folders and lock files that hold nothing written by hand.
+IGNORED_FOLDERS = (".git", "node_modules", "__pycache__", ".venv", ".target", "build")
+IGNORED_NAMES = (
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "deno.lock", "uv.lock", "poetry.lock", "Pipfile.lock", "pdm.lock", "go.sum",
+    "gradle.lockfile", "pom.xml.tag", "Cargo.lock", "Gemfile.lock", "composer.lock", "mix.lock",
+)
+IGNORED_EXTENSIONS = ("lock", "lockfile")
 
 
 def extension(path: Column) -> Column:
@@ -26,7 +31,8 @@ def file_name(path: Column) -> Column:
 
 def wanted(path: Column) -> Column:
     """False for files in ignored folders and for lock files."""
-    return ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, IGNORED_FOLDERS))) & ~file_name(path).isin(*IGNORED_NAMES)
+    lock = file_name(path).isin(*IGNORED_NAMES) | extension(path).isin(*IGNORED_EXTENSIONS)
+    return ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, IGNORED_FOLDERS))) & ~lock
 
 
 def language(ext: Column) -> Column:

@@ -6,17 +6,15 @@ import json
 import re
 import tomllib
 import xml.etree.ElementTree as ET
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 Row = tuple[str, str, str]
-SCHEMA = "path string, name string, version string, type string, language string"
 _OPERATOR = re.compile(r"===|==|>=|<=|~=|=~|!=|<|>|=")
 
 
@@ -95,13 +93,10 @@ def pom_xml(text: str) -> list[Row]:
         own = get(root, name) or (get(parent, name) if parent is not None else "")
         values |= {f"project.{name}": own, name: own}
 
-    def fill(s: str) -> str:
-        for _ in range(10):
-            new = re.sub(r"\$\{([^}]+)\}", lambda m: values.get(m[1], m[0]), s)
-            if new == s:
-                break
-            s = new
-        return s
+    def fill(s: str, open_: frozenset[str] = frozenset()) -> str:
+        """``s`` with its properties filled in, and theirs; what is unknown, or defined by itself, stays as it is written."""
+        put = lambda m: fill(values[m[1]], open_ | {m[1]}) if m[1] in values and m[1] not in open_ else m[0]
+        return re.sub(r"\$\{([^}]+)\}", put, s)
 
     rows = lambda at, kind: [(f"{fill(get(d, 'groupId'))}:{fill(get(d, 'artifactId'))}", fill(get(d, "version")) or "managed", kind or get(d, "scope") or "compile") for d in root.findall(at)]
     return rows("dependencies/dependency", "") + rows("dependencyManagement/dependencies/dependency", "management")
@@ -132,21 +127,98 @@ def route(path: str) -> tuple[str, Callable[[str], list[Row]]] | None:
     return {"package.json": ("javascript", package_json), "pyproject.toml": ("python", pyproject), "environment.yml": ("python", environment_yml), "environment.yaml": ("python", environment_yml), "pom.xml": ("java", pom_xml), "go.mod": ("go", go_mod)}.get(name)
 
 
-def dependencies(files: DataFrame) -> DataFrame:
-    """SCHEMA rows of the manifests among ``files`` (path, content); files that don't parse give none."""
+def _without(data: dict[str, Any], *names: str) -> dict[str, Any]:
+    return {k: v for k, v in data.items() if k not in names}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows: list[tuple[Any, ...]] = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                if (found := route(path)) and content is not None:
-                    try:
-                        rows += [(path, *r, found[0]) for r in found[1](content)]
-                    except (ValueError, ET.ParseError, AttributeError):
-                        continue
-            yield pd.DataFrame(rows, columns=["path", "name", "version", "type", "language"])
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+def package_details(text: str) -> dict[str, Any]:
+    return _without(json.loads(text), "dependencies", "devDependencies", "peerDependencies", "optionalDependencies", "bundledDependencies")
+
+
+def pyproject_details(text: str) -> dict[str, Any]:
+    """What isn't a list of dependencies; of Poetry's, the python version stays."""
+    data = _without(tomllib.loads(text), "dependency-groups")
+    if "project" in data:
+        data["project"] = _without(data["project"], "dependencies", "optional-dependencies")
+    if poetry := data.get("tool", {}).get("poetry"):
+        python = poetry.get("dependencies", {}).get("python")
+        kept = _without(poetry, "dependencies", "dev-dependencies", "group") | ({"python": python} if python is not None else {})
+        data["tool"] = data["tool"] | {"poetry": kept}
+    return data
+
+
+def environment_details(text: str) -> dict[str, Any]:
+    """Top-level entries but the dependencies: a text, or a list of texts."""
+    out: dict[str, Any] = {}
+    name = ""
+    for line in text.splitlines():
+        body = line.strip()
+        if not body or body.startswith("#"):
+            continue
+        if not line[0].isspace() and not body.startswith("-"):
+            name, _, value = (x.strip() for x in body.partition(":"))
+            out[name] = value.strip("'\"") or []
+        elif body.startswith("-") and isinstance(out.get(name), list):
+            out[name].append(body[1:].strip().strip("'\""))
+    return _without(out, "dependencies")
+
+
+def pom_details(text: str) -> dict[str, Any]:
+    root = ET.fromstring(text)
+    for e in root.iter():
+        e.tag = e.tag.rpartition("}")[2]
+    texts = lambda at: {e.tag: (e.text or "").strip() for e in root.findall(at) if not len(e)}
+    parent, values = texts("parent/*"), texts("properties/*")
+    own = {k: v for k, v in texts("*").items() if v}
+    own = {k: parent[k] for k in ("groupId", "version") if k in parent} | own
+    return own | ({"properties": values} if values else {}) | ({"parent": parent} if parent else {})
+
+
+def go_details(text: str) -> dict[str, Any]:
+    names = {"module": "name", "go": "goVersion", "toolchain": "toolchain"}
+    found = (re.match(r"(module|go|toolchain)\s+([^\s/]\S*)", line.strip()) for line in text.splitlines())
+    return {names[m[1]]: m[2] for m in found if m}
+
+
+DETAILS: dict[Callable[[str], list[Row]], Callable[[str], dict[str, Any]]] = {package_json: package_details, pyproject: pyproject_details, environment_yml: environment_details, pom_xml: pom_details, go_mod: go_details}
+
+
+def dependencies_of(path: str, content: str | None) -> list[tuple[str, str, str, str]]:
+    """(name, version, type, language) of a manifest; none for other files and those that don't parse."""
+    if content is None or not (found := route(path)):
+        return []
+    try:
+        return [(*r, found[0]) for r in found[1](content)]
+    except (ValueError, ET.ParseError, AttributeError):
+        return []
+
+
+def details_of(path: str, content: str | None) -> str | None:
+    """What else a manifest says, as JSON; null for other files and those that don't parse."""
+    if content is None or not (found := route(path)):
+        return None
+    try:
+        return json.dumps(DETAILS.get(found[1], lambda _: {})(content), sort_keys=True, default=str)
+    except (ValueError, ET.ParseError, AttributeError):
+        return None
+
+
+def dependencies(files: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(keys..., name, version, type, language) of the manifests among ``files`` (keys..., path, content); files that don't parse give none."""
+    rows = F.udf(dependencies_of, "array<struct<name:string,version:string,type:string,language:string>>", useArrow=True)
+    return files.where(is_manifest(F.col("path"))).select(*keys, F.inline(rows("path", "content")))
+
+
+def manifest_details(files: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(keys..., details): one row for each manifest among ``files`` (keys..., path, content) that parses, with all but its dependencies as JSON."""
+    found = F.udf(details_of, "string", useArrow=True)
+    return files.where(is_manifest(F.col("path"))).select(*keys, found("path", "content").alias("details")).where(F.col("details").isNotNull())
+
+
+def is_manifest(path: Column) -> Column:
+    """Files that route() may take, by name, so that no other content reaches Python."""
+    name = F.regexp_extract(path, r"([^/]+)$", 1)
+    return name.isin("package.json", "pyproject.toml", "environment.yml", "environment.yaml", "pom.xml", "go.mod") | path.rlike(r"requirement[^/]*\.(txt|in)$|requirements?/[^/]+\.txt$")
 
 
 def requirement_lines(files: DataFrame) -> DataFrame:

@@ -136,14 +136,14 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH g AS (SELECT doc_id, unnest({_GRAMS.format("text")}) AS gram FROM documents), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
-                p AS (SELECT q.doc_id AS query_id, d.doc_id AS id, count(*) AS n_both FROM g q JOIN g d USING (gram) WHERE q.doc_id % 500 = 7 GROUP BY ALL),
+                p AS (SELECT q.doc_id AS query_id, d.doc_id AS id, count(*) AS n_both FROM g q JOIN g d USING (gram) WHERE q.doc_id % 50 = 0 GROUP BY ALL),
                 s AS (SELECT query_id, id, round(n_both / (a.n + b.n - n_both), 9) AS s FROM p JOIN n a ON a.doc_id = query_id JOIN n b ON b.doc_id = id),
                 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s WHERE s > 0.05)
            SELECT query_id, rank::INTEGER AS rank, id, round(s, 6) AS similarity FROM r WHERE rank <= 20""")
 def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several queries at once over the inverted index: the texts of documents whose id leaves 7 when divided by 500."""
+    """Many queries at once over the inverted index: the texts of the documents whose id can be divided by 50."""
     d = t(spark, sf_dir, "documents").select("doc_id", "text")
-    found = retrieval.trigram_search(retrieval.trigram_index(d), d.where("doc_id % 500 = 7").withColumnRenamed("doc_id", "query_id"))
+    found = retrieval.trigram_search(retrieval.trigram_index(d), d.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"))
     return found.withColumn("similarity", r6("similarity"))
 
 
@@ -169,10 +169,12 @@ def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH f AS ({_fused(7)}) SELECT sha256(id::VARCHAR || '|' || doc_id::VARCHAR || '|' || '1') AS source_id, id AS embed_id, CASE WHEN source = 'src0' THEN NULL ELSE doc_id END AS file_id, 1::BIGINT AS conversation_id
-           FROM f JOIN documents ON doc_id = id WHERE id % 2 = 0""")
+           FROM f JOIN documents ON doc_id = id WHERE n_chars % 2 = 0""")
 def provenance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that record what an answer was made of; ids that aren't valid (odd here) are skipped, invalid file ids become null."""
-    hits = _hybrid(spark, sf_dir, 7).join(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "doc_id"), "id").where("id % 2 = 0")
+    """Rows that record what an answer was made of; hits whose id isn't a valid one (here those of texts of odd length) are skipped, invalid file ids become null."""
+    hits = _hybrid(spark, sf_dir, 7).join(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "doc_id", "n_chars"), "id")
+    written = F.regexp_replace(F.md5(F.col("id").cast("string")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", F.when(F.col("n_chars") % 2 == 0, "$1-$2-$3-$4-$5").otherwise("$1$2$3$4$5"))
+    hits = hits.where(X.is_uuid(written))
     key = F.sha2(F.concat_ws("|", F.col("id").cast("string"), F.col("doc_id").cast("string"), F.lit("1")), 256)
     return hits.select(key.alias("source_id"), F.col("id").alias("embed_id"), F.when(F.col("source") != "src0", F.col("doc_id")).alias("file_id"), F.lit(1).cast("long").alias("conversation_id"))
 
@@ -282,15 +284,6 @@ def chunk_paragraph_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.paragraph_chunks(t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "chunk_no", "chunk_words", F.md5("chunk").alias("chunk_md5"))
 
 
-@query()
-def section_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of a document is a section; the first word stands in for a heading."""
-    lines = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "content")).where(F.trim("content") != "")
-    first = F.regexp_extract("content", r"^\s*(\S+)", 1)
-    sections = lines.select("doc_id", "ord", F.create_map(F.lit(1), first).alias("headings"), "content", F.lit(False).alias("is_image"), F.col("content").contains("|").alias("is_table"), F.lit(False).alias("is_code"))
-    return chunking.section_chunks(sections, "doc_id", "ord").select("doc_id", "chunk_no", "n_tokens", "is_table", F.md5("chunk").alias("chunk_md5"))
-
-
 @query("SELECT doc_id, md5(concat_ws(' | ', CASE WHEN trim(lang) <> '' THEN lang END, CASE WHEN trim(source) <> '' THEN source END, CASE WHEN trim(text) <> '' THEN text END)) AS embedding_md5 FROM documents")
 def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", F.md5(X.embedding_text(F.col("lang"), F.col("source"), F.col("text"))).alias("embedding_md5"))
@@ -301,7 +294,7 @@ def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     return t(spark, sf_dir, "documents").select(
-        "doc_id", F.md5(X.clean(F.concat(text, F.lit("\n\n\n\nend")))).alias("clean_md5"), F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+")).cast("long").alias("words"), X.token_count(text).cast("long").alias("tokens")
+        "doc_id", F.md5(X.clean(F.concat(text, F.lit("\n\n\n\nend")))).alias("clean_md5"), X.word_count(text).cast("long").alias("words"), X.token_count(text).cast("long").alias("tokens")
     )
 
 
@@ -463,6 +456,14 @@ def html_images_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "pages").select("page_id", F.size(found).cast("long").alias("n_links"), F.array_join(found, " ").alias("links"))
 
 
+@query(r"""WITH i AS (SELECT page_id, list_filter(regexp_extract_all(html || '<IMG alt=''page'' class=x src="p' || page_id || '.png"><img src=''z''>', '(?is)<img\b[^>]*>'), lambda x: regexp_matches(x, '(?i)\bsrc\s*=') AND regexp_matches(x, '(?i)\balt\s*=')) AS tags FROM pages)
+           SELECT page_id, len(tags)::BIGINT AS n_images, array_to_string(list_transform(tags, lambda x: regexp_extract(x, '(?i)\bsrc\s*=\s*["'']([^"'']*)', 1) || '|' || regexp_extract(x, '(?i)\balt\s*=\s*["'']([^"'']*)', 1)), ' ') AS images FROM i""")
+def html_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pictures = F.concat(F.col("html"), F.lit("<IMG alt='page' class=x src=\"p"), F.col("page_id").cast("string"), F.lit(".png\"><img src='z'>"))
+    found = X.html_images(pictures)
+    return t(spark, sf_dir, "pages").select("page_id", F.size(found).cast("long").alias("n_images"), F.array_join(F.transform(found, lambda x: F.concat_ws("|", x["src"], x["alt"])), " ").alias("images"))
+
+
 @query("""SELECT p_partkey, p_brand AS name, CASE p_size % 4 WHEN 0 THEN '*' WHEN 1 THEN '==' || p_size WHEN 2 THEN '>=' || p_size || ',<99' ELSE '~=' || p_size END AS version FROM part""")
 def requirement_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("string")

@@ -25,13 +25,23 @@ def repository(spark: SparkSession, path: str, repo: str) -> DataFrame:
     return rows.withColumn("category", ingest.category(F.col("ext"), F.col("content"))).withColumn("language", ingest.language(F.col("ext")))
 
 
-def notebook_cells(files: DataFrame) -> DataFrame:
-    """(path, cell_index, cell_type, id, execution_count, source) of notebooks in ``files`` (path, content string); source may be a text or a list of lines."""
-    kind = "struct<cells:array<struct<cell_type:string,id:string,execution_count:int,source:string>>>"
-    cells = files.select("path", F.posexplode(F.from_json("content", kind)["cells"]).alias("cell_index", "cell"))
+def notebook_cells(files: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(keys..., cell_index, cell_type, id, execution_count, source, outputs) of notebooks in ``files`` (keys..., content string).
+
+    source may be a text or a list of lines; outputs is a cell's JSON list of them, null where it has none.
+    """
+    kind = "struct<cells:array<struct<cell_type:string,id:string,execution_count:int,source:string,outputs:string>>>"
+    cells = files.select(*keys, F.posexplode(F.from_json("content", kind)["cells"]).alias("cell_index", "cell"))
     lines = F.from_json("cell.source", "array<string>")
     source = F.when(F.col("cell.source").startswith("["), F.coalesce(F.array_join(lines, ""), F.col("cell.source"))).otherwise(F.col("cell.source"))
-    return cells.select("path", "cell_index", "cell.cell_type", "cell.id", "cell.execution_count", source.alias("source"))
+    return cells.select(*keys, "cell_index", "cell.cell_type", "cell.id", "cell.execution_count", source.alias("source"), "cell.outputs")
+
+
+def golden_set(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(queries (query_id, query, ground_truth_answer), relevant (query_id, id)) of a JSON array of {query, relevant_embed_ids, ground_truth_answer}; query_id is the place in the array, from 0."""
+    kind = "array<struct<query:string,relevant_embed_ids:array<string>,ground_truth_answer:string>>"
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", kind)).alias("query_id", "item"))
+    return rows.select("query_id", "item.query", "item.ground_truth_answer"), rows.select("query_id", F.explode("item.relevant_embed_ids").alias("id"))
 
 
 def table_preview(spark: SparkSession, path: str, rows: int = 6) -> tuple[DataFrame, dict[str, str], bool]:
@@ -115,24 +125,65 @@ def _office(data: bytes) -> tuple[str, list[str], list[tuple[str, str, str, floa
     return re.sub(r"\n{3,}", "\n\n", "\n\n".join(out)), images, charts
 
 
-def office_documents(files: DataFrame, pdf_to_markdown: Callable[[bytes], str] | None = None) -> DataFrame:
-    """(path, markdown, images, charts) of ``files`` (path, content binary); pdf files need the callable, without which they give null."""
+def office_documents(files: DataFrame, pdf_to_markdown: Callable[[bytes], str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(carry..., path, markdown, images, charts) of ``files`` (carry..., path, content binary); pdf files need the callable, without which they give null.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            rows = []
-            for path, data in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    if path.lower().endswith(".pdf"):
-                        rows.append((path, pdf_to_markdown(bytes(data)) if pdf_to_markdown else None, [], []))
-                        continue
-                    text, images, charts = _office(bytes(data))
-                except (zipfile.BadZipFile, KeyError, ET.ParseError):
-                    text, images, charts = None, [], []
-                rows.append((path, text, images, [dict(zip(("chart", "series", "category", "value"), c, strict=True)) for c in charts]))
-            yield pd.DataFrame(rows, columns=["path", "markdown", "images", "charts"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, markdown string, images array<string>, charts array<struct<chart:string,series:string,category:string,value:double>>")
+    Charts follow the text as markdown tables.  Files that can't be read give null and no images.
+    """
+
+    @F.udf("struct<markdown:string,images:array<string>,charts:array<struct<chart:string,series:string,category:string,value:double>>>", useArrow=True)
+    def read(path: str, data: bytes | None) -> tuple[str | None, list[str], list[tuple[str, str, str, float]]]:
+        try:
+            if data is None:
+                return None, [], []
+            if path.lower().endswith(".pdf"):
+                return pdf_to_markdown(bytes(data)) if pdf_to_markdown else None, [], []
+            if path.lower().endswith(".rtf"):
+                return rtf_text(bytes(data)), [], []
+            text, images, charts = _office(bytes(data))
+            return "\n\n".join(filter(None, [text, *chart_tables(charts)])), images, charts
+        except (zipfile.BadZipFile, KeyError, ET.ParseError):
+            return None, [], []
+
+    return files.select(*carry, "path", read("path", "content").alias("_d")).select(*carry, "path", "_d.*")
+
+
+def chart_tables(charts: list[tuple[str, str, str, float]]) -> list[str]:
+    """A markdown table for each chart: a row for each category, a column for each series."""
+    out = []
+    for name in dict.fromkeys(c[0] for c in charts):
+        cells = {(cat, s): v for n, s, cat, v in charts if n == name}
+        series, cats = list(dict.fromkeys(s for _, s in cells)), list(dict.fromkeys(c for c, _ in cells))
+        show = lambda v: "" if v is None else f"{v:g}"
+        rows = [["Category", *series], *[[c, *[show(cells.get((c, s))) for s in series]] for c in cats]]
+        lines = ["| " + " | ".join(r) + " |" for r in rows]
+        out.append("\n".join([lines[0], "|" + "---|" * len(rows[0]), *lines[1:]]))
+    return out
+
+
+def rtf_text(data: bytes) -> str:
+    """The text of an rtf file: control words and groups without text go, paragraphs stay."""
+    text = data.decode("latin-1")
+    text = re.sub(r"\{\\(?:\*|fonttbl|colortbl|stylesheet|info|pict)(?:[^{}]|\{[^{}]*\})*\}", "", text)
+    text = re.sub(r"\\par[d]?\b ?|\\line\b ?", "\n", text)
+    text = re.sub(r"\\'([0-9a-fA-F]{2})", lambda m: bytes.fromhex(m[1]).decode("cp1252", "replace"), text)
+    text = re.sub(r"\\u(-?\d+) ?\??", lambda m: chr(int(m[1]) % 65536), text)
+    text = re.sub(r"\\([{}\\])|\\[a-zA-Z]+-?\d* ?|[{}]|\r?\n(?=\\)", lambda m: m[1] or "", text)
+    return re.sub(r"\n{3,}", "\n\n", text).strip()
+
+
+def embedded_images(files: DataFrame) -> DataFrame:
+    """(path, member, content) of the pictures inside the office files of ``files`` (path, content binary)."""
+
+    @F.udf("array<struct<member:string,content:binary>>", useArrow=True)
+    def members(data: bytes | None) -> list[tuple[str, bytes]]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(bytes(data or b""))) as z:
+                return [(n, z.read(n)) for n in sorted(z.namelist()) if n.startswith(("word/media/", "ppt/media/", "Pictures/"))]
+        except zipfile.BadZipFile:
+            return []
+
+    return files.select("path", F.inline(members("content")))
 
 
 def hashing_embedder(texts: list[str], dim: int = 64) -> list[list[float]]:

@@ -136,6 +136,35 @@ def next_model(priorities: DataFrame, broken: DataFrame, by: list[str]) -> DataF
     return priorities.join(broken, [*by, "model"], "left_anti").groupBy(*by).agg(F.min_by("model", "priority").alias("model"))
 
 
+def fallback_model(broken: DataFrame, priority: list[str], by: list[str], *, failed: Column | int = 0, anonymous: Column | bool = False, title: Column | bool = False, cheap: str = "groq/") -> DataFrame:
+    """(by..., model) for each row of ``broken`` (by..., models: array of those with a live breaker): the next of ``priority`` that isn't broken.
+
+    The search skips ``failed`` models.  Anonymous users start at the first cheap model; titles go through the cheap ones
+    backwards.  Null if there is none left.
+    """
+    flag = lambda x: x if isinstance(x, Column) else F.lit(x)
+    names = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    few = [m for m in priority if m.startswith(cheap)]
+    first = next((i for i, m in enumerate(priority) if m.startswith(cheap)), len(priority))
+    space = F.when(flag(title), names(few[::-1])).when(flag(anonymous), names(priority[first:])).otherwise(names(priority))
+    left = F.filter(F.slice(space, flag(failed) + 1, len(priority) or 1), lambda m: ~F.array_contains(F.coalesce("models", names([])), m))
+    return broken.select(*by, F.get(left, F.lit(0)).alias("model"))
+
+
+def active_streams(events: DataFrame, key: str, t: str, now: Column, span: float = 3600.0) -> DataFrame:
+    """(key, started) of the streams that were registered and neither finished, cancelled nor, for ``span`` seconds, forgotten: events (key, kind, t), the last of a key counts."""
+    last = events.groupBy(key).agg(F.max_by("kind", t).alias("kind"), F.max(t).alias("started"))
+    return last.where((F.col("kind") == "start") & (now - F.col("started") <= span)).select(key, "started")
+
+
+def tool_calls(deltas: DataFrame, by: list[str], order: str) -> DataFrame:
+    """(by..., idx, id, name, arguments, signature) from a stream's ``deltas`` (by..., order, idx, id, name, arguments, signature): pieces joined in order, of signatures the last."""
+    pieces = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "id", "name", "arguments")))
+    joined = lambda f: F.array_join(F.transform("_p", lambda x: x[f]), "").alias(f)
+    last = F.max_by("signature", F.when(F.col("signature").isNotNull(), F.col(order))).alias("signature")
+    return deltas.groupBy(*by, "idx").agg(pieces.alias("_p"), last).select(*by, "idx", joined("id"), joined("name"), joined("arguments"), "signature")
+
+
 def expired(sessions: DataFrame, t: str, now: Column, span: float = 3600.0) -> DataFrame:
     return sessions.where(now - F.col(t) > span)
 
