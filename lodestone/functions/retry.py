@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import duration_seconds, seconds_to_midnight
 
+T = TypeVar("T")
 _BODY = "struct<error:struct<details:array<struct<`@type`:string,retryDelay:string,violations:array<struct<quotaId:string>>>>>>"
 
 
@@ -27,3 +32,13 @@ def retry_details(remaining: Column, retry_after: Column, reset_requests: Column
     by_body = F.coalesce(F.when(F.size(delays) > 0, duration_seconds(F.try_element_at(delays, F.lit(-1))["retryDelay"])), said, F.when(per_day, seconds_to_midnight(at)), F.lit(600.0))
     day = F.when(remaining.isNotNull(), spent).otherwise(per_day)
     return F.struct(F.when(day, "RPD").otherwise("RPM_OR_TPM").alias("limit_type"), F.round(F.when(remaining.isNotNull(), by_header).otherwise(by_body), 2).alias("wait_seconds"))
+
+
+def retrying(call: Callable[[], T], *, retries: int = 5, base: float = 2.0, transient: tuple[type[Exception], ...] = (OSError,), wait: Callable[[float], None] = time.sleep) -> T:
+    """What ``call`` returns, tried again after base ** n seconds (n from 0) as often as ``retries`` allows while it fails for a while; for uploads from a task."""
+    for n in range(retries):
+        try:
+            return call()
+        except transient:
+            wait(base**n)
+    return call()

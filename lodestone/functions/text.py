@@ -141,6 +141,16 @@ def is_uuid(text: Column) -> Column:
     return F.coalesce(text.rlike(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), F.lit(False))
 
 
+def is_email(text: Column) -> Column:
+    """One @ between a local part without dots at its ends or in a row, and a domain of two labels or more."""
+    return F.coalesce(text.rlike(r"(?i)^(?!\.)(?!.*\.\.)[a-z0-9_'+\-.]*[a-z0-9_+\-]@(?:[a-z0-9][a-z0-9\-]*\.)+[a-z]{2,}$"), F.lit(False))
+
+
+def is_new_password(text: Column) -> Column:
+    """At least 8 characters, with an upper-case and a lower-case letter, a digit and another character."""
+    return F.coalesce((F.length(text) >= 8) & text.rlike("[A-Z]") & text.rlike("[a-z]") & text.rlike("[0-9]") & text.rlike("[^A-Za-z0-9]"), F.lit(False))
+
+
 def repo_of(url: Column) -> Column:
     """struct<owner, name> of a repository's address."""
     path = F.split(F.regexp_replace(F.parse_url(url, F.lit("PATH")), r"^/|/$", ""), "/")

@@ -54,6 +54,22 @@ def js_imports(code: str) -> list[Import]:
     return out
 
 
+def js_exports(code: str | None) -> list[tuple[str, str, str | None]]:
+    """(name, kind, source) of what a file exports: declarations, lists with their outer names, defaults, and all of another file as *."""
+    code = code or ""
+    out: list[tuple[str, str, str | None]] = [(m[2], m[1], None) for m in re.finditer(r"^\s*export\s+(?:declare\s+)?(?:async\s+)?(class|function|const|let|var|interface|type|enum)\s*\*?\s+([\w$]+)", code, re.M)]
+    out += [("default", m[1] or "value", None) for m in re.finditer(r"^\s*export\s+default\s+(?:async\s+)?(class|function)?", code, re.M)]
+    for m in re.finditer(r"""^\s*export\s+(?:type\s+)?(?:\{([^}]*)\}|\*(?:\s+as\s+([\w$]+))?)\s*(?:from\s*["']([^"']+)["'])?""", code, re.M):
+        out += [(alias or name, "list", m[3]) for name, alias in _items(m[1])] if m[1] is not None else [(m[2] or "*", "all", m[3])]
+    return out
+
+
+def extract_exports(files: DataFrame, keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """(keys..., name, kind, source) of the exports of JavaScript and TypeScript files (keys..., language, content)."""
+    found = F.udf(js_exports, "array<struct<name:string,kind:string,source:string>>", useArrow=True)
+    return files.where(F.col("language").isin("javascript", "typescript")).select(*keys, F.inline(found("content")))
+
+
 def java_imports(code: str) -> list[Import]:
     found = re.finditer(r"^\s*import\s+(static\s+)?([\w.]+?)(\.\*)?\s*;", code, re.M)
     return [(m[2], None, [] if m[3] else [(m[2].rpartition(".")[2], None)], bool(m[3]), bool(m[1]), False) for m in found]

@@ -119,12 +119,53 @@ def go_mod(text: str) -> list[Row]:
     return out
 
 
+def pipfile(text: str) -> list[Row]:
+    """Two tables; a version is a text or the version of a table."""
+    data = tomllib.loads(text)
+    version = lambda v: v if isinstance(v, str) else str(v.get("version", "*")) if isinstance(v, dict) else "*"
+    return [(n, version(v), kind) for table, kind in (("packages", "prod"), ("dev-packages", "dev")) for n, v in data.get(table, {}).items()]
+
+
+def deno_json(text: str) -> list[Row]:
+    """Imports of packages: npm:name@version and jsr:@scope/name@version; other addresses have no version."""
+    out: list[Row] = []
+    for name, target in json.loads(text).get("imports", {}).items():
+        m = re.match(r"(?:npm|jsr):/?(@?[^@]+)(?:@([^/]+))?", target)
+        out.append((m[1], m[2] or "*", "prod") if m else (name, target, "url"))
+    return out
+
+
+def gradle_build(text: str) -> list[Row]:
+    """Configurations followed by group:name:version, with variables that the file defines filled in."""
+    values = dict(re.findall(r"""(?m)^\s*(?:def\s+|val\s+|ext\.|set\(["'])?([\w.]+)["']?\s*[=,]\s*["']([^"'$]+)["']""", text))
+    fill = lambda s: re.sub(r"\$\{?([\w.]+)\}?", lambda m: values.get(m[1], m[0]), s)
+    kinds = {"testImplementation": "test", "testRuntimeOnly": "test", "androidTestImplementation": "test", "compileOnly": "compile", "annotationProcessor": "compile", "kapt": "compile", "runtimeOnly": "runtime"}
+    found = re.findall(r"""(?m)^\s*(api|implementation|\w+Implementation|compile|compileOnly|runtimeOnly|testRuntimeOnly|annotationProcessor|kapt)\s*\(?\s*(?:platform\()?["']([^"':]+):([^"':]+)(?::([^"']+))?["']""", text)
+    return [(f"{fill(g)}:{fill(n)}", fill(v) or "managed", kinds.get(c, "prod")) for c, g, n, v in found]
+
+
+def version_catalog(text: str) -> list[Row]:
+    """Gradle's libs.versions.toml: libraries as text or table, with versions by reference."""
+    data = tomllib.loads(text)
+    out: list[Row] = []
+    for lib in data.get("libraries", {}).values():
+        if isinstance(lib, str):
+            group, name, version = (lib.split(":") + ["managed"])[:3]
+        else:
+            group, _, name = lib["module"].partition(":") if "module" in lib else (lib.get("group", ""), "", lib.get("name", ""))
+            v = lib.get("version", "managed")
+            version = v if isinstance(v, str) else str(data.get("versions", {}).get(v.get("ref"), "managed"))
+        out.append((f"{group}:{name}", version, "prod"))
+    return out
+
+
 def route(path: str) -> tuple[str, Callable[[str], list[Row]]] | None:
     """Language and parser for a manifest's path; None for other files."""
     name = path.rpartition("/")[2]
     if re.search(r"requirement[^/]*\.(txt|in)$", name) or re.search(r"requirements?/[^/]+\.txt$", path):
         return "python", lambda s: requirements_txt(s, path)
-    return {"package.json": ("javascript", package_json), "pyproject.toml": ("python", pyproject), "environment.yml": ("python", environment_yml), "environment.yaml": ("python", environment_yml), "pom.xml": ("java", pom_xml), "go.mod": ("go", go_mod)}.get(name)
+    return {"package.json": ("javascript", package_json), "pyproject.toml": ("python", pyproject), "environment.yml": ("python", environment_yml), "environment.yaml": ("python", environment_yml), "pom.xml": ("java", pom_xml), "go.mod": ("go", go_mod),
+            "Pipfile": ("python", pipfile), "deno.json": ("javascript", deno_json), "build.gradle": ("java", gradle_build), "build.gradle.kts": ("java", gradle_build), "libs.versions.toml": ("java", version_catalog)}.get(name)
 
 
 def _without(data: dict[str, Any], *names: str) -> dict[str, Any]:
@@ -218,7 +259,7 @@ def manifest_details(files: DataFrame, keys: tuple[str, ...] = ("path",)) -> Dat
 def is_manifest(path: Column) -> Column:
     """Files that route() may take, by name, so that no other content reaches Python."""
     name = F.regexp_extract(path, r"([^/]+)$", 1)
-    return name.isin("package.json", "pyproject.toml", "environment.yml", "environment.yaml", "pom.xml", "go.mod") | path.rlike(r"requirement[^/]*\.(txt|in)$|requirements?/[^/]+\.txt$")
+    return name.isin("package.json", "pyproject.toml", "environment.yml", "environment.yaml", "pom.xml", "go.mod", "Pipfile", "deno.json", "build.gradle", "build.gradle.kts", "libs.versions.toml") | path.rlike(r"requirement[^/]*\.(txt|in)$|requirements?/[^/]+\.txt$")
 
 
 def requirement_lines(files: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -354,9 +356,20 @@ SQL["hashed_embeddings"] = r"SELECT doc_id, CASE WHEN regexp_matches(text, '\S')
 
 
 def _streamed(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
-    job = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """What a stream has written once it has read all there is; its output and its state lie under spark.checkpoint.dir, or in a temporary folder of a local session."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='lodestone-stream-')}"
+    path = f"{root.rstrip('/')}/lodestone-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    to = stream.writeStream.option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        job = to.format("parquet").option("path", f"{path}/out").start()
+    else:  # each batch holds the whole result
+        job = to.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out")).start()
     job.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
 @_add

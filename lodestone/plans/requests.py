@@ -59,6 +59,15 @@ def flag_is_false(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(access.is_false(F.col("flag"))).select("doc_id")
 
 
+@query("""SELECT c_custkey, c_custkey % 3 <> 1 AS email, c_custkey % 2 = 0 AND length(c_custkey::VARCHAR) >= 1 AS password FROM customer""")
+def credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses and passwords made of customers' numbers, some of them bad."""
+    n = F.col("c_custkey").cast("string")
+    email = F.concat(F.lit("a.b"), n, F.when(F.col("c_custkey") % 3 == 1, "@@x.org").otherwise("@mail-x.example.org"))
+    password = F.concat(F.lit("Pass-word"), F.when(F.col("c_custkey") % 2 == 0, n).otherwise("x"))
+    return t(spark, sf_dir, "customer").select("c_custkey", X.is_email(email).alias("email"), X.is_new_password(password).alias("password"))
+
+
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders WHERE o_custkey = 7 ")
 def ordered_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of an owner in order, without a limit; the place shows the order."""

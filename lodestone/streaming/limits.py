@@ -92,10 +92,17 @@ def _in_order(batches: Iterator[pd.DataFrame], by: list[str], run_rows: int = 20
             yield pd.DataFrame([x for _, x in some], columns=b.columns)
 
 
-def token_bucket_stream(events: DataFrame, key: str, t: str, order: str, cost: str, capacity: float, rate: float, ttl: float = 86_400.0) -> DataFrame:
-    """token_bucket() over a stream; each key's state is (tokens, time, expiry).  Rows of a key that come together are put in order through files when they are many."""
+def token_bucket_stream(events: DataFrame, key: str, t: str, order: str, cost: str, capacity: float, rate: float, ttl: float = 86_400.0, idle: float | None = None) -> DataFrame:
+    """token_bucket() over a stream; each key's state is (tokens, time, expiry).  Rows of a key that come together are put in order through files when they are many.
+
+    idle: seconds without a request after which a key's state is dropped, by the clock; None keeps it for ever.  A bucket
+    is full after ``ttl`` anyway, so an ``idle`` well above it changes nothing for a stream that isn't far behind.
+    """
 
     def run(k: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now = state.get if state.exists else None
         for pdf in _in_order(batches, [t, order]):
             out = []
@@ -103,11 +110,14 @@ def token_bucket_stream(events: DataFrame, key: str, t: str, order: str, cost: s
                 ok, now = spend(now, at, c, capacity, rate, ttl)
                 out.append((k[0], o, ok, now[0]))
             state.update(now)
+            if idle is not None:
+                state.setTimeoutDuration(int(idle * 1000))
             yield pd.DataFrame(out, columns=[key, order, "allowed", "tokens"])
 
     kinds = dict(events.dtypes)
     return events.select(key, t, order, cost).groupBy(key).applyInPandasWithState(
-        run, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean, tokens double", "tokens double, last double, expiry double", "append", GroupStateTimeout.NoTimeout
+        run, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean, tokens double", "tokens double, last double, expiry double", "append",
+        GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
