@@ -8,8 +8,9 @@ separator is the blank pair of lines that ends every record.
 Reading.  The magic that opens a record may also stand inside a payload, so its presence proves
 nothing.  Files are split at every magic by Spark's splittable text reader; each task emits, for
 each such candidate, its offset and the offset of the successor that its Content-Length implies.
-Pointer jumping from offset 0 then doubles the reach of every pointer and the set of reached
-candidates round by round, so a file of n candidates takes log2(n) rounds of joins.  Candidates that
+Candidates in a row that each name the one behind are one run.  Pointer jumping from offset 0 then
+doubles the reach of every run's pointer and the set of reached runs round by round, for all files at once: a file
+that its false magics cut into n runs takes log2(n) rounds of joins at most.  Candidates that
 stay unreached lie inside a payload and are given back to the record around them.  Archives are read
 once for the candidates and once for the payloads; how Spark splits the files may differ between the
 two, so that the second reading knows its rows by a digest of their content, never by their place.
@@ -112,18 +113,35 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 
 def reached(links: DataFrame) -> DataFrame:
-    """(file, off) of the candidates of ``links`` (file, off, next) that a chain from offset 0 of their file reaches."""
-    most = links.groupBy("file").count().agg(F.max("count")).first()[0] or 0
-    links = links.select("file", "off", F.col("next").alias("jump"), (F.col("off") == 0).alias("hit"))
+    """(file, off) of the candidates of ``links`` (file, off, next) that a chain from offset 0 of their file reaches.
+
+    Candidates that lie in a row, each naming the one behind it, are one run: what is entered at some
+    place is passed through to its end.  A file without false magics is a single run.  Runs point to the
+    run that their last candidate's successor lies in, and pointers are doubled over runs until none reaches a new one.
+    """
+    c = F.col
+    order = Window.partitionBy("file").orderBy("off")
+    opens = F.coalesce(F.lag("next").over(order) != c("off"), F.lit(True)).cast("int")
+    runs = staged(links.select("file", "off", "next", F.sum(opens).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run")), "warc-runs")
+    ends = runs.groupBy("file", "run").agg(F.max_by("next", "off").alias("jump"), F.min("off").alias("first"))
+    to = runs.select("file", c("off").alias("jump"), c("run").alias("to"))
+    steps = staged(ends.join(to, ["file", "jump"], "left").select("file", "run", "to", "jump", (c("first") == 0).alias("hit")), "warc-steps")
+    hops, most = steps.select("file", "run", "to", "hit"), steps.groupBy("file").count().agg(F.max("count")).first()[0] or 0
+    hits = hops.where("hit").count()
     for _ in range(math.ceil(math.log2(most)) if most > 1 else 0):
-        far = links.select("file", F.col("off").alias("jump"), F.col("jump").alias("jump2"))
-        found = links.where("hit").select("file", F.col("jump").alias("off"), F.lit(True).alias("new"))
-        links = staged(
-            links.join(far, ["file", "jump"], "left").join(found, ["file", "off"], "left")
-            .select("file", "off", F.col("jump2").alias("jump"), (F.col("hit") | F.col("new").isNotNull()).alias("hit")),
-            "warc-links",
+        far = hops.select("file", c("run").alias("to"), c("to").alias("to2"))
+        found = hops.where("hit and to is not null").select("file", c("to").alias("run"), F.lit(True).alias("new"))
+        hops = staged(
+            hops.join(far, ["file", "to"], "left").join(found, ["file", "run"], "left")
+            .select("file", "run", c("to2").alias("to"), (c("hit") | c("new").isNotNull()).alias("hit")),
+            "warc-hops",
         )
-    return links.where("hit").select("file", "off")
+        before, hits = hits, hops.where("hit").count()
+        if hits == before:
+            break
+    entered = steps.drop("hit").join(hops.where("hit").select("file", "run"), ["file", "run"], "left_semi").where("to is not null").select("file", c("to").alias("run"), c("jump").alias("from"))
+    entered = entered.unionByName(steps.where("hit").select("file", "run", F.lit(0).cast("long").alias("from")))
+    return runs.join(entered, ["file", "run"]).where(c("off") >= c("from")).select("file", "off")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
