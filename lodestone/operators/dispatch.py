@@ -91,7 +91,7 @@ def chunk_files(files: DataFrame, keys: list[str], *, documents: Callable[[bytes
         text_way(as_text(text.where(~notebook & ~marked & (c("ext") != "json"))), keys),
         text_way(as_text(text.where(c("ext") == "json")), keys, target=450),
     ]
-    made = sources.office_documents(office, documents, carry=("_file",)).where(c("markdown").isNotNull())
+    made = sources.office_documents(office, documents, carry=("_file",), show_charts=True).where(c("markdown").isNotNull())
     ways.append(markdown_way(made.select("_file.*", c("markdown").alias("content")), keys, **limits))
     numbered = [w.withColumn("chunk_no", F.row_number().over(Window.partitionBy(*keys).orderBy("place")) - 1).drop("place") for w in ways]
     return reduce(DataFrame.unionByName, numbered).select(*keys, *CHUNK)

@@ -17,12 +17,19 @@ def query_metrics(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return _metrics(top.unionByName(asked), ["query_id"], relevant.distinct().groupBy("query_id").agg(F.count("*").alias("n_relevant")), k)
 
 
-def label_metrics(results: DataFrame, labels: DataFrame, k: int) -> DataFrame:
-    """query_metrics() where all other ids of a query's label in ``labels`` (id, label) are relevant; their pairs are never built.  An id has one label: the least."""
+def label_metrics(results: DataFrame, labels: DataFrame, k: int, asked: DataFrame | None = None) -> DataFrame:
+    """query_metrics() where all other ids of a query's label in ``labels`` (id, label) are relevant; their pairs are never built.  An id has one label: the least.
+
+    asked: (query_id) of the queries, if not every id with others of its label is one.
+    """
     labels = labels.groupBy("id").agg(F.min("label").alias("label"))
     top = results.where(F.col("rank") <= k).join(labels.select(F.col("id").alias("query_id"), "label"), "query_id", "left").join(labels.select("id", F.col("label").alias("other")), "id", "left")
     hit = F.coalesce((F.col("label") == F.col("other")) & (F.col("id") != F.col("query_id")), F.lit(False)).cast("int")
-    return _metrics(top.withColumn("hit", hit), ["query_id", "label"], labels.groupBy("label").agg((F.count("*") - 1).alias("n_relevant")), k)
+    top, total = top.withColumn("hit", hit), labels.groupBy("label").agg((F.count("*") - 1).alias("n_relevant"))
+    every = labels.join(total.where("n_relevant > 0").select("label"), "label", "left_semi").select(F.col("id").alias("query_id"), "label")
+    every = every if asked is None else every.join(asked.select("query_id"), "query_id", "left_semi")
+    silent = every.join(results.select("query_id"), "query_id", "left_anti").select("query_id", "label", F.lit(None).cast("int").alias("rank"), F.lit(0).alias("hit"))
+    return _metrics(top.select("query_id", "label", F.col("rank").cast("int").alias("rank"), "hit").unionByName(silent), ["query_id", "label"], total, k)
 
 
 def _metrics(top: DataFrame, by: list[str], total: DataFrame, k: int) -> DataFrame:

@@ -182,10 +182,11 @@ def provenance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # evaluation
 
 
-def _results(spark: SparkSession, sf_dir: str, k: int = 8) -> tuple[DataFrame, DataFrame]:
+def _evaluated(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
     e = t(spark, sf_dir, "embeddings")
     asked = e.where("vec_id % 50 = 0")
-    return retrieval.batch_topk(asked, e, k).select("query_id", "rank", "id"), e.select(F.col("vec_id").alias("id"), "label")
+    results = retrieval.batch_topk(asked, e, k).select("query_id", "rank", "id")
+    return evaluation.label_metrics(results, e.select(F.col("vec_id").alias("id"), "label"), k, asked.select(F.col("vec_id").alias("query_id")))
 
 
 _METRICS = _BATCH.format(where="q.vec_id % 50 = 0") + """,
@@ -198,27 +199,27 @@ _METRICS = _BATCH.format(where="q.vec_id % 50 = 0") + """,
 
 @query(_METRICS + " SELECT query_id, hit::INTEGER AS hit FROM m")
 def eval_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.label_metrics(*_results(spark, sf_dir), 8).select("query_id", "hit")
+    return _evaluated(spark, sf_dir).select("query_id", "hit")
 
 
 @query(_METRICS + " SELECT query_id, round(precision, 6) AS precision, round(recall, 6) AS recall FROM m")
 def eval_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.label_metrics(*_results(spark, sf_dir), 8).select("query_id", r6("precision").alias("precision"), r6("recall").alias("recall"))
+    return _evaluated(spark, sf_dir).select("query_id", r6("precision").alias("precision"), r6("recall").alias("recall"))
 
 
 @query(_METRICS + " SELECT query_id, round(mrr, 6) AS mrr FROM m")
 def eval_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.label_metrics(*_results(spark, sf_dir), 8).select("query_id", r6("mrr").alias("mrr"))
+    return _evaluated(spark, sf_dir).select("query_id", r6("mrr").alias("mrr"))
 
 
 @query(_METRICS + " SELECT query_id, round(ap, 6) AS ap FROM m")
 def eval_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.label_metrics(*_results(spark, sf_dir), 8).select("query_id", r6("ap").alias("ap"))
+    return _evaluated(spark, sf_dir).select("query_id", r6("ap").alias("ap"))
 
 
 @query(_METRICS + ' SELECT count(*) AS queries, round(avg(hit), 4) AS hit_rate, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(mrr), 4) AS mrr, round(avg(ap), 4) AS "map" FROM m')
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.summary(evaluation.label_metrics(*_results(spark, sf_dir), 8))
+    return evaluation.summary(_evaluated(spark, sf_dir))
 
 
 @query("""SELECT lang, count(*) AS rows, count(quality) FILTER (toxic IS NOT NULL) AS scored, round(avg(quality) FILTER (toxic IS NOT NULL), 4) AS avg_quality, round(avg(toxic) FILTER (quality IS NOT NULL), 4) AS avg_toxic
@@ -289,6 +290,12 @@ def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", F.md5(X.embedding_text(F.col("lang"), F.col("source"), F.col("text"))).alias("embedding_md5"))
 
 
+@query(SQL["embedding_text"])
+def embedding_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older name of embedding_text."""
+    return embedding_text(spark, sf_dir)
+
+
 @query(r"""SELECT doc_id, md5(regexp_replace(replace(text || chr(10) || chr(10) || chr(10) || chr(10) || 'end', chr(0), ''), '\n{3,}', chr(10) || chr(10), 'g')) AS clean_md5,
                   len(regexp_extract_all(text, '[\p{L}\p{N}_]+'))::BIGINT AS words, len(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]'))::BIGINT AS tokens FROM documents""")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:

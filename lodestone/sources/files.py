@@ -125,10 +125,10 @@ def _office(data: bytes) -> tuple[str, list[str], list[tuple[str, str, str, floa
     return re.sub(r"\n{3,}", "\n\n", "\n\n".join(out)), images, charts
 
 
-def office_documents(files: DataFrame, pdf_to_markdown: Callable[[bytes], str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def office_documents(files: DataFrame, pdf_to_markdown: Callable[[bytes], str] | None = None, carry: tuple[str, ...] = (), show_charts: bool = False) -> DataFrame:
     """(carry..., path, markdown, images, charts) of ``files`` (carry..., path, content binary); pdf files need the callable, without which they give null.
 
-    Charts follow the text as markdown tables.  Files that can't be read give null and no images.
+    show_charts: charts follow the text as markdown tables.  Files that can't be read give null and no images.
     """
 
     @F.udf("struct<markdown:string,images:array<string>,charts:array<struct<chart:string,series:string,category:string,value:double>>>", useArrow=True)
@@ -141,7 +141,7 @@ def office_documents(files: DataFrame, pdf_to_markdown: Callable[[bytes], str] |
             if path.lower().endswith(".rtf"):
                 return rtf_text(bytes(data)), [], []
             text, images, charts = _office(bytes(data))
-            return "\n\n".join(filter(None, [text, *chart_tables(charts)])), images, charts
+            return "\n\n".join(filter(None, [text, *(chart_tables(charts) if show_charts else [])])), images, charts
         except (zipfile.BadZipFile, KeyError, ET.ParseError):
             return None, [], []
 
