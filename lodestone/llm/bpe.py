@@ -21,7 +21,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_arrow
+
 PATTERN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Distinct words whose tokens a worker remembers: the first it meets, and so most of the common ones.
-MEMORY = 100_000
+#: Distinct words whose tokens a worker remembers: the first it meets of up to so many letters, and so most of the common ones.
+MEMORY, LONGEST = 100_000, 40
 _NEVER = np.iinfo(np.int64).max
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -75,7 +77,7 @@ class Bpe:
         keys = np.array([(i << 32) | j for i, j in self.merge], dtype=np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.array([r for r, _ in self.merge.values()], dtype=np.int64)[order]
-        #: by a token's first three bytes, the length of the longest token that starts so
+        #: by a token's first five bytes, the length of the longest token that starts so
         self.longest: dict[bytes, int] = {}
         self.known = self._sound_tokens(vocab)
         self.memory: dict[str, tuple[int, ...]] = {}
@@ -91,8 +93,8 @@ class Bpe:
             sound[k] = ok and sound[self.left[k]] and sound[self.right[k]]
         found = {self.bytes_of[i]: i for i in vocab.values() if sound[i]}
         for t in found:
-            if len(t) > 2:
-                self.longest[t[:3]] = max(len(t), self.longest.get(t[:3], 0))
+            if len(t) > 4:
+                self.longest[t[:5]] = max(len(t), self.longest.get(t[:5], 0))
         return found
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -129,7 +131,7 @@ class Bpe:
         """Greedy longest match."""
         out, i, n, known, longest = [], 0, len(word), self.known, self.longest
         while i < n:
-            j = i + longest.get(word[i : i + 3], 2)
+            j = i + longest.get(word[i : i + 5], 4)
             if j > n:
                 j = n
             while (t := known.get(word[i:j])) is None:
@@ -139,8 +141,10 @@ class Bpe:
         return out
 
     def merge_exactly(self, word: bytes) -> list[int]:
-        """Lowest rank first, leftmost of equals: a heap over a linked list, n log n in the word's length."""
+        """Lowest rank first, leftmost of equals: for words of more than 64 bytes a heap over a linked list, n log n in the word's length."""
         ids = [self.byte_id[b] for b in word]
+        if len(ids) <= 64:
+            return self._merge_short(ids)
         n, merge = len(ids), self.merge
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merge.get((ids[i], ids[i + 1])))]
@@ -160,6 +164,22 @@ class Bpe:
                 heapq.heappush(heap, (m[0], h, ids[h], ids[i]))
         return [t for t in ids if t >= 0]
 
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        merge, none = self.merge, (_NEVER, -1)
+        ready = [merge.get(pair, none) for pair in pairwise(ids)]
+        while ready:
+            best = min(ready)
+            if best is none:
+                break
+            i = ready.index(best)
+            ids[i] = best[1]
+            del ids[i + 1], ready[i]
+            if i < len(ready):
+                ready[i] = merge.get((ids[i], ids[i + 1]), none)
+            if i:
+                ready[i - 1] = merge.get((ids[i - 1], ids[i]), none)
+        return ids
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Tokens of each of ``words``: proposals whose pairs are all compatible, exact merging for the rest."""
         data = [w.encode("utf-8", "replace") for w in words]
@@ -179,18 +199,21 @@ class Bpe:
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         cut: list[list[list[str] | int]] = []
         fresh: dict[str, None] = {}
+        known = self.memory
         for text in texts:
             segments = self.split_added.split(text or "") if self.split_added else [text or ""]
             cut.append([self.added[s] if s in self.added else PATTERN.findall(s) for s in segments if s])
             for s in cut[-1]:
                 if not isinstance(s, int):
-                    fresh.update(dict.fromkeys(w for w in s if w not in self.memory))
+                    fresh.update(dict.fromkeys(w for w in s if w not in known))
         words = list(fresh)
-        self.memory.update(zip(words, map(tuple, self.encode_words(words)), strict=True))
-        look = self.memory.__getitem__
+        room = MEMORY - len(known)
+        known.update(zip(words, map(tuple, self.encode_words(words)), strict=True))
+        look = known.__getitem__
         out = [list(chain.from_iterable([s] if isinstance(s, int) else chain.from_iterable(map(look, s)) for s in segments)) for segments in cut]
-        while len(self.memory) > MEMORY:
-            self.memory.popitem()  # the last that came
+        for i, w in enumerate(words):
+            if i >= room or len(w) > LONGEST:
+                del known[w]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -236,7 +259,7 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
                     text_sha.append(sha(bpe.decode(ids).encode()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)
 
 
 def with_tokens(docs: DataFrame, vocabulary: str, to: str = "token_ids") -> DataFrame:
@@ -250,7 +273,7 @@ def with_tokens(docs: DataFrame, vocabulary: str, to: str = "token_ids") -> Data
             ids = [x for part in _batches(b.column(at).to_pylist()) for x in bpe.encode_batch(part)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, to])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.ArrayType(T.IntegerType()))]))
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(to, T.ArrayType(T.IntegerType()))]))
 
 
 def decode_tokens(docs: DataFrame, vocabulary: str, ids: str = "token_ids", to: str = "text") -> DataFrame:
@@ -264,7 +287,7 @@ def decode_tokens(docs: DataFrame, vocabulary: str, ids: str = "token_ids", to:
             texts = [None if x is None else bpe.decode(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, to])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.StringType())]))
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(to, T.StringType())]))
 
 
 def encoded_lengths(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -277,4 +300,4 @@ def encoded_lengths(docs: DataFrame, vocabulary: str) -> DataFrame:
             n = [len(x) for part in _batches(b.column(1).to_pylist()) for x in bpe.encode_batch(part)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long")

@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import re
+import resource
 import shutil
 import tempfile
 import uuid
@@ -44,11 +45,19 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/lodestone-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+def tasks_for(df: DataFrame, rows: int = 5000) -> int:
+    """How many tasks, and so files, are worth while for work in proportion to ``df``: one for so many of its rows, but two for each core at least."""
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
+def staged(df: DataFrame, what: str, tasks: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    tasks: the most that write it.  What is shuffled into many partitions, but is small, makes few files then.
+    """
     spark = df.sparkSession
     path = shared_path(spark, what)
-    df.write.parquet(path)
+    (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,18 +85,34 @@ def unused(columns: Iterable[str], name: str) -> str:
     return name
 
 
-def tidy_worker() -> None:
-    """Give a Python worker's free memory back to the system.
+_tidied = 0
+
+
+def _resident() -> int:
+    """Bytes of this process in memory; 0 where that can't be read."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize()
+    except OSError:
+        return 0
+
+
+def tidy_worker(grown: int = 32 << 20) -> None:
+    """Give a Python worker's free memory back to the system, once it has grown by so much.
 
     Workers are reused from stage to stage, and neither Arrow's allocator nor the C library's returns what
     large batches leave behind: a worker would go on holding the most that any of its tasks ever took.
     """
+    global _tidied
+    if _tidied and 0 < _resident() < _tidied + grown:
+        return
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
+    _tidied = _resident()
 
 
 def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:

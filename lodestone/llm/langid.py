@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import map_arrow, staged
+
 _LETTER = regex.compile(r"\p{L}")
 SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
 
@@ -33,26 +35,26 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def fit_dictionaries(labelled: DataFrame, *, docs_per_lang: int = 96, bytes_per_doc: int = 1200, max_langs: int = 256) -> dict[str, bytes]:
+def fit_dictionaries(labelled: DataFrame, *, docs_per_lang: int = 96, chars_per_doc: int = 1200, max_chars: int = 64_000_000) -> dict[str, bytes]:
     """A dictionary for each value of ``lang`` in ``labelled`` (doc_id, lang, text).
 
-    The bound of the sample: the docs_per_lang documents with the smallest hash of their id, and
-    bytes_per_doc characters from the start of each (about 115 kB a language, as much as a
-    dictionary can use).  Raises ValueError beyond max_langs languages.
+    The bound of the sample: of each language the docs_per_lang different texts with the smallest hash, and
+    of each of them chars_per_doc characters from a hashed position (about 115 kB a language, as much as a
+    dictionary can use).  All languages together take max_chars: beyond some 550 of them, each gets a smaller share.
     """
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = (
-        labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-        .select("doc_id", "lang", F.substring("text", 1, bytes_per_doc).alias("text"))
-        .withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_lang)
-        .orderBy("lang", "n").limit(max_langs * docs_per_lang + 1).collect()
-    )
-    if len(rows) > max_langs * docs_per_lang:
-        raise ValueError(f"more than {max_langs} languages")
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text", F.xxhash64("text").alias("mark"))
+    first = Window.partitionBy("lang").orderBy("mark")
+    marks = known.select("lang", "mark").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_lang)
+    marks = staged(marks, "dictionary-texts")
+    langs = marks.select("lang").distinct().count()
+    chars = min(chars_per_doc, max(1, max_chars // max(1, langs * docs_per_lang)))
+    start = F.pmod(F.xxhash64("mark"), F.greatest(F.lit(1), F.length("text") - chars + 1)).cast("int") + 1
+    chosen = known.select("doc_id", "lang", "mark", F.col("text").substr(start, F.lit(chars)).alias("text")).join(marks, ["lang", "mark"])
+    rows = chosen.groupBy("lang", "n").agg(F.min("text").alias("text")).collect()
     parts: dict[str, list[str]] = {}
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (r["lang"], -r["n"])):
         parts.setdefault(r["lang"], []).append(r["text"])
-    return {k: "\n".join(reversed(v)).lower().encode() for k, v in sorted(parts.items())}
+    return {k: "\n".join(v).lower().encode() for k, v in parts.items()}
 
 
 def _coders(dictionaries: dict[str, bytes], level: int) -> list[tuple[str, zstandard.ZstdCompressor]]:
@@ -91,12 +93,12 @@ def identify_languages(docs: DataFrame, dictionaries: dict[str, bytes], *, piece
             langs, scores, rejected = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)
 
 
 def label_languages(docs: DataFrame, **options: object) -> DataFrame:
     """Learn from the rows of ``docs`` that aren't held out, and predict every row."""
-    fit = {k: options.pop(k) for k in ("docs_per_lang", "bytes_per_doc", "max_langs") if k in options}
+    fit = {k: options.pop(k) for k in ("docs_per_lang", "chars_per_doc", "max_chars") if k in options}
     found = identify_languages(docs, fit_dictionaries(docs.where(~held_out()), **fit), **options)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
@@ -115,4 +117,4 @@ def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], *, piece: i
             columns = [langs if k == lang else b.column(k) for k in range(b.num_columns)]
             yield pa.RecordBatch.from_arrays(columns, b.schema.names).filter(pa.array([not f[2] for f in out], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import quality_rules
-from .common import WORD, n_words, staged, uniform, unused
+from .common import WORD, n_words, staged, tasks_for, uniform, unused
 
 #: Sources up to this number travel to the executors by broadcast (about 100 bytes each).
 BROADCAST_SOURCES = 100_000
@@ -35,7 +35,8 @@ BROADCAST_SOURCES = 100_000
 def _numbered(sources: DataFrame) -> DataFrame:
     """``sources`` with source_id, their place by code point from 0, null last: sorted in ranges, counted, then numbered within the ranges."""
     name = F.col("source").asc_nulls_last()
-    ranges = staged(sources.repartitionByRange(name).withColumn("range", F.spark_partition_id()), "mix-sources")
+    sources = staged(sources, "mix-totals")
+    ranges = staged(sources.repartitionByRange(tasks_for(sources), name).withColumn("range", F.spark_partition_id()), "mix-sources")
     counts = ranges.groupBy("range").agg(F.count("*").alias("n"))  # a row for each range
     before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
     place = F.row_number().over(Window.partitionBy("range").orderBy(name)) - 1
@@ -81,7 +82,7 @@ def _drawn(docs: DataFrame, columns: list[str], weights: Sequence[float], max_ep
     targets = source_targets(rows.select("source", F.col(f"{to}.size").alias("size")), weights, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("epochs", epochs).withColumn("budget", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    targets = staged(targets, "mix-targets")
+    targets = staged(targets, "mix-targets", tasks_for(targets))
     k = -F.log(uniform(seed, "doc_id", f"{to}.mark")) / weight
     return rows.withColumn(to, F.struct(f"{to}.size", f"{to}.row", (k / (1 + k)).alias("key"))), to, targets
 
@@ -93,7 +94,7 @@ def _small(sources: DataFrame) -> DataFrame:
 
 def _edges(keyed: DataFrame, targets: DataFrame, bins: int, few: int) -> DataFrame:
     """(source_id, lo, hi, from, to, before) for each source with a budget: the documents of ``keyed`` (source_id, size, key, row) with lo <= key <= hi (and from <= row <= to) hold the edge of the budget, and ``before`` words come before them."""
-    c = F.col
+    c, tasks = F.col, tasks_for(targets)
     edges = targets.where("budget > 0").select("source_id", "budget", F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), F.lit(0).cast("long").alias("from"), F.lit((1 << 63) - 1).alias("to"), F.lit(0).cast("long").alias("before"))
     while True:
         by_row = c("lo") >= c("hi")  # equal keys are told apart by their rows
@@ -105,7 +106,7 @@ def _edges(keyed: DataFrame, targets: DataFrame, bins: int, few: int) -> DataFra
         )
         upto = c("before") + F.sum("words").over(Window.partitionBy("source_id").orderBy("bin"))  # bins of one source: a bounded number
         found = counts.withColumn("upto", upto).where((c("upto") >= c("budget")) & (c("upto") - c("words") < c("budget")))
-        edges = staged(found.select("source_id", "budget", "lo", "hi", "from", "to", (c("upto") - c("words")).alias("before"), "rows"), "mix-edges")
+        edges = staged(found.select("source_id", "budget", "lo", "hi", "from", "to", (c("upto") - c("words")).alias("before"), "rows"), "mix-edges", tasks)
         if (edges.agg(F.max("rows")).first()[0] or 0) <= few:
             return edges.drop("budget", "rows")
 

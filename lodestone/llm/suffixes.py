@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, map_arrow, release, staged, unused
+from .common import forget, map_arrow, release, staged, tasks_for, unused
 
 LENGTH, SEED = 100, 32
 HOT = 4096
@@ -271,20 +271,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, from, to): byte ranges of ``docs`` (doc_id, text) to remove; they may overlap and touch."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), text_mark().alias("mark"), "text")
+    tasks = tasks_for(docs)
     pieces = _pieces(docs)
-    often = staged(pieces.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+    often = staged(pieces.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors", tasks)
     release(spark)
     # written first: a join of two plain shuffles can be split where an anchor is very common
-    common = staged(pieces.join(often.hint("shuffle_hash"), "anchor"), "pieces")
+    common = staged(pieces.join(often.hint("shuffle_hash"), "anchor"), "pieces", tasks)
     release(spark)
     place = F.struct("doc_id", "at")
-    firsts = staged(common.groupBy("anchor", "piece").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first-pieces")
+    firsts = staged(common.groupBy("anchor", "piece").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first-pieces", tasks)
     twins = common.join(firsts.where("n > 1").select("anchor", "piece", "first"), ["anchor", "piece"]).where(place > F.col("first"))
     start, windows = F.shiftright("at", 30), F.shiftright("at", 23).bitwiseAND(F.lit(127))
-    spans = staged(twins.select("doc_id", _mark_of("at").alias("mark"), start.alias("from"), (start + windows + LENGTH - 1).alias("to")), "twin-spans")
+    spans = staged(twins.select("doc_id", _mark_of("at").alias("mark"), start.alias("from"), (start + windows + LENGTH - 1).alias("to")), "twin-spans", tasks)
     unlike = firsts.groupBy("anchor").agg(F.count("*").alias("pieces")).where("pieces > 1")
     wanted = firsts.join(unlike, "anchor").select("anchor", "first.doc_id", "first.at", (F.col("pieces") > HOT).alias("hot"))
-    shown = staged(_shown(wanted, docs), "shown-pieces")
+    shown = staged(_shown(wanted, docs), "shown-pieces", tasks)
     forget(often, common, firsts)
     release(spark)
     return spans.unionByName(_induced(shown.where("not hot"))).unionByName(_by_window(shown.where("hot")))
@@ -305,7 +306,7 @@ def cut_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
 
 def _with_spans(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with the spans to remove in a new column, and the column's name."""
-    spans = staged(repeated_spans(docs.select("doc_id", "text")), "spans")
+    spans = staged(repeated_spans(docs.select("doc_id", "text")), "spans", tasks_for(docs))
     release(docs.sparkSession)
     to, i, m = (unused([*docs.columns, *taken], c) for c, taken in (("spans", "im"), ("i", ["m"]), ("m", "i")))
     lists = spans.groupBy(F.col("doc_id").alias(i), F.col("mark").alias(m)).agg(F.collect_list(F.struct("from", "to")).alias(to))

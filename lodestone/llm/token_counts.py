@@ -6,12 +6,17 @@ many tokens remain when every document is truncated there, and which quantile th
 histogram has at most as many rows as there are distinct lengths.  Its sums run in blocks of
 ``block`` lengths (the blocks' totals first), so no task holds the whole histogram.
 
+Limits and quantiles that are asked for, whether they occur as lengths or not, are answered from the
+histogram in one aggregate (at_limits) and from the table by the least length that reaches them (at_quantiles).
+
 Edge cases: null and empty texts have length 0; an empty table gives no rows; rows with a null
 length are left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +32,7 @@ def length_histogram(lengths: DataFrame, n_tokens: str = "n_tokens") -> DataFram
 
 
 def length_table(lengths: DataFrame, n_tokens: str = "n_tokens", *, block: int = 1024) -> DataFrame:
-    """For each length L that occurs, in the histogram's columns and:
+    """For each length L that occurs, in the histogram's columns and (a task puts ``block`` lengths in order at most, whatever the corpus):
 
     docs_at_most, tokens_at_most: documents of length <= L and their tokens;
     docs_longer, tokens_longer: the suffix sums beyond L;
@@ -49,3 +54,21 @@ def length_table(lengths: DataFrame, n_tokens: str = "n_tokens", *, block: int =
         (upto["total_tokens"] + F.col("n_tokens") * (F.col("all_n_docs") - upto["n_docs"])).alias("truncated_total"),
         (upto["n_docs"] / F.col("all_n_docs")).alias("quantile"),
     )
+
+
+def at_limits(lengths: DataFrame, limits: Sequence[int], n_tokens: str = "n_tokens") -> DataFrame:
+    """(limit, docs_at_most, tokens_at_most, docs_longer, tokens_longer, truncated_total) for each of ``limits``, which needn't occur as lengths; 0 everywhere without documents."""
+    n, docs, tokens = F.col("n_tokens"), F.col("n_docs"), F.col("total_tokens")
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    row = lambda limit: F.struct(
+        F.lit(limit).cast("long").alias("limit"), total(F.when(n <= limit, docs)).alias("docs_at_most"), total(F.when(n <= limit, tokens)).alias("tokens_at_most"),
+        total(F.when(n > limit, docs)).alias("docs_longer"), total(F.when(n > limit, tokens)).alias("tokens_longer"), total(docs * F.least(n, F.lit(limit))).alias("truncated_total"),
+    )
+    hist = length_histogram(lengths, n_tokens)
+    return hist.agg(F.array(*[row(int(x)) for x in limits]).alias("rows")).select(F.inline("rows"))
+
+
+def at_quantiles(table: DataFrame, quantiles: Sequence[float]) -> DataFrame:
+    """(q, n_tokens): the least length in a length_table() whose quantile is at least q; null without documents."""
+    row = lambda q: F.struct(F.lit(float(q)).alias("q"), F.min(F.when(F.col("quantile") >= q, F.col("n_tokens"))).alias("n_tokens"))
+    return table.agg(F.array(*[row(q) for q in quantiles]).alias("rows")).select(F.inline("rows"))
