@@ -50,6 +50,12 @@ def tasks_for(df: DataFrame, rows: int = 5000) -> int:
     return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it has fewer: one large file with few row groups would occupy few of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def staged(df: DataFrame, what: str, tasks: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
