@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, bpe, importance, langid, mixing, near_dups, pieces, quality_rules, suffixes, token_counts, warc
+from . import alignment, ann, bpe, importance, langid, mixing, near_dups, pieces, prefix_trie, quality_rules, suffixes, token_counts, warc
 from .common import load
 
 
@@ -69,6 +69,10 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(load(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(load(spark, sf_dir, "conversations"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(load(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
 
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
@@ -115,4 +120,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, len(any_value(h)) // 2 AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
                sha256(unhex(coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), ''))) AS kept_sha256
         FROM d LEFT JOIN o ON o.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op12_prefix_trie": r"""
+        WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS rn FROM conversations WHERE conv_id IS NOT NULL),
+             i AS (SELECT conv_id, count(*) AS n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+                     lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h FROM o GROUP BY conv_id),
+             b AS (SELECT i.conv_id, i.h, least(i.h, coalesce(k.n, 0)) AS given FROM i LEFT JOIN i k ON k.conv_id = i.conv_id - i.conv_id % 100),
+             t AS (SELECT b.conv_id, o.rn AS d, role, text FROM b JOIN o ON o.conv_id = b.conv_id - b.conv_id % 100 WHERE o.rn <= b.h
+                   UNION ALL SELECT b.conv_id, given + o.rn - b.h, role, text FROM b JOIN o ON o.conv_id = b.conv_id WHERE o.rn > b.h),
+             x AS (SELECT conv_id, d, length(text) AS letters, md5(string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY d)) AS path FROM t
+                   UNION ALL SELECT conv_id, 0, 0, '' FROM i),
+             y AS (SELECT *, lag(path) OVER (PARTITION BY conv_id ORDER BY d) AS up, d = max(d) OVER (PARTITION BY conv_id) AS last FROM x),
+             g AS (SELECT d, path, any_value(up) AS up, min(conv_id) AS low, count(*) AS n_convs, (count(*) - 1) * any_value(letters) AS own,
+                          sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM y GROUP BY d, path),
+             k AS (SELECT g.*, (SELECT count(*) FROM g c WHERE c.d = g.d + 1 AND c.up = g.path) AS n_children FROM g),
+             s AS (SELECT a.d, a.path, sum(k.own) AS saved, count(*) FILTER (k.n_children = 0) AS leaves FROM k JOIN y a ON a.conv_id = k.low AND a.d <= k.d GROUP BY a.d, a.path)
+        SELECT k.low AS conv_id, k.d AS depth, p.low AS parent_conv_id, k.n_convs, k.n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, k.ends_sha256
+        FROM k JOIN s ON s.d = k.d AND s.path = k.path LEFT JOIN k p ON p.d = k.d - 1 AND p.path = k.up""",
 }
