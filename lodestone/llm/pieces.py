@@ -117,7 +117,7 @@ class Normalizer:
         places: list[int] = []
         first = next((k for k, (s, _) in enumerate(chunks) if s != " "), len(chunks)) if self.squeeze else 0
         if first == len(chunks):
-            return "", np.array([len(data)], dtype=np.int64)
+            return "", np.zeros(1, dtype=np.int64)
         if self.dummy:
             out.append(self.space)
             places.append(chunks[first][1])
