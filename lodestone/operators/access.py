@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +32,15 @@ def within_quota(candidates: DataFrame, existing: DataFrame, by: str, limit: int
     return candidates.join(counts, by, "left").withColumn("n", n).withColumn("allowed", n < limit)
 
 
-def insert_absent(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return table.unionByName(new.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti"))
+def one_of_each(rows: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """A row for each of ``keys``: the first by ``order``; without an order, the largest by the other columns."""
+    order = order or [F.desc_nulls_last(c) for c, kind in rows.dtypes if c not in keys and not kind.startswith("map")]
+    return latest(rows, keys, order or [F.lit(1)]).drop("recency") if set(rows.columns) - set(keys) else rows.distinct()
+
+
+def insert_absent(table: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """``table`` and the rows of ``new`` whose keys it doesn't have, one_of_each() of them."""
+    return table.unionByName(one_of_each(new, keys, order).join(table.select(*keys), keys, "left_anti"))
 
 
 def upsert(table: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
@@ -39,9 +48,7 @@ def upsert(table: DataFrame, new: DataFrame, keys: list[str], order: list[Column
 
     Where ``new`` holds a key several times, the first by ``order`` counts; without an order, the largest by the other columns.
     """
-    order = order or [F.desc_nulls_last(c) for c, kind in new.dtypes if c not in keys and not kind.startswith("map")]
-    one = latest(new, keys, order or [F.lit(1)]).drop("recency") if set(new.columns) - set(keys) else new.distinct()
-    return one.unionByName(table.join(new.select(*keys), keys, "left_anti"))
+    return one_of_each(new, keys, order).unionByName(table.join(new.select(*keys), keys, "left_anti"))
 
 
 def latest_by_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -67,13 +74,15 @@ def nested(parents: DataFrame, children: DataFrame, keys: list[str], fields: lis
 
 
 def write_embeddings(files: DataFrame, embedded: DataFrame, path: str, keys: list[str] | None = None, done: str = "success", failed: str = "failed") -> DataFrame:
-    """Append ``embedded`` to the table at ``path``, and return ``files`` with the status of what was written.
+    """Append ``embedded`` to the table at ``path``, and return ``files`` with the status of what was written by this call.
 
-    Spark's committer shows all rows of the write or none; a file counts as done if it has a row there.
+    Each write is a folder ``write=<id>`` of its own, a partition of the table: Spark's committer shows all its rows or none,
+    and only it is read again, so that neither older rows count nor a model is asked twice.
     """
     keys = keys or ["file_id"]
-    embedded.write.mode("append").parquet(path)
-    written = files.sparkSession.read.schema(embedded.schema).parquet(path)
+    own = f"{path.rstrip('/')}/write={uuid.uuid4().hex}"
+    embedded.write.parquet(own)
+    written = files.sparkSession.read.schema(embedded.schema).parquet(own)
     return mark(files.withColumn("status", F.lit(failed)), written, keys, "status", F.lit(done))
 
 
@@ -84,8 +93,12 @@ def with_details(saved: DataFrame, new: DataFrame, keys: list[str], at: str = "u
 
 
 def new_repositories(saved: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of ``found`` (repo_full_name, repo_url, repo_created_at as ISO text, ...) that ``saved`` doesn't have yet, by name or address, with a repo_id and a timestamp."""
-    fresh = insert_absent(found.limit(0), found, ["repo_full_name"]).dropDuplicates(["repo_url"])
+    """Rows of ``found`` (repo_full_name, repo_url, repo_created_at as ISO text, ...) that ``saved`` doesn't have yet, by name or address, with a repo_id and a timestamp.
+
+    Of rows with one name the earliest stays, then of rows with one address; ties by the address and the name.
+    """
+    first = [F.asc_nulls_last("repo_created_at"), F.asc_nulls_last("repo_url"), F.asc_nulls_last("repo_full_name")]
+    fresh = one_of_each(one_of_each(found, ["repo_full_name"], first), ["repo_url"], first)
     for key in ("repo_full_name", "repo_url"):
         fresh = fresh.join(saved.select(key), key, "left_anti")
     at = F.try_to_timestamp(F.regexp_replace("repo_created_at", "Z$", "+00:00"))

@@ -81,11 +81,71 @@ def python_chunks(code: str) -> list[Chunk]:
     return out
 
 
+_BLOCK_STRING = r'"""(?:\\.|(?!""").)*(?:"""|\Z)'
+_QUOTED = r'"(?:\\.|[^"\\\n])*"?'
+#: What may hide braces: comments and literals.  A single quote opens a character in some languages, a string in others, and a lifetime in Rust.
+_HIDING = {
+    "javascript": rf"//[^\n]*|/\*.*?(?:\*/|\Z)|{_QUOTED}|'(?:\\.|[^'\\\n])*'?|`|/",
+    "go": rf"//[^\n]*|/\*.*?(?:\*/|\Z)|`[^`]*`?|{_QUOTED}|'(?:\\.|[^'\\\n])*'",
+    "rust": rf"//[^\n]*|/\*.*?(?:\*/|\Z)|r(#+)\".*?\"\1|{_QUOTED}|'(?:\\[^\n]{{1,9}}?|[^'\\\n])'",
+    "php": rf"//[^\n]*|\#[^\n]*|/\*.*?(?:\*/|\Z)|{_QUOTED}|'(?:\\.|[^'\\])*'?",
+}
+_HIDING_ELSE = rf"//[^\n]*|/\*.*?(?:\*/|\Z)|{_BLOCK_STRING}|{_QUOTED}|'(?:\\.|[^'\\\n])*'?"
+_REGEX_LITERAL = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/\w*")
+#: A slash after one of these begins a regular expression; after anything else it divides.
+_BEFORE_REGEX = re.compile(r"(?:^|[(,=:\[!&|?{};+\-*%~^<>]|\b(?:return|typeof|case|in|of|delete|void|throw|new|do|else))\s*\Z")
+
+
+def bare_lines(code: str, language: str) -> list[str]:
+    """The lines of ``code`` with its comments, strings, template and regular-expression literals blanked: braces that are left are the code's own."""
+    script = language in ("javascript", "typescript")
+    hiding = re.compile(rf"(?:{_HIDING.get('javascript' if script else language, _HIDING_ELSE)})|[{{}}]", re.S)
+    out: list[str] = []
+    blank = lambda text: re.sub(r"[^\n]", " ", text)
+    open_: list[int] = []  # braces inside each ${ } of the templates around
+    i = 0
+    while m := hiding.search(code, i):
+        before, found = code[i : m.start()], m[0]
+        out.append(blank(before) if open_ else before)
+        i = m.end()
+        if found in "{}":
+            if not open_:
+                out.append(found)
+                continue
+            out.append(" ")
+            open_[-1] += 1 if found == "{" else -1
+            if open_[-1] < 0:  # the rest of the template
+                open_.pop()
+                i = _template(code, i, out, open_)
+        elif script and found == "`":
+            out.append(" ")
+            i = _template(code, i, out, open_)
+        elif script and found == "/":
+            line = code[code.rfind("\n", 0, m.start()) + 1 : m.start()]
+            literal = _REGEX_LITERAL.match(code, m.start()) if _BEFORE_REGEX.search(line) else None
+            out.append(blank(literal[0]) if literal else found)
+            i = literal.end() if literal else i
+        else:
+            out.append(blank(found))
+    out.append(code[i:])
+    return "".join(out).split("\n")
+
+
+def _template(code: str, i: int, out: list[str], open_: list[int]) -> int:
+    """Blank a template literal from ``i`` to its end, or to where an expression opens in it."""
+    m = re.compile(r"(?:\\.|(?!\$\{)[^`\\])*(`|\$\{|\Z)", re.S).match(code, i)
+    end = m.end() if m else len(code)
+    out.append(re.sub(r"[^\n]", " ", code[i:end]))
+    if m and m[1] == "${":
+        open_.append(0)
+    return end
+
+
 def _block_end(lines: list[str], i: int, stop: int, opener: str) -> int:
-    """The last line of the definition that opens at line ``i``: where its braces close, or where it ends without any."""
+    """The last of the bare ``lines`` of the definition that opens at line ``i``: where its braces close, or where it ends without any."""
     depth, opened = 0, False
     for j in range(i, stop):
-        bare = re.sub(r"""//.*|/\*.*?\*/|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'""", "", lines[j])
+        bare = lines[j]
         depth += bare.count("{") - bare.count("}")
         opened = opened or "{" in bare
         if opened and depth <= 0 or not opened and bare.rstrip().endswith(";"):
@@ -95,19 +155,19 @@ def _block_end(lines: list[str], i: int, stop: int, opener: str) -> int:
     return stop - 1
 
 
-def _methods(lines: list[str], start: int, end: int, language: str) -> list[tuple[str, int, int]]:
+def _methods(lines: list[str], bare: list[str], start: int, end: int, language: str) -> list[tuple[str, int, int]]:
     """(name, first line, last line) of the methods between the braces of a class."""
     found: list[tuple[str, int, int]] = []
     pattern = _METHODS.get(language)
-    i = next((k for k in range(start, end + 1) if "{" in lines[k]), end) + 1
+    i = next((k for k in range(start, end + 1) if "{" in bare[k]), end) + 1
     while pattern and i < end:
-        m = re.match(pattern, lines[i])
+        m = re.match(pattern, lines[i]) if bare[i].strip() else None
         name = next((g for g in reversed(m.groups()) if g), None) if m else None
         if not name or name in _CONTROL:
             i += 1
             continue
-        j = _block_end(lines, i, end, r"(?!)")
-        if any("{" in x for x in lines[i : j + 1]):
+        j = _block_end(bare, i, end, r"(?!)")
+        if any("{" in x for x in bare[i : j + 1]):
             found.append((name, i, j))
             i = j
         i += 1
@@ -116,12 +176,12 @@ def _methods(lines: list[str], start: int, end: int, language: str) -> list[tupl
 
 def brace_chunks(code: str, language: str) -> list[Chunk]:
     """Definitions of a language with braces, up to the brace that closes them; a class gives a summary and its methods; the rest is global."""
-    lines = code.split("\n")
+    lines, bare = code.split("\n"), bare_lines(code, language)
     out: list[Chunk] = []
     rest: list[int] = []
     i = 0
     while i < len(lines):
-        m = re.match(_OPENERS[language], lines[i])
+        m = re.match(_OPENERS[language], lines[i]) if bare[i].strip() else None
         word = (m[1] or "function") if m else ""
         name = next((g for g in m.groups()[1:] if g), None) if m else None
         if not m or name in _CONTROL:
@@ -129,11 +189,11 @@ def brace_chunks(code: str, language: str) -> list[Chunk]:
                 rest.append(i)
             i += 1
             continue
-        j = _block_end(lines, i, len(lines), _OPENERS[language])
+        j = _block_end(bare, i, len(lines), _OPENERS[language])
         kind = _KINDS.get(word, word)
         if language == "go" and word == "type":
             kind = "struct" if " struct" in lines[i] else "interface" if " interface" in lines[i] else "type"
-        methods = _methods(lines, i, j, language) if kind == "class" else []
+        methods = _methods(lines, bare, i, j, language) if kind == "class" else []
         if methods:
             out.append(("class_summary", name, _comment(lines, i), None, None, f"class {name}: " + ", ".join(x for x, _, _ in methods), i, j))
             out += [("method", x, _comment(lines, a), name, None, "\n".join(lines[a : b + 1]), a, b) for x, a, b in methods]
@@ -154,13 +214,13 @@ def _statements(text: str, language: str) -> list[tuple[int, int]]:
         first = lambda s: min([s.lineno, *(d.lineno for d in getattr(s, "decorator_list", []))]) - 1
         return [(first(s), (s.end_lineno or s.lineno) - 1) for s in body]
     out: list[tuple[int, int]] = []
-    i = next((k for k, x in enumerate(lines) if "{" in x), len(lines)) + 1
+    bare = bare_lines(text, language)
+    i = next((k for k, x in enumerate(bare) if "{" in x), len(lines)) + 1
     while i < len(lines) - 1:
         if lines[i].strip():
             depth, j = 0, i
             while j < len(lines) - 1:
-                bare = re.sub(r"""//.*|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'""", "", lines[j])
-                depth += sum(bare.count(x) for x in "{([") - sum(bare.count(x) for x in "})]")
+                depth += sum(bare[j].count(x) for x in "{([") - sum(bare[j].count(x) for x in "})]")
                 if depth <= 0:
                     break
                 j += 1

@@ -64,8 +64,9 @@ def multiset_rest(wanted: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def replace_or_append(saved: DataFrame, new: DataFrame, key: Column) -> DataFrame:
-    """``new`` and the rows of ``saved`` that no row of ``new`` has the same key as."""
-    return saved.withColumn("_key", key).join(new.select(key.alias("_key")).distinct(), "_key", "left_anti").drop("_key").unionByName(new)
+    """``new`` and the rows of ``saved`` that no row of ``new`` has the same key as; null keys are the same."""
+    keys = new.select(key.alias("_new_key")).distinct()
+    return saved.withColumn("_key", key).join(keys, F.col("_key").eqNullSafe(F.col("_new_key")), "left_anti").drop("_key").unionByName(new)
 
 
 def judge_scores(rows: DataFrame, scores: list[str], report: str = "evaluation") -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,13 @@ def batch_topk(queries: DataFrame, df: DataFrame, k: int, *, id_col: str = "vec_
 
     Both sides are packed into blocks of at most ``block`` rows by the tasks, and every pair of blocks is
     compared.  A task returns k rows for each query of the blocks it is given, however many pairs that are.
+
+    Rows with a null id take no part, and queries whose vector is null, zero or not finite find nothing.  Rows without a cosine
+    with a query (such vectors, and those of another length) have a null distance and come last, as in vector_topk(); ties by id.  Query rows that share an id are one
+    query, with the least of their vectors; rows of ``df`` that share an id are rows of their own.
     """
-    pairs = _vector_blocks(queries, "q", block, id_col, vec_col).crossJoin(_vector_blocks(df, "c", block, id_col, vec_col))
+    asked = queries.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_vec")).groupBy("_id").agg(F.min("_vec").alias("_vec"))
+    pairs = _vector_blocks(asked, "q", block, "_id", "_vec").crossJoin(_vector_blocks(df, "c", block, id_col, vec_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -48,39 +54,48 @@ def batch_topk(queries: DataFrame, df: DataFrame, k: int, *, id_col: str = "vec_
         yield from (_hits(*x) for x in best.values())
 
     found = pairs.mapInArrow(run, "query_id long, id long, distance double")
-    best = Window.partitionBy("query_id").orderBy("distance", "id")
+    best = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
 def _vector_blocks(df: DataFrame, name: str, block: int, id_col: str, vec_col: str) -> DataFrame:
-    """(<name>_block, <name>_ids, <name>_vecs): ``df`` without null vectors, in blocks of at most ``block`` rows, components one after the other."""
+    """(<name>_block, <name>_ids, <name>_vecs): ``df`` in blocks of at most ``block`` rows whose vectors have one length, components one after the other; a null vector has length 0.
+
+    A block is named by what it holds: where the packing runs again, its blocks have the same names.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        room = block
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for b in batches:
-            while b.num_rows:
-                held.append(b.slice(0, room))
-                b = b.slice(held[-1].num_rows)
-                room -= held[-1].num_rows
-                if not room:
-                    yield packed(held)
-                    held, room = [], block
-        if held:
-            yield packed(held)
-
-    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        ids = pa.concat_arrays([b.column(0) for b in held]).to_numpy(zero_copy_only=False)
-        x = pa.concat_arrays([b.column(1).flatten() for b in held]).to_numpy(zero_copy_only=False)
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())), pa.array([x], pa.list_(pa.float64()))], [f"{name}_block", f"{name}_ids", f"{name}_vecs"])
-
-    rows = df.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")).where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull())
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            size = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+            for n in np.unique(size).tolist():
+                at = np.flatnonzero(size == n)
+                values = b.column(1).take(pa.array(at)).flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(len(at), n)
+                for i in range(0, len(at), block):
+                    part = held.setdefault(n, [])
+                    part.append((ids[at[i : i + block]], values[i : i + block]))
+                    if sum(len(x) for x, _ in part) >= block:
+                        yield from packed(held.pop(n))
+            while len(held) > 64:  # many lengths: the fullest goes as it is
+                yield from packed(held.pop(max(held, key=lambda n: len(held[n]))))
+        for part in held.values():
+            yield from packed(part)
+
+    def packed(part: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        ids, x = (np.concatenate(z) for z in zip(*part, strict=True))
+        for i in range(0, len(ids), block):
+            own, vecs = ids[i : i + block], np.ascontiguousarray(x[i : i + block])
+            known = hashlib.blake2b(own.tobytes() + vecs.tobytes(), digest_size=16).hexdigest()
+            yield pa.RecordBatch.from_arrays([pa.array([known]), pa.array([own], pa.list_(pa.int64())), pa.array([vecs.reshape(-1)], pa.list_(pa.float64()))], [f"{name}_block", f"{name}_ids", f"{name}_vecs"])
+
+    rows = df.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>")).where(F.col(id_col).isNotNull())
     return rows.mapInArrow(pack, f"{name}_block string, {name}_ids array<long>, {name}_vecs array<double>")
 
 
 def _unpacked(b: pa.RecordBatch, name: str, i: int) -> tuple[np.ndarray, np.ndarray]:
     ids, x = (b.column(f"{name}_{c}")[i].values.to_numpy(zero_copy_only=False) for c in ("ids", "vecs"))
-    return ids, x.reshape(len(ids), -1)
+    return ids, x.reshape(len(ids), len(x) // len(ids))
 
 
 def _least(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,20 +110,30 @@ def _least(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return np.take_along_axis(d, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
 
+#: In place of a distance: there is no cosine; the row is the query's own, or nothing is found.
+_NO_COSINE, _OWN = 1e300, np.inf
+
+
 def _block_topk(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, with_self: bool) -> tuple[np.ndarray, np.ndarray]:
-    norm = np.sqrt((q * q).sum(axis=1))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        d = 1.0 - (q @ c.T) / (norm[:, None] * np.sqrt((c * c).sum(axis=1))[None, :])
-    d = np.round(np.where(np.isfinite(d), d, np.inf), 9)
+    with np.errstate(over="ignore", invalid="ignore"):
+        norm = np.sqrt((q * q).sum(axis=1))
+    if q.shape[1] == c.shape[1] > 0:
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            d = 1.0 - (q @ c.T) / (norm[:, None] * np.sqrt((c * c).sum(axis=1))[None, :])
+        d = np.where(np.isfinite(d), np.round(d, 9), _NO_COSINE)
+    else:
+        d = np.full((len(q_ids), len(c_ids)), _NO_COSINE)
     if not with_self:
-        d[q_ids[:, None] == c_ids[None, :]] = np.inf
+        d[q_ids[:, None] == c_ids[None, :]] = _OWN
+    d[~((norm > 0) & np.isfinite(norm))] = _OWN
     return _least(d, np.broadcast_to(c_ids, d.shape), k)
 
 
 def _hits(q_ids: np.ndarray, d: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    keep = np.isfinite(d)
-    out = (np.broadcast_to(q_ids[:, None], d.shape)[keep], ids[keep], d[keep])
-    return pa.RecordBatch.from_arrays([pa.array(z) for z in out], ["query_id", "id", "distance"])
+    keep = d < _OWN
+    distance = d[keep]
+    out = (np.broadcast_to(q_ids[:, None], d.shape)[keep], ids[keep])
+    return pa.RecordBatch.from_arrays([*(pa.array(z) for z in out), pa.array(distance, mask=distance == _NO_COSINE)], ["query_id", "id", "distance"])
 
 
 def trigram_topk(df: DataFrame, query: str, k: int = 20, *, id_col: str = "doc_id", text_col: str = "text", floor: float = 0.05) -> DataFrame:

@@ -46,10 +46,10 @@ def call(tools: dict[str, Tool], name: str, arguments: str | dict[str, Any]) ->
     return tools[name](**given)
 
 
-def chat_messages(question: str, context: str | None, system: str, history: Iterable[dict[str, str]] = ()) -> list[dict[str, str]]:
-    """The system's message, what was said before, and the question behind its context."""
-    shown = "" if context is None else f"Here is the retrieved context from the repository:\n{context}\n\n"
-    return [{"role": "system", "content": system}, *history, {"role": "user", "content": f"{shown}User question:\n {question}\n"}]
+def chat_messages(question: str, context: str | None, system: str, history: Iterable[dict[str, str]] = (), with_context: str = "Passages:\n{context}\n\nQuestion: {question}", without: str = "Question: {question}") -> list[dict[str, str]]:
+    """The system's message, what was said before, and the question behind its context, in the wording given."""
+    asked = without.format(question=question) if context is None else with_context.format(context=context, question=question)
+    return [{"role": "system", "content": system}, *history, {"role": "user", "content": asked}]
 
 
 def retrieve(question: str, rewrite: Callable[[str, list[str]], str], search: Callable[[str], DataFrame], *, wordings: int = 7, searches: int = 4, history: list[str] | None = None, too_long: type[Exception] = OverflowError) -> DataFrame:

@@ -112,10 +112,11 @@ def _hybrid(spark: SparkSession, sf_dir: str, *docs: int) -> DataFrame:
     return retrieval.hybrid(t(spark, sf_dir, "documents"), t(spark, sf_dir, "embeddings"), [text_of(spark, sf_dir, d) for d in docs], [vector_of(spark, sf_dir, d) for d in docs])
 
 
-@query(f"SELECT doc_id, source, round(rrf, 6) AS rrf FROM ({_fused(7)}) JOIN documents ON doc_id = id")
+@query(f"SELECT id AS doc_id, source, round(rrf, 6) AS rrf FROM ({_fused(7)}) LEFT JOIN documents ON doc_id = id")
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fused hit, with what is known of its document; a vector without one is a hit too."""
     hits = _hybrid(spark, sf_dir, 7)
-    return hits.join(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "id").select(F.col("id").alias("doc_id"), "source", r6("rrf").alias("rrf"))
+    return hits.join(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), "id", "left").select(F.col("id").alias("doc_id"), "source", r6("rrf").alias("rrf"))
 
 
 @query(f"SELECT id, round(rrf, 6) AS rrf, first FROM ({_fused(7)})")
@@ -128,10 +129,10 @@ def multi_query_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir, 7, 11, 23).select("id", r6("rrf").alias("rrf"), F.col("first").cast("long").alias("first"))
 
 
-@query(f"SELECT id, source, rerank_score FROM (SELECT id, source, round(1 / (1 + exp(-n_chars / 100.0)), 4) AS rerank_score FROM ({_fused(7)}) JOIN documents ON doc_id = id ORDER BY n_chars DESC NULLS LAST, id LIMIT 8)")
+@query(f"SELECT id, source, rerank_score FROM (SELECT id, source, round(1 / (1 + exp(-n_chars / 100.0)), 4) AS rerank_score FROM ({_fused(7)}) LEFT JOIN documents ON doc_id = id ORDER BY n_chars DESC NULLS LAST, id LIMIT 8)")
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cross-encoder is a column here: longer documents first."""
-    hits = _hybrid(spark, sf_dir, 7).join(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars"), "id")
+    """The cross-encoder is a column here: longer documents first, hits without one last."""
+    hits = _hybrid(spark, sf_dir, 7).join(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars"), "id", "left")
     return retrieval.rerank(hits, F.col("n_chars") / 100.0, retrieval.limit_for("groq")).select("id", "source", "rerank_score")
 
 
@@ -168,12 +169,12 @@ def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.context(hits, t(spark, sf_dir, "documents"))
 
 
-@query(f"""WITH f AS ({_fused(7)}) SELECT sha256(id::VARCHAR || '|' || doc_id::VARCHAR || '|' || '1') AS source_id, id AS embed_id, CASE WHEN source = 'src0' THEN NULL ELSE doc_id END AS file_id, 1::BIGINT AS conversation_id
-           FROM f JOIN documents ON doc_id = id WHERE n_chars % 2 = 0""")
+@query(f"""WITH f AS ({_fused(7)}) SELECT sha256(concat_ws('|', id::VARCHAR, doc_id::VARCHAR, '1')) AS source_id, id AS embed_id, CASE WHEN source = 'src0' THEN NULL ELSE doc_id END AS file_id, 1::BIGINT AS conversation_id
+           FROM f LEFT JOIN documents ON doc_id = id WHERE coalesce(n_chars, 0) % 2 = 0""")
 def provenance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that record what an answer was made of; hits whose id isn't a valid one (here those of texts of odd length) are skipped, invalid file ids become null."""
-    hits = _hybrid(spark, sf_dir, 7).join(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "doc_id", "n_chars"), "id")
-    written = F.regexp_replace(F.md5(F.col("id").cast("string")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", F.when(F.col("n_chars") % 2 == 0, "$1-$2-$3-$4-$5").otherwise("$1$2$3$4$5"))
+    """Rows that record what an answer was made of; hits whose id isn't a valid one (here those of texts of odd length) are skipped, invalid file ids, and those of hits without a document, become null."""
+    hits = _hybrid(spark, sf_dir, 7).join(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "doc_id", "n_chars"), "id", "left")
+    written = F.regexp_replace(F.md5(F.col("id").cast("string")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", F.when(F.coalesce("n_chars", F.lit(0)) % 2 == 0, "$1-$2-$3-$4-$5").otherwise("$1$2$3$4$5"))
     hits = hits.where(X.is_uuid(written))
     key = F.sha2(F.concat_ws("|", F.col("id").cast("string"), F.col("doc_id").cast("string"), F.lit("1")), 256)
     return hits.select(key.alias("source_id"), F.col("id").alias("embed_id"), F.when(F.col("source") != "src0", F.col("doc_id")).alias("file_id"), F.lit(1).cast("long").alias("conversation_id"))

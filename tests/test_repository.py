@@ -233,7 +233,7 @@ def test_tools(spark, tmp_path):
     for name, args in (("none", "{}"), ("x", "[1]")):
         with pytest.raises(ValueError, match="unknown tool|JSON object"):
             tools.call({"x": lambda: None}, name, args)
-    assert tools.chat_messages("q", "c", "s", [{"role": "user", "content": "h"}])[-1]["content"] == "Here is the retrieved context from the repository:\nc\n\nUser question:\n q\n"
+    assert tools.chat_messages("q", "c", "s", [{"role": "user", "content": "h"}], with_context="{context}: {question}")[-1]["content"] == "c: q"
 
 
 def test_retrieval_is_tried_again(spark):
