@@ -309,7 +309,7 @@ def _with_spans(docs: DataFrame) -> tuple[DataFrame, str]:
     spans = staged(repeated_spans(docs.select("doc_id", "text")), "spans", tasks_for(docs))
     release(docs.sparkSession)
     to, i, m = (unused([*docs.columns, *taken], c) for c, taken in (("spans", "im"), ("i", ["m"]), ("m", "i")))
-    lists = spans.groupBy(F.col("doc_id").alias(i), F.col("mark").alias(m)).agg(F.collect_list(F.struct("from", "to")).alias(to))
+    lists = spans.groupBy(F.col("doc_id").alias(i), F.col("mark").alias(m)).agg(F.collect_set(F.struct("from", "to")).alias(to))  # equal rows show the same spans
     return docs.join(lists, (F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)) == F.col(i)) & (text_mark() == F.col(m)), "left").drop(i, m), to
 
 

@@ -332,3 +332,18 @@ def test_limits_that_are_no_lengths(spark):
         assert (r.docs_longer, r.tokens_longer, r.truncated_total) == (sum(x > r.limit for x in n), sum(x for x in n if x > r.limit), sum(min(x, r.limit) for x in n))
     assert [tuple(r) for r in token_counts.at_quantiles(token_counts.length_table(lengths), [0.1, 0.5, 0.61, 1.0]).collect()] == [(0.1, 0), (0.5, 3), (0.61, 10), (1.0, 50)]
     assert token_counts.at_limits(lengths.limit(0), [5]).first().docs_at_most == 0
+
+
+def test_spans_of_many_equal_rows_are_those_of_one(spark, no_docs):
+    """A thousand rows with one id and text: the list of their spans is as long as there are different ones, and the results are brute force's."""
+    from lodestone.llm import suffixes
+
+    text = " ".join(f"word{i % 37}" for i in range(120))
+    df = spark.createDataFrame([(5, text)] * 1000 + [(9, f"new {text}")], "doc_id long, text string").repartition(4)
+    rows, to = suffixes._with_spans(df)
+    lists = rows.where(f"`{to}` is not null").select("doc_id", f"`{to}`").collect()
+    assert len(lists) == 1001
+    assert max(len(r[1]) for r in lists) <= len(text) and all(len({tuple(s) for s in r[1]}) == len(r[1]) for r in lists)
+    # the first of the equal rows can't be told from the others: all of them lose what repeats within the text, and what an equal row has
+    digests = {tuple(r)[1:] for r in suffixes.repeat_digest(df).where("doc_id = 5").collect()}
+    assert len(digests) == 1
