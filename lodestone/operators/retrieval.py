@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from . import indexes
 
 # How many chunks the providers' contexts take.
 PROVIDER_LIMITS = {"groq": 8, "google": 20}
@@ -194,16 +195,16 @@ def top_fused(fused: DataFrame, k: int) -> DataFrame:
     return fused.orderBy(F.desc("rrf"), "first", "id").limit(k)
 
 
-def hybrid(texts_of: DataFrame, vectors_of: DataFrame, texts: list[str], vectors: list[list[float]], *, top: int = 20, limit: int = 20, text_id: str = "doc_id", vec_id: str = "vec_id", text_col: str = "text", vec_col: str = "embedding") -> DataFrame:
+def hybrid(texts_of: DataFrame, vectors_of: DataFrame, texts: list[str], vectors: list[list[float]], *, top: int = 20, limit: int = 20, text_id: str = "doc_id", vec_id: str = "vec_id", text_col: str = "text", vec_col: str = "embedding", tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """(id, rrf, first): a vector list and a trigram list for each of the query's wordings, fused.  Other columns are joined after ranking.
 
-    Each list is taken from its whole table, so that a text without a vector can be found by its letters, and a vector without a text too.
+    tables: indexes.trigram_tables() of the texts; without them every text is read for each wording.  Each list is taken from its whole table, so that a text without a vector can be found by its letters, and a vector without a text too.
     """
     lists = []
     for i, (t, v) in enumerate(zip(texts, vectors, strict=True)):
         near = vector_topk(vectors_of.select(vec_id, vec_col), v, limit, id_col=vec_id, vec_col=vec_col)
-        like = trigram_topk(texts_of.select(text_id, text_col), t, limit, id_col=text_id, text_col=text_col)
-        lists += [ranked(near, 2 * i, [F.asc_nulls_last("distance"), F.col(vec_id)], vec_id), ranked(like, 2 * i + 1, [F.desc("similarity"), F.col(text_id)], text_id)]
+        like = indexes.trigram_nearest(tables, t, limit) if tables else trigram_topk(texts_of.select(text_id, text_col), t, limit, id_col=text_id, text_col=text_col).withColumnRenamed(text_id, "id")
+        lists += [ranked(near, 2 * i, [F.asc_nulls_last("distance"), F.col(vec_id)], vec_id), ranked(like, 2 * i + 1, [F.desc("similarity"), F.col("id")], "id")]
     return top_fused(fuse(reduce(DataFrame.unionByName, lists)), top)
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import access, chunking, evaluation, ingest, predicates, retrieval
+from ..functions import stemming
+from ..operators import access, chunking, evaluation, indexes, ingest, predicates, retrieval
+from ..operators.shared import remembered
 from ..streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +40,10 @@ def text_of(spark: SparkSession, sf_dir: str, doc_id: int) -> str:
     return t(spark, sf_dir, "documents").where(F.col("doc_id") == doc_id).select("text").first()[0]
 
 
+def grams_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return remembered(t(spark, sf_dir, "documents").select("doc_id", "text"), "trigrams", indexes.trigram_tables)
+
+
 def r6(c: str | Column) -> Column:
     return F.round(c, 6)
 
@@ -97,8 +103,8 @@ def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT doc_id, round(s, 6) AS similarity FROM (SELECT doc_id, round({_SIM}, 9) AS s FROM (SELECT doc_id, {_GRAMS.format("text")} AS a, (SELECT {_GRAMS.format("text")} FROM documents WHERE doc_id = 7) AS b FROM documents)) WHERE s > 0.05 ORDER BY s DESC, doc_id LIMIT 20""")
 def trigram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.trigram_topk(t(spark, sf_dir, "documents").select("doc_id", "text"), text_of(spark, sf_dir, 7))
-    return found.select("doc_id", r6("similarity").alias("similarity"))
+    """By the index that the first of such queries writes."""
+    return indexes.trigram_nearest(grams_of(spark, sf_dir), text_of(spark, sf_dir, 7)).select(F.col("id").alias("doc_id"), r6("similarity").alias("similarity"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_TERMS.format("text")} AS w FROM documents)
@@ -109,7 +115,7 @@ def fulltext_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, *docs: int) -> DataFrame:
-    return retrieval.hybrid(t(spark, sf_dir, "documents"), t(spark, sf_dir, "embeddings"), [text_of(spark, sf_dir, d) for d in docs], [vector_of(spark, sf_dir, d) for d in docs])
+    return retrieval.hybrid(t(spark, sf_dir, "documents"), t(spark, sf_dir, "embeddings"), [text_of(spark, sf_dir, d) for d in docs], [vector_of(spark, sf_dir, d) for d in docs], tables=grams_of(spark, sf_dir))
 
 
 @query(f"SELECT id AS doc_id, source, round(rrf, 6) AS rrf FROM ({_fused(7)}) LEFT JOIN documents ON doc_id = id")
@@ -144,10 +150,55 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trigram_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many queries at once over the inverted index: the texts of the documents whose id can be divided by 50."""
     d = t(spark, sf_dir, "documents").select("doc_id", "text")
-    found = retrieval.trigram_search(retrieval.trigram_index(d), d.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"))
+    found = indexes.trigram_search(grams_of(spark, sf_dir), d.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"))
     return found.withColumn("similarity", r6("similarity"))
 
 
+def _stems_sql(words: str) -> str:
+    """(term, stem) of the terms that ``words`` selects, by the steps of stemming.stem()."""
+    import re
+
+    sql = f"SELECT term, term AS word, '' AS w, 0 AS p1, 0 AS p2, false AS done, false AS cut FROM ({words})"
+    for column, step in stemming.STEPS:
+        step = re.sub(r"(left\(w, length\(w\) - 1\)|\bw) RLIKE ('[^']*')", r"regexp_matches(\1, \2)", step).replace("'$1Y')", "'\\1Y', 'g')")
+        sql = f"SELECT * REPLACE ({step} AS {column}) FROM ({sql})"
+    return f"SELECT term, w AS stem FROM ({sql})"
+
+
+_STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+
+
+def _ranked_sql(words: str, score: str, pairs: str) -> str:
+    return f"""WITH p AS (SELECT doc_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS pos FROM (SELECT doc_id, {_TERMS.format("text")} AS w FROM documents)),
+     q AS (SELECT DISTINCT stem FROM ({_stems_sql(f"SELECT unnest(string_split(lower('{words}'), ' ')) AS term")}) WHERE term NOT IN ({_STOP})),
+     v AS (SELECT * FROM ({_stems_sql(f"SELECT DISTINCT term FROM p WHERE term NOT IN ({_STOP})")}) WHERE stem IN (FROM q)),
+     o AS (SELECT DISTINCT stem, doc_id, least(pos, 16383) AS pos FROM p JOIN v USING (term)),
+     n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stem, doc_id ORDER BY pos) AS nth FROM o) WHERE nth <= 255),
+     h AS (SELECT doc_id FROM n GROUP BY doc_id HAVING count(DISTINCT stem) = (SELECT count(*) FROM q)),
+     s AS (SELECT doc_id, round({score}, 9) AS s FROM {pairs} WHERE doc_id IN (FROM h) GROUP BY doc_id)
+     SELECT doc_id, round(s, 6) AS rank_score FROM (SELECT * FROM s ORDER BY s DESC, doc_id LIMIT 20)"""
+
+
+_PAIRED = "1 - exp(sum(ln(1 - 0.1 * sqrt(CASE WHEN abs(x - y) > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(abs(x - y) / 1.5 - 2)) END))))"
+_PAIRS = "(SELECT a.doc_id, a.pos AS x, b.pos AS y FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.stem < b.stem)"
+
+
+def _ranked(spark: SparkSession, sf_dir: str, words: str) -> DataFrame:
+    tables = remembered(t(spark, sf_dir, "documents").select("doc_id", "text"), "lexemes", indexes.fulltext_tables)
+    return indexes.fulltext_search(tables, words).select(F.col("id").alias("doc_id"), r6("rank_score").alias("rank_score"))
+
+
+@query(_ranked_sql("The nd ly and thin", _PAIRED, _PAIRS))
+def fulltext_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several lexemes, by how near they stand to each other, from postings with positions."""
+    return _ranked(spark, sf_dir, "The nd ly and thin")
+
+
+@query(_ranked_sql("ing", "sum(0.1 / (nth * nth)) / 1.64493406685", "n"))
+def fulltext_ranked_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir, "ing")
+
+
 _ENGLISH = "list_transform(list_filter(" + _TERMS.format("text") + ", lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ")), lambda x: CASE WHEN length(x) > 3 THEN "
 _STEM = "x"
 for _pattern, _to in X.STEMS:
