@@ -9,18 +9,16 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import predicates
+from . import predicates, scan
 
 Tool = Callable[..., DataFrame]
 
 
-def process_tabular_data(spark: SparkSession, file_path: str, conditions: list[dict[str, Any]] | None = None, combine: str = "and") -> DataFrame:
-    """The first rows of a csv or tsv file, in the file's order, that fulfil ``conditions``."""
-    table = spark.read.csv(file_path, header=True, inferSchema=True, sep="\t" if file_path.lower().endswith(".tsv") else ",")
-    place = "_row"
-    while place in table.columns:
-        place = f"_{place}"
-    return predicates.filter_table(table.withColumn(place, F.monotonically_increasing_id()), conditions or [], combine, order=[place]).drop(place)
+def process_tabular_data(spark: SparkSession, file_path: str, conditions: list[dict[str, Any]] | None = None, combine: str = "and", *, limit: int = 20, sample: int = 5) -> DataFrame:
+    """The first ``limit`` rows of a csv or tsv file, in the file's order, that fulfil ``conditions``, or its first ``sample`` rows; no more of the file is read than that takes."""
+    found, read = scan.table_reader(spark, file_path)
+    wanted = predicates.compile_filter(read(found[0]), conditions, combine) if conditions else None
+    return scan.first_matches(spark, found, read, wanted, limit if conditions else sample)
 
 
 def repo_details(repositories: DataFrame, details: DataFrame, repo_id: str) -> DataFrame:

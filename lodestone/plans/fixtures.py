@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.retry import retry_details as details
 from ..operators import chunking, code, dispatch, imports, ingest, manifests, markdown
 from ..sources import files
-from ..streaming import limits
+from ..streaming import limits, registry
 from .catalog import QUERIES as _ALL
 from .catalog import SQL as _ALL_SQL
 from .catalog import Query, t
@@ -359,7 +360,7 @@ def _streamed(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> D
     """What a stream has written once it has read all there is; its output and its state lie under spark.checkpoint.dir, or in a temporary folder of a local session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='lodestone-stream-')}"
     path = f"{root.rstrip('/')}/lodestone-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
@@ -384,6 +385,50 @@ def token_bucket_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["token_bucket_stream"] = _ALL_SQL["token_bucket"]
 
 
+def _timed_events(spark: SparkSession, sf_dir: str, kinds: dict[str, str] | None = None) -> DataFrame:
+    events = spark.readStream.schema(t(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    if kinds:
+        named = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+        events = events.withColumn("kind", named[F.col("event_type")]).where(F.col("kind").isNotNull())
+    return events.withColumn("trips", F.col("event_type") == "error")
+
+
+def _with_timers(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What the stream that ``make`` returns has written; timers need a state store that has them, for as long as it runs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, registry.PROVIDER)
+    try:
+        return _streamed(spark, make(), name, "append")
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+@_sql("""WITH e AS (SELECT user_id, event_id, ts, epoch_us(ts) / 1e6 AS sec, CASE event_type WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN 'cancel' END AS kind FROM events WHERE event_type IN ('click', 'purchase', 'error')),
+              n AS (SELECT *, lead(sec) OVER w AS next_at, lead(kind) OVER w AS next_kind, max(sec) OVER () AS latest FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+         SELECT user_id::VARCHAR AS key, round(sec, 3) AS started, round(CASE WHEN next_at < sec + 43200 THEN next_at ELSE sec + 43200 END, 3) AS ended,
+                CASE WHEN next_at < sec + 43200 THEN CASE next_kind WHEN 'start' THEN 'replaced' ELSE next_kind END ELSE 'expired' END AS how
+         FROM n WHERE kind = 'start' AND (next_at IS NOT NULL OR sec + 43200 <= latest)""")
+def stream_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks register a stream of their user, purchases finish and errors cancel it; half a day ends what is left, by timers."""
+    kinds = {"click": "start", "purchase": "finish", "error": "cancel"}
+    made = lambda: registry.stream_registry(_timed_events(spark, sf_dir, kinds), "user_id", "ts", "event_id", "kind", span=43200.0)
+    return _with_timers(spark, made, "stream_registry").select("key", F.round("started", 3).alias("started"), F.round("ended", 3).alias("ended"), "how")
+
+
+@_add
+def breaker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's circuit_breaker over a stream."""
+    made = lambda: registry.breaker_stream(_timed_events(spark, sf_dir), "user_id", "ts", "event_id", "trips", ttl=7200.0)
+    return _with_timers(spark, made, "breaker_stream").select(F.col("id").alias("event_id"), F.col("key").cast("long").alias("user_id"), "open")
+
+
+SQL["breaker_stream"] = _ALL_SQL["circuit_breaker"]
+
+
 @_add
 def windowed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = t(spark, sf_dir, "events").schema

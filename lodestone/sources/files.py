@@ -191,9 +191,9 @@ def hashing_embedder(texts: list[str], dim: int = 64) -> list[list[float]]:
     out = []
     for t in texts:
         v = [0.0] * dim
-        for w in t.lower().split():
-            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-            v[h % dim] += 1.0 if h >> 63 else -1.0
+        for w in re.findall(r"[^ \t\n\r\f]+", t.lower()):
+            h = int(hashlib.md5(w.encode("utf-8", "replace")).hexdigest()[:8], 16)
+            v[(h >> 1) % dim] += 1.0 if h & 1 else -1.0
         n = sum(x * x for x in v) ** 0.5
         out.append([x / n for x in v] if n else v)
     return out
