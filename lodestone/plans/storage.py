@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pictures
-from ..operators import access, embeddings, ingest, scan, snapshots
+from ..operators import access, embeddings, ingest, neighbours, scan, snapshots
 from ..operators.shared import shared_path
 from .catalog import query, t
 
@@ -101,3 +101,10 @@ def kept_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings.with_embeddings(d.where("doc_id % 2 = 0"), text, path)
     found = embeddings.with_embeddings(d, text, path).select("doc_id", F.posexplode("embedding").alias("component", "value"))
     return found.where("value <> 0").select("doc_id", "component", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@query()
+def knn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """knn_graph by descent: about the nearest three, with work in proportion to the rows; tests measure how many it finds."""
+    e = t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.descent_graph(e, 3).withColumn("distance", F.round("distance", 6))
