@@ -9,12 +9,14 @@ from collections.abc import Callable, Iterator
 from itertools import accumulate
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .shared import spread
 
 _TOKEN = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]")
 
@@ -45,61 +47,67 @@ def word_chunks(df: DataFrame, text: str = "text", target: int = 300, overlap: i
     return out.withColumn("chunk_words", F.size(part).cast("long")).withColumn("chunk", F.array_join(part, " ")).drop("_words")
 
 
-def slice_by_cost(costs: list[int], target: int, overlap: int) -> list[tuple[int, int]]:
+def slice_by_cost(costs: list[int] | np.ndarray, target: int, overlap: int) -> list[tuple[int, int]]:
     """Greedy maximal slices [a, b) with a cost of at most ``target`` (one item at least), each starting where ``overlap`` of the last is reached."""
-    sums = [0]
-    for c in costs:
-        sums.append(sums[-1] + c)
+    sums = np.concatenate([[0], np.cumsum(costs, dtype=np.int64)])
     out, a, n = [], 0, len(costs)
     while a < n:
-        b = a + 1
-        while b < n and sums[b + 1] - sums[a] <= target:
-            b += 1
+        b = max(a + 1, int(np.searchsorted(sums, sums[a] + target, side="right")) - 1)
         out.append((a, b))
         if b == n:
             break
-        back = b
-        while back > a + 1 and sums[b] - sums[back] < overlap:
-            back -= 1
-        a = back if back > a else b
+        # the last place from which overlap is reached, but always onward
+        a = max(a + 1, min(b, int(np.searchsorted(sums, sums[b] - overlap, side="right")) - 1))
     return out
 
 
-def token_chunks(df: DataFrame, id_col: str, text: str = "text", target: int = 300, overlap: int = 50, count: Callable[[str], int] = count_tokens) -> DataFrame:
-    """(id_col, chunk_no, n_tokens, chunk): words packed up to ``target`` tokens; a single longer word stands alone."""
+def token_chunks(df: DataFrame, id_col: str, text: str = "text", target: int = 300, overlap: int = 50, count: Callable[[str], int] | None = None) -> DataFrame:
+    """(id_col, chunk_no, n_tokens, chunk): words packed up to ``target`` tokens; a single longer word stands alone.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for key, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True):
-                words = (t or "").split()
-                costs = [count(w) for w in words]
-                rows += [(key, i, sum(costs[a:b]), " ".join(words[a:b])) for i, (a, b) in enumerate(slice_by_cost(costs, target, overlap))]
-            yield pd.DataFrame(rows, columns=["k", "chunk_no", "n_tokens", "chunk"])
+    count: tokens of a word, where they aren't functions.text.token_count's, which stays in the JVM.  Only the words' costs go to
+    Python, where a chunk's end is looked up in their sums.
+    """
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text).mapInPandas(run, f"k {kind}, chunk_no int, n_tokens int, chunk string").withColumnRenamed("k", id_col)
+    @F.pandas_udf("array<struct<first:int,n:int,n_tokens:int>>")  # type: ignore[call-overload]
+    def slices(costs: pd.Series) -> pd.Series:
+        return pd.Series([[(a, b - a, int(np.sum(c[a:b]))) for a, b in slice_by_cost(c, target, overlap)] for c in costs])
 
+    @F.pandas_udf("array<int>")  # type: ignore[call-overload]
+    def counted(words: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+        return pd.Series([[known[w] if w in known else known.setdefault(w, count(w)) for w in ws] for ws in words])
 
-def pack_units(units: Column, cost: Callable[[Column], Column], target: int) -> Column:
-    """array<struct<cost, parts>>: an array of texts packed greedily up to ``target``; a longer unit stands alone.  A fold inside the JVM."""
-    empty = F.expr("cast(array() as array<struct<cost:int,parts:array<string>>>)")
+    words = spread(df.select(id_col, text)).select(id_col, F.coalesce(X.words(F.col(text)), F.array().cast("array<string>")).alias("_words"))
+    costs = F.transform("_words", X.token_count) if count is None else counted("_words")
+    cut = words.withColumn("_slices", slices(costs)).select(id_col, "_words", F.posexplode("_slices").alias("chunk_no", "_s"))
+    return cut.select(id_col, "chunk_no", F.col("_s.n_tokens").alias("n_tokens"), F.array_join(F.slice("_words", F.col("_s.first") + 1, F.col("_s.n")), " ").alias("chunk"))
+
+
+def pack_bounds(costs: Column, target: int) -> Column:
+    """array<struct<first, n, cost>>: where an array of costs is cut so that each part is packed up to ``target``; a greater cost stands alone.  A fold in the JVM whose state grows with the parts, not the items."""
+    part = lambda acc: F.array(F.struct(acc["first"].alias("first"), acc["n"].alias("n"), acc["cost"].alias("cost")))
+    state = lambda done, first, n, cost: F.struct(done.alias("done"), first.alias("first"), n.alias("n"), cost.alias("cost"))
+    zero = F.lit(0)
+    start = state(F.array().cast("array<struct<first:int,n:int,cost:int>>"), zero, zero, zero)
 
-    def add(acc: Column, u: Column) -> Column:
-        c = cost(u).cast("int")
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1))["cost"], F.lit(0)) + c <= target)
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)), F.array(F.struct((last["cost"] + c).alias("cost"), F.concat(last["parts"], F.array(u)).alias("parts"))))
-        return F.when(fits, grown).otherwise(F.concat(acc, F.array(F.struct(c.alias("cost"), F.array(u).alias("parts")))))
+    def add(acc: Column, c: Column) -> Column:
+        fits = (acc["n"] == 0) | (acc["cost"] + c <= target)
+        return F.when(fits, state(acc["done"], acc["first"], acc["n"] + 1, acc["cost"] + c)).otherwise(state(F.concat(acc["done"], part(acc)), acc["first"] + acc["n"], F.lit(1), c))
 
-    return F.aggregate(units, empty, add)
+    return F.aggregate(costs, start, add, lambda acc: F.when(acc["n"] > 0, F.concat(acc["done"], part(acc))).otherwise(acc["done"]))
+
+
+def pack_units(units: Column, cost: Callable[[Column], Column], target: int) -> Column:
+    """array<struct<cost, parts>>: an array of texts packed greedily up to ``target``; a longer unit stands alone."""
+    bounds = pack_bounds(F.transform(units, lambda u: cost(u).cast("int")), target)
+    return F.transform(bounds, lambda b: F.struct(b["cost"].alias("cost"), F.slice(units, b["first"] + 1, b["n"]).alias("parts")))
 
 
 def paragraph_chunks(df: DataFrame, text: str = "text", target: int = 300, sep: str = "\n") -> DataFrame:
     """A row for each chunk of whole paragraphs, with chunk_no, chunk_words and chunk."""
-    units = F.filter(F.split(text, sep), lambda x: F.trim(x) != "")
-    packed = pack_units(units, lambda u: F.size(X.words(u)), target)
-    return df.select("*", F.posexplode(packed).alias("chunk_no", "_c")).withColumn("chunk_words", F.col("_c.cost")).withColumn("chunk", F.array_join(F.col("_c.parts"), sep)).drop("_c")
+    split = spread(df).withColumn("_units", F.filter(F.split(text, sep), lambda x: F.trim(x) != ""))
+    packed = pack_units(F.col("_units"), lambda u: F.size(X.words(u)), target)
+    return split.select(*df.columns, F.posexplode(packed).alias("chunk_no", "_c")).withColumn("chunk_words", F.col("_c.cost")).withColumn("chunk", F.array_join(F.col("_c.parts"), sep)).drop("_c")
 
 
 def merge_sections(sections: list[dict[str, Any]], target: int = 300, most: int = 450, least: int = 150, count: Callable[[str], int] = count_tokens, overlap: int = 0) -> list[dict[str, Any]]:

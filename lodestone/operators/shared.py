@@ -33,6 +33,12 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/lodestone-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in more partitions, if it has fewer than there are cores: one file with few row groups would occupy few of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def staged(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
     """Write ``df`` (in folders by the column ``by``) to the shared folder and read it back: cuts lineage, survives lost executors, and gives the planner real sizes."""
     path = shared_path(df.sparkSession, what)
