@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pictures
-from ..operators import access, embeddings, ingest, neighbours, scan, snapshots
+from ..functions import text as X
+from ..operators import access, embeddings, ingest, neighbours, scan, snapshots, splitting
 from ..operators.shared import shared_path
-from .catalog import query, t
+from .catalog import _WORDS, query, t
 
 _LATE = "(o_orderkey * 3) % 7 = 1"
 
@@ -108,3 +109,31 @@ def knn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """knn_graph by descent: about the nearest three, with work in proportion to the rows; tests measure how many it finds."""
     e = t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.descent_graph(e, 3).withColumn("distance", F.round("distance", 6))
+
+
+@query(rf"""WITH RECURSIVE l AS (SELECT doc_id, i, trim(lines[i + 1], ' ') AS line FROM (SELECT doc_id, lines, unnest(range(0, len(lines))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
+       b AS (SELECT doc_id, i, i // 7 AS sec, i % 5 = 4 AS tab, i % 11 = 3 AS tall,
+                    CASE WHEN i % 5 = 4 THEN '| a | b |' || chr(10) || '|---|---|' || array_to_string(list_transform(range(0, length(line) % 50 + 1), lambda j: chr(10) || '| r' || j || ' | x |'), '')
+                         WHEN i % 11 = 3 THEN array_to_string({_WORDS.format("line")}, chr(10)) ELSE line END AS content FROM l WHERE len({_WORDS.format("line")}) > 0),
+       e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, len({_WORDS.format("content")}) AS cost, CASE WHEN tab THEN CASE WHEN len(string_split(content, chr(10))) > 16 THEN 'table' ELSE 'text' END WHEN len({_WORDS.format("content")}) > 50 THEN 'long' ELSE 'text' END AS kind FROM b),
+       f AS (SELECT doc_id, r, sec, kind, 0 AS c, CASE WHEN kind <> 'text' OR cost >= 30 THEN 0 ELSE cost END AS size FROM e WHERE r = 1
+             UNION ALL
+             SELECT e.doc_id, e.r, e.sec, e.kind, f.c + (e.kind <> 'text' OR f.size = 0 OR e.sec <> f.sec OR f.size + e.cost > 50)::INT,
+                    CASE WHEN e.kind <> 'text' THEN 0 ELSE (CASE WHEN f.size = 0 OR e.sec <> f.sec OR f.size + e.cost > 50 THEN e.cost ELSE f.size + e.cost END) END
+                    * (CASE WHEN f.size = 0 OR e.sec <> f.sec OR f.size + e.cost > 50 THEN e.cost ELSE f.size + e.cost END < 30)::INT
+             FROM f JOIN e ON e.doc_id = f.doc_id AND e.r = f.r + 1),
+       k AS (SELECT e.doc_id, c, 0 AS part, any_value(sec) AS sec, 'text' AS kind, string_agg(content, chr(10) || chr(10) ORDER BY e.r) AS content FROM f JOIN e USING (doc_id, r, sec, kind) WHERE kind = 'text' GROUP BY e.doc_id, c
+             UNION ALL
+             SELECT doc_id, c, part, sec, kind, CASE kind WHEN 'table' THEN array_to_string(x[1:2] || x[part * 15 + 3 : part * 15 + 17], chr(10)) WHEN 'long' THEN array_to_string(x[part * 50 + 1 : part * 50 + 50], chr(10)) END
+             FROM (SELECT *, unnest(range(0, CASE WHEN kind = 'table' THEN (len(x) - 3) // 15 + 1 WHEN tall THEN (len(x) - 1) // 50 + 1 ELSE 1 END)) AS part
+                   FROM (SELECT e.*, c, string_split(content, chr(10)) AS x FROM f JOIN e USING (doc_id, r, sec, kind) WHERE kind <> 'text')))
+       SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY c, part) - 1)::INTEGER AS chunk_no, 'S' || sec AS h1, kind, len({_WORDS.format("content")})::INTEGER AS words, md5(content) AS chunk_md5 FROM k""")
+def hard_bounded_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as elements: seven to a section, every fifth a table, some with a word to a line."""
+    lines = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("line", F.trim("line")).where(F.size(X.words(F.col("line"))) > 0)
+    rows = F.array_join(F.transform(F.sequence(F.lit(0), F.length("line") % 50), lambda j: F.concat(F.lit("\n| r"), j.cast("string"), F.lit(" | x |"))), "")
+    table = F.col("i") % 5 == 4
+    content = F.when(table, F.concat(F.lit("| a | b |\n|---|---|"), rows)).when(F.col("i") % 11 == 3, F.array_join(X.words(F.col("line")), "\n")).otherwise(F.col("line"))
+    sections = lines.select("doc_id", F.col("i").alias("ord"), F.create_map(F.lit(1), F.concat(F.lit("S"), F.expr("i div 7").cast("string"))).alias("headings"), content.alias("content"), table.alias("is_table"))
+    found = splitting.hard_bounded_chunks(sections, ["doc_id"], target=30, most=50, count=lambda x: F.size(X.words(x)))
+    return found.select("doc_id", "chunk_no", "h1", "kind", "words", F.md5("content").alias("chunk_md5"))
