@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from lodestone.plans import catalog, fixtures, relations, requests, storage  # noqa: F401
+from lodestone.plans import catalog, fixtures, relations, requests, storage, texts  # noqa: F401
 
 duckdb = pytest.importorskip("duckdb")
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
