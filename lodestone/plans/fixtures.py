@@ -298,20 +298,28 @@ def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_sql(
     rf"""WITH RECURSIVE {_FUNCTIONS}, {_BLOCKS},
         {fold_sql(f"SELECT k AS doc, row_number() OVER (PARTITION BY k ORDER BY section) AS i, content, {_TOKENS.format('content')}::BIGINT AS n, kind = 3 AS alone, head FROM x")}
-        SELECT path, chunk_no, kind FROM q UNION ALL SELECT 'd' || doc || '.md', chunk_no, CASE WHEN alone THEN 'table' ELSE 'markdown' END FROM c
-        UNION ALL SELECT 'n' || conv_id || '.ipynb', (row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1)::INTEGER, CASE WHEN is_user THEN 'markdown' ELSE 'text' END FROM ({_CELLS})"""
+        SELECT path, chunk_no, kind, name, md5(content) AS chunk_md5 FROM q
+        UNION ALL SELECT 'd' || doc || '.md', chunk_no, CASE WHEN alone THEN 'table' ELSE 'markdown' END, NULL, md5(chunk) FROM c
+        UNION ALL SELECT 'n' || conv_id || '.ipynb', (row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1)::INTEGER, CASE WHEN is_user THEN 'markdown' ELSE 'text' END, NULL, md5(text) FROM ({_CELLS})
+        UNION ALL SELECT 's' || s_suppkey || '.txt', 0, 'text', NULL, md5(s_name || ' in ' || s_nationkey || ' has ' || s_acctbal) FROM supplier
+        UNION ALL SELECT 'r' || n_nationkey || '.json', 0, 'text', NULL, md5('{{"name": "' || n_name || '", "region": ' || n_regionkey || '}}') FROM nation"""
 )
 def repository_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of all kinds, told apart by name and sent their ways; answers in notebooks are prose, and so one piece of text each."""
+    """Files of all kinds, told apart by name and sent their ways, with what is in each chunk; answers in notebooks are prose, and so one piece of text each."""
     code_ = code_files(spark, sf_dir).select("path", F.when(F.col("language") == "python", "py").otherwise("js").alias("ext"), "content")
     marked = markdown_files(spark, sf_dir).select(F.concat("path", F.lit(".md")).alias("path"), F.lit("md").alias("ext"), "content")
-    # one line to a cell, so that each is a single chunk
-    said = t(spark, sf_dir, "conversations").withColumn("text", F.lit("so it is ; said ("))
-    notebooks = notebook_files_of(said).select(F.concat(F.lit("n"), F.col("conv_id").cast("string"), F.lit(".ipynb")).alias("path"), F.lit("ipynb").alias("ext"), "content")
+    notebooks = notebook_files(spark, sf_dir).select(F.concat(F.lit("n"), F.col("conv_id").cast("string"), F.lit(".ipynb")).alias("path"), F.lit("ipynb").alias("ext"), "content")
     pictures = t(spark, sf_dir, "nation").select(F.concat(F.lit("i"), F.col("n_nationkey").cast("string"), F.lit(".png")).alias("path"), F.lit("png").alias("ext"), F.lit("x").alias("content"))
-    tree = code_.unionByName(marked).unionByName(notebooks).unionByName(pictures).withColumn("content", F.encode("content", "UTF-8"))
+    said = F.format_string("%s\n in  %s has\t%s\n", F.col("s_name"), F.col("s_nationkey").cast("string"), F.col("s_acctbal").cast("string"))
+    prose = t(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".txt")).alias("path"), F.lit("txt").alias("ext"), said.alias("content"))
+    data = F.format_string('{"name": "%s",\n "region": %s}', F.col("n_name"), F.col("n_regionkey").cast("string"))
+    settings = t(spark, sf_dir, "nation").select(F.concat(F.lit("r"), F.col("n_nationkey").cast("string"), F.lit(".json")).alias("path"), F.lit("json").alias("ext"), data.alias("content"))
+    tree = code_.unionByName(marked).unionByName(notebooks).unionByName(pictures).unionByName(prose).unionByName(settings).withColumn("content", F.encode("content", "UTF-8"))
     tree = tree.withColumns({"category": ingest.category(F.col("ext"), F.col("content")), "language": ingest.language(F.col("ext"))})
-    return dispatch.chunk_files(tree, ["path"]).select("path", "chunk_no", "kind")
+    found = dispatch.chunk_files(tree, ["path"])
+    # a markdown file's sections keep the line breaks around them
+    shown = F.when(F.col("path").endswith(".md"), F.btrim(F.regexp_replace("chunk", "\n{3,}", "\n\n"), F.lit("\n"))).otherwise(F.col("chunk"))
+    return found.select("path", "chunk_no", "kind", "name", F.md5(shown).alias("chunk_md5"))
 
 
 # Files by name, and errors of rate limits, from rows of the tables.
