@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +41,44 @@ def language(ext: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), ext)
 
 
+# First bytes of formats, in hexadecimal, and names of files that say a language without an extension.
+IMAGE_MAGIC = ("89504E47", "FFD8FF", "47494638", "00000100", "49492A00", "4D4D002A")
+DOCUMENT_MAGIC = ("25504446", "7B5C727466", "D0CF11E0A1B11AE1")
+DATA_MAGIC = ("50415231",)
+BYTE_ORDER_MARKS = ("EFBBBF", "FFFE", "FEFF")
+NAMES = {
+    "dockerfile": "docker", "containerfile": "docker", "makefile": "make", "gnumakefile": "make", "cmakelists.txt": "cmake", "gemfile": "ruby", "rakefile": "ruby", "vagrantfile": "ruby", "podfile": "ruby", "jenkinsfile": "groovy",
+    "build.bazel": "python", "workspace": "python", "sconstruct": "python", ".bashrc": "bash", ".bash_profile": "bash", ".profile": "bash", ".zshrc": "bash",
+}
+SHEBANGS = {"python": "python", "bash": "bash", "sh": "bash", "zsh": "bash", "node": "javascript", "deno": "typescript", "ruby": "ruby", "perl": "perl", "php": "php", "lua": "lua", "Rscript": "r"}
+
+
+def language_of(path: Column, content: Column | None = None) -> Column:
+    """language() of a file by its extension, else by its name, else by the interpreter that its first line of ``content`` (bytes) names."""
+    one_of = lambda table, key: F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+    found = F.coalesce(language(extension(path)), one_of(NAMES, F.lower(file_name(path))), F.when(F.lower(file_name(path)).startswith("dockerfile."), "docker"))
+    if content is None:
+        return found
+    first = F.regexp_extract(F.substring(content, 1, 128).cast("string"), r"^#![ \t]*\S*?/(?:env[ \t]+(?:-S[ \t]+)?)?([A-Za-z]+)[0-9.]*(?:\s|$)", 1)
+    return F.coalesce(found, one_of(SHEBANGS, first))
+
+
 def category(ext: Column, content: Column | None = None) -> Column:
-    """image, document, data, code, text or binary, in that precedence; magic bytes of ``content`` decide where the extension doesn't."""
+    """image, document, data, code, text or binary, in that precedence; the bytes of ``content`` decide where the extension doesn't.
+
+    A zip archive is what the names of its first members say; text may begin with a byte order mark, and is an image if it is SVG.
+    """
     found = F.when(ext.isin(*IMAGES), "image").when(ext.isin(*DOCUMENTS), "document").when(ext.isin(*DATA), "data").when(ext.isin(*LANGUAGES), "code").when(ext.isin(*TEXTS), "text")
     if content is None:
         return found.otherwise("binary")
-    magic = F.hex(F.substring(content, 1, 8))
-    found = found.when(magic.startswith("89504E47") | magic.startswith("FFD8FF") | magic.startswith("47494638"), "image").when(magic.startswith("25504446"), "document")
-    return found.when(F.hex(F.substring(content, 1, 1024)).rlike("^(?:..)*?00"), "binary").otherwise("text")
+    head = F.hex(F.substring(content, 1, 1024))
+    begins = lambda *marks: reduce(lambda a, b: a | b, [head.startswith(m) for m in marks])
+    members = F.when(begins("504B0304"), F.decode(F.substring(content, 1, 4096), "ISO-8859-1"))
+    shown = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
+    svg = shown.rlike(r"(?is)^(?:\xEF\xBB\xBF)?\s*(?:<\?xml[^>]*>\s*)?(?:<!--.*?-->\s*)*(?:<!DOCTYPE\s+svg[^>]*>\s*)?<svg[\s>]")
+    found = found.when(begins(*IMAGE_MAGIC) | (begins("52494646") & (F.substring(head, 17, 8) == "57454250")) | svg, "image").when(begins(*DOCUMENT_MAGIC), "document").when(begins(*DATA_MAGIC), "data")
+    found = found.when(members.rlike(r"word/|ppt/|opendocument\.(?:text|presentation)"), "document").when(members.rlike(r"xl/|opendocument\.spreadsheet"), "data")
+    return found.when(begins(*BYTE_ORDER_MARKS), "text").when(head.rlike("^(?:..)*?00"), "binary").otherwise("text")
 
 
 def meaningful_image(width: Column, height: Column) -> Column:

@@ -137,3 +137,19 @@ def hard_bounded_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = lines.select("doc_id", F.col("i").alias("ord"), F.create_map(F.lit(1), F.concat(F.lit("S"), F.expr("i div 7").cast("string"))).alias("headings"), content.alias("content"), table.alias("is_table"))
     found = splitting.hard_bounded_chunks(sections, ["doc_id"], target=30, most=50, count=lambda x: F.size(X.words(x)))
     return found.select("doc_id", "chunk_no", "h1", "kind", "words", F.md5("content").alias("chunk_md5"))
+
+
+_KINDS = [
+    # path, bytes in hexadecimal, category, language
+    ("a/Dockerfile", "46524F4D", "text", "docker"), ("b/x.bin", "504B030414000000" + "xl/workbook.xml".encode().hex(), "data", None), ("b/y", "504B030414000000" + "word/document.xml".encode().hex(), "document", None),
+    ("b/z", "504B030414000000" + "a.txt".encode().hex() + "00", "binary", None), ("run", "#!/usr/bin/env python3\nx".encode().hex(), "text", "python"), ("pic", "<?xml version='1.0'?>\n<svg width='1'>".encode().hex(), "image", None),
+    ("note", "FFFE41004200", "text", None), ("icon", "0000010001001010", "image", None), ("w", "524946460000000057454250", "image", None), ("old", "D0CF11E0A1B11AE100", "document", None), ("src/m.tsx", "61", "code", "typescript"), ("t/Makefile", "613A", "text", "make"),
+]
+
+
+@query("SELECT p_partkey, (" + str([k[0] for k in _KINDS]) + ")[p_partkey % 12 + 1] AS path, (" + str([k[2] for k in _KINDS]) + ")[p_partkey % 12 + 1] AS category, ([" + ", ".join("NULL" if k[3] is None else f"'{k[3]}'" for k in _KINDS) + "])[p_partkey % 12 + 1] AS language FROM part")
+def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that their bytes or names tell apart, not their extensions."""
+    pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in _KINDS]), (F.col("p_partkey") % 12 + 1).cast("int"))
+    files = t(spark, sf_dir, "part").select("p_partkey", pick(0).alias("path"), F.unhex(pick(1)).alias("content"))
+    return files.select("p_partkey", "path", ingest.category(ingest.extension(F.col("path")), F.col("content")).alias("category"), ingest.language_of(F.col("path"), F.col("content")).alias("language"))
