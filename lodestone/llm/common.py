@@ -22,6 +22,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _fallback: list[str] = []
 
+#: Of a step's table on a local disk; other file systems don't know these.
+_NO_CHECKSUMS = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -45,9 +48,14 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/lodestone-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
-def tasks_for(df: DataFrame, rows: int = 5000) -> int:
-    """How many tasks, and so files, are worth while for work in proportion to ``df``: one for so many of its rows, but two for each core at least."""
-    return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+def tasks_for(df: DataFrame, rows: int = 20_000) -> int:
+    """How many tasks, and so files, are worth while for work in proportion to ``df``: one for so many of its rows, but one for each core at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
+def files_for(df: DataFrame, rows: int = 100_000) -> int:
+    """How many files a small table in proportion to ``df`` is worth: one for so many of its rows."""
+    return max(1, -(-df.count() // rows))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -56,14 +64,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def staged(df: DataFrame, what: str, tasks: int | None = None) -> DataFrame:
+def staged(df: DataFrame, what: str, tasks: int | None = None, files: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    tasks: the most that write it.  What is shuffled into many partitions, but is small, makes few files then.
+    tasks: the most that make and write it.  files: so many are written, after one more shuffle, however many tasks make
+    the rows; for small results of large work.  Each file that Hadoop makes on a local disk costs the executor a program that it
+    starts, and another for the checksum file beside it, where Hadoop's native library is missing; such a child counts
+    with all of the JVM's memory until it runs.  Hence few files, and no checksum files.
     """
     spark = df.sparkSession
     path = shared_path(spark, what)
-    (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
+    out = df if tasks is None else df.coalesce(tasks)
+    (out if files is None else out.repartition(files)).write.options(**_NO_CHECKSUMS).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

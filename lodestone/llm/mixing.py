@@ -72,12 +72,12 @@ def _drawn(docs: DataFrame, columns: list[str], weights: Sequence[float], max_ep
     if quality is None:
         rows = quality_rules.with_counts(docs.select(*dict.fromkeys([*columns, "doc_id", "source", "text"])), to)
         votes = quality_rules.rules(f"{to}.")
-        rows = staged(rows.withColumn(to, F.struct(F.col(f"{to}.n_words").alias("size"), mark, row, F.struct(*[v.alias(k) for k, v in votes.items()]).alias("votes"))).select(*dict.fromkeys([*columns, "doc_id", "source", to])), "mix-sizes")
+        rows = staged(rows.withColumn(to, F.struct(F.col(f"{to}.n_words").alias("size"), mark, row, F.struct(*[v.alias(k) for k, v in votes.items()]).alias("votes"))).select(*dict.fromkeys([*columns, "doc_id", "source", to])), "mix-sizes", tasks_for(docs))
         good = quality_rules.posteriors(rows.select(f"{to}.votes.*"), list(votes))
         weight = F.greatest(F.lit(0.05), F.element_at(good, F.concat_ws(",", *[F.col(f"{to}.votes.{k}").cast("string") for k in votes]))) if good is not None else F.lit(1.0)
     else:
         rows = docs.select(*dict.fromkeys([*columns, "doc_id", "source"]), F.struct(n_words(F.col("text")).alias("size"), mark, row, quality.cast("double").alias("weight")).alias(to))
-        rows = staged(rows, "mix-sizes")
+        rows = staged(rows, "mix-sizes", tasks_for(docs))
         weight = F.col(f"{to}.weight")
     targets = source_targets(rows.select("source", F.col(f"{to}.size").alias("size")), weights, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, map_arrow, staged, tasks_for, unused
+from .common import files_for, forget, map_arrow, staged, tasks_for, unused
 
 BANDS, ROWS = 32, 4
 BLOCK = 512
@@ -163,19 +163,19 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> Data
     return map_arrow(pairs.join(side("a"), "doc_a").join(side("b"), "doc_b").select("a", "b", "t_a", "t_b"), run, "a long, b long").distinct()
 
 
-def components(links: DataFrame, tasks: int | None = None) -> DataFrame:
-    """(node, label): for each node of ``links`` (a, b), the smallest node that it reaches.  tasks: the most that write a step.
+def components(links: DataFrame, files: int | None = None) -> DataFrame:
+    """(node, label): for each node of ``links`` (a, b), the smallest node that it reaches.  files: how many a step is written in.
 
     Labels are replaced by the smallest of the neighbours' labels and then by their label's label, so the
     distance that a label travels about doubles with every round.
     """
-    edges = staged(links.union(links.select("b", "a")).toDF("a", "b").distinct(), "edges", tasks)
-    labels = staged(edges.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels", tasks)
+    edges = staged(links.union(links.select("b", "a")).toDF("a", "b").distinct(), "edges", files=files)
+    labels = staged(edges.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels", files=files)
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = staged(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels-near", tasks)
+        step = staged(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels-near", files=files)
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = staged(step.join(jump, "label").select("node", "old", F.least("label", "far").alias("label")), "labels", tasks)
+        new = staged(step.join(jump, "label").select("node", "old", F.least("label", "far").alias("label")), "labels", files=files)
         labels = new.select("node", "label")
         if new.where("label <> old").isEmpty():
             forget(edges, step)
@@ -306,8 +306,8 @@ def _confirmed_blocks(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, per
 
 def _grouped(docs: DataFrame, percent: int, k: int, slack: float) -> tuple[DataFrame, DataFrame]:
     """(sketched rows (doc_id, mark, n_shingles, node), found (node, label, component_id)) of ``docs`` (doc_id, text)."""
-    sketched = staged(sketch_documents(docs, k), "sketches")
-    n, m = tasks_for(sketched), tasks_for(sketched, 50_000)  # pairs and labels are small
+    n, m = tasks_for(docs), files_for(docs)  # pairs and labels are small
+    sketched = staged(sketch_documents(docs, k), "sketches", n)
     nodes = staged(sketched.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes", n)
     keys = band_keys(nodes)
     shared = keys.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1").select("band", "pivot")
@@ -317,21 +317,21 @@ def _grouped(docs: DataFrame, percent: int, k: int, slack: float) -> tuple[DataF
 
     least = percent / 100 - slack
     pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    tested = staged(_likely(pairs, nodes, least), "pairs", m)
-    first = staged(_confirmed(tested, texts, percent, k), "links", m)
+    tested = staged(_likely(pairs, nodes, least), "pairs", files=m)
+    first = staged(_confirmed(tested, texts, percent, k), "links", files=m)
     blocked = staged(_in_blocks(nodes, members), "blocked-nodes", n)
     # the best pairs join most of what belongs together, and leave few for the complete pass
     some = _across(members.select("band", "node"), _labelled(blocked, components(first, m)), least, best=4, tasks=n)
-    some = staged(some.toDF("a", "b", "doc_a", "doc_b").join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs", m)
-    second = staged(_confirmed(some, texts, percent, k), "links", m)
+    some = staged(some.toDF("a", "b", "doc_a", "doc_b").join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs", files=m)
+    second = staged(_confirmed(some, texts, percent, k), "links", files=m)
     known = staged(_labelled(blocked, components(first.union(second), m)), "labelled", n)
-    wanted = staged(_across(members.select("band", "node"), known, least, best=0, tasks=n), "blocks", m)
-    third = staged(_confirmed_blocks(wanted, known, texts, percent, k), "links", m)
+    wanted = staged(_across(members.select("band", "node"), known, least, best=0, tasks=n), "blocks", files=m)
+    third = staged(_confirmed_blocks(wanted, known, texts, percent, k), "links", files=m)
     labels = components(first.union(second).union(third), m)
 
     labelled = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = staged(labelled.join(smallest, "label").select("node", "label", "component_id"), "components", m)
+    found = staged(labelled.join(smallest, "label").select("node", "label", "component_id"), "components", files=m)
     forget(nodes, members, texts, tested, first, blocked, some, second, known, wanted, third, labels)
     return sketched.drop("sketch"), found
 
@@ -355,15 +355,15 @@ def drop_near_duplicates(docs: DataFrame, *, percent: int = 75, k: int = 5, slac
     """
     sketched, found = _grouped(docs, percent, k, slack)
     rows = sketched.where("node is not null and doc_id is not null").groupBy("node", "doc_id", "mark").agg(F.count("*").alias("rows")).join(found.select("node", "label"), "node")
-    n_tasks = tasks_for(sketched)
-    rows = staged(rows.select("label", "doc_id", "mark", "rows"), "documents", n_tasks)
+    few = files_for(sketched)
+    rows = staged(rows.select("label", "doc_id", "mark", "rows"), "documents", files=few)
     stays = rows.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("stays"))
     d, m, n = unused(docs.columns, "d"), unused(docs.columns, "m"), unused(docs.columns, "n")
     named = (F.col("doc_id").alias(d), F.col("mark").alias(m))
     gone = rows.join(stays, "label").where(F.struct("doc_id", "mark") != F.col("stays")).select(*named)
     own = (F.col("doc_id").cast("long") == F.col(d)) & (_mark() == F.col(m))
     left = docs.join(gone, own, "left_anti")
-    twice = staged(rows.where("rows > 1").select(*named), "repeated", n_tasks)
+    twice = staged(rows.where("rows > 1").select(*named), "repeated", files=few)
     if twice.isEmpty():
         return left
     order = [F.col(c) for c, kind in docs.dtypes if not kind.startswith("map")]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import alignment, ann, bpe, importance, langid, mixing, near_dups, pieces, prefix_trie, quality_rules, suffixes, token_counts, warc
-from .common import load
+from .common import load, spread
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -22,8 +22,12 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(load(spark, sf_dir, "documents"))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge_quality(load(spark, sf_dir, "documents"))
+    return quality_rules.judge_quality(documents(spark, sf_dir))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,11 +35,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(load(spark, sf_dir, "documents"))
+    return near_dups.near_duplicates(documents(spark, sf_dir))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.label_languages(load(spark, sf_dir, "documents"))
+    return langid.label_languages(documents(spark, sf_dir))
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,30 +47,30 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeat_digest(load(spark, sf_dir, "documents"))
+    return suffixes.repeat_digest(documents(spark, sf_dir))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target text: documents labelled good; as many are drawn as that label's share among all labels says."""
     labels = load(spark, sf_dir, "labels").where(F.col("quality").isNotNull())
     share = labels.agg(F.avg(F.col("quality").cast("double"))).first()[0] or 0.0
-    return importance.resample(load(spark, sf_dir, "documents"), labels.where(F.col("quality") == 1).select("doc_id"), share)
+    return importance.resample(documents(spark, sf_dir), labels.where(F.col("quality") == 1).select("doc_id"), share)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(load(spark, sf_dir, "documents"), vocabulary())
+    return bpe.encode_documents(documents(spark, sf_dir), vocabulary())
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.length_table(bpe.encoded_lengths(load(spark, sf_dir, "documents"), vocabulary()))
+    return token_counts.length_table(bpe.encoded_lengths(documents(spark, sf_dir), vocabulary()))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(load(spark, sf_dir, "documents")).drop("source")
+    return mixing.mix_sources(documents(spark, sf_dir)).drop("source")
 
 
 def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(load(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return pieces.encode_documents(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +78,7 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.align(load(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+    return alignment.align(documents(spark, sf_dir), vocabulary(), vocabulary("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
