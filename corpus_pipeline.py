@@ -16,21 +16,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, langid, mixing, near_dups, suffixes
-from lodestone.llm.common import load, staged
+from lodestone.llm.common import load, staged, tasks_for
 from lodestone.llm.queries import vocabulary
 
 
+def _in_few_files(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """What a stage returns, in as many files as its documents are worth, however many partitions they came in or were shuffled to."""
+    return out.coalesce(tasks_for(docs))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; dictionaries are learned from the labelled ones that aren't held out.
 
     Null texts, texts without a letter and those whose best two languages are too close go.  Equal texts share their fate.
     """
-    return langid.keep_identified(docs, langid.fit_dictionaries(docs.where(~langid.held_out())))
+    return _in_few_files(langid.keep_identified(docs, langid.fit_dictionaries(docs.where(~langid.held_out()))), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id, and of those that share it the text with the smallest hash."""
-    return near_dups.drop_near_duplicates(docs)
+    return _in_few_files(near_dups.drop_near_duplicates(docs), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +44,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Earlier is the smaller id, or the earlier start in one document; of equal strings the first stays.
     """
     cut = suffixes.remove_repeats(docs)
-    return cut.where(F.length("text") > 0).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return _in_few_files(cut.where(F.length("text") > 0).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +53,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Better documents, by the posterior of the quality rules, are drawn more readily.  Documents without words are left out.
     """
     mixed = mixing.mixed_documents(docs)
-    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return _in_few_files(mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document; an empty text has none."""
     tokens = bpe.with_tokens(docs.select("doc_id", "lang", "source", "text"), vocabulary())
-    return tokens.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+    return _in_few_files(tokens.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids"), docs)
 
 
 STAGES = [
