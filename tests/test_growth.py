@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as T
+from lodestone.operators import indexes
 from lodestone.sources import files
 
 
@@ -13,3 +17,22 @@ def test_texts_whose_words_cancel_out_have_a_norm(spark):
     df = spark.createDataFrame([(0, "w11 w15"), (1, "w11"), (2, " \n"), (3, None)], "doc_id long, text string")
     norm = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 3)
     assert [r[0] for r in files.embed(df).orderBy("doc_id").select(norm).collect()] == pytest.approx([1.0, 1.0, 0.0, 0.0])
+
+
+def alike(spark, n=150):
+    """Texts of which most grams are in all."""
+    words = ["".join(x) for x in itertools.product("bcd", "aei", "lnr", "st")]
+    return spark.createDataFrame([(i, " ".join(words[(i * 7 + j * (1 + i % 5)) % len(words)] for j in range(20 + i % 9)) + " 𝒜𝒷 y"[: i % 6]) for i in range(n)], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("common", [0, 5, 4096])
+def test_many_trigram_searches_by_blocks(spark, common):
+    """No row per gram is written, and whichever grams are columns of a matrix, the rows found are those of single scans."""
+    df = alike(spark)
+    tables = indexes.trigram_tables(df)
+    assert {name: x.count() for name, x in tables.items()} == {"rows": 150}
+    asked = df.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    got = indexes.trigram_search(tables, asked, 7, common=common).orderBy("query_id", "rank").collect()
+    rows = df.where("doc_id % 50 = 0").orderBy("doc_id").collect()
+    plain = lambda text: F.round(T.overlap_with(T.trigrams(F.col("text")), spark.range(1).select(T.trigrams(F.lit(text))).first()[0]), 9)
+    assert [(r.query_id, r.id, r.similarity) for r in got] == [(q.doc_id, r.doc_id, r.s) for q in rows for r in df.select("doc_id", plain(q.text).alias("s")).orderBy(F.desc("s"), "doc_id").limit(7).collect()]
