@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import indexes
+from lodestone.operators import indexes, retrieval
 from lodestone.sources import files
 
 
@@ -36,3 +36,15 @@ def test_many_trigram_searches_by_blocks(spark, common):
     rows = df.where("doc_id % 50 = 0").orderBy("doc_id").collect()
     plain = lambda text: F.round(T.overlap_with(T.trigrams(F.col("text")), spark.range(1).select(T.trigrams(F.lit(text))).first()[0]), 9)
     assert [(r.query_id, r.id, r.similarity) for r in got] == [(q.doc_id, r.doc_id, r.s) for q in rows for r in df.select("doc_id", plain(q.text).alias("s")).orderBy(F.desc("s"), "doc_id").limit(7).collect()]
+
+
+def test_hybrid_looks_at_each_text_once(spark, tmp_path):
+    df = alike(spark, 60)
+    df.write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    vectors = spark.createDataFrame([(i, [1.0, i / 60]) for i in range(60)], "vec_id long, embedding array<double>")
+    asked = [r.text for r in df.where("doc_id < 3").orderBy("doc_id").collect()]
+    got = retrieval.hybrid(texts, vectors, asked, [[1.0, 0.1 * i] for i in range(3)])
+    assert got._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
+    indexed = retrieval.hybrid(texts, vectors, asked, [[1.0, 0.1 * i] for i in range(3)], tables=indexes.trigram_tables(texts))
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in indexed.collect()]
