@@ -48,3 +48,13 @@ def test_hybrid_looks_at_each_text_once(spark, tmp_path):
     assert got._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
     indexed = retrieval.hybrid(texts, vectors, asked, [[1.0, 0.1 * i] for i in range(3)], tables=indexes.trigram_tables(texts))
     assert [tuple(r) for r in got.collect()] == [tuple(r) for r in indexed.collect()]
+
+
+@pytest.mark.parametrize("words", ["conspiracy runs", "sensible", "the tie", "nothing"])
+def test_postings_of_a_query_alone(spark, words):
+    """Only the query's lexemes are indexed, whatever its words are written like in texts."""
+    texts = ["conspiracies run", "a conspiracy ran running", "sensibility of senses", "sensibly sensible", "tying ties tied", "tie running conspiracy", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    some, all_ = indexes.fulltext_tables(df, only=words), indexes.fulltext_tables(df)
+    assert some["postings"].select("lexeme").distinct().count() <= len(words.split())
+    assert [tuple(r) for r in indexes.fulltext_search(some, words).collect()] == [tuple(r) for r in indexes.fulltext_search(all_, words).collect()]
