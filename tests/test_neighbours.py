@@ -54,3 +54,18 @@ def test_copies_of_one_vector_don_t_meet_all_at_once(spark):
     rows = neighbours.descent_graph(df, 3, block=64, trees=3, width=12, rounds=3).collect()
     own = [r for r in rows if r.query_id < 300]
     assert len(own) == 900 and all(r.distance == 0 and r.id < 300 for r in own)
+
+
+def test_codes_travel_and_vectors_decide(spark):
+    """What a round shuffles is some bytes for each component of those who meet, not eight; distances are those of the vectors, however far a code is off."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1000, 256))
+    x[:, 0] *= 40  # codes of such vectors are coarse
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], SCHEMA).repartition(4)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    shuffled = lambda: sum(s.shuffleWriteBytes() for s in (lambda q: [q.apply(i) for i in range(q.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
+    before = shuffled()
+    rows = neighbours.descent_graph(df, 4, width=16, rounds=2, least=0.0).collect()
+    assert shuffled() - before < 24 << 20
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(rows) == 4000 and [r.distance for r in rows] == pytest.approx([1 - u[r.query_id] @ u[r.id] for r in rows], abs=2e-9)
