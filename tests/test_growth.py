@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +59,25 @@ def test_postings_of_a_query_alone(spark, words):
     some, all_ = indexes.fulltext_tables(df, only=words), indexes.fulltext_tables(df)
     assert some["postings"].select("lexeme").distinct().count() <= len(words.split())
     assert [tuple(r) for r in indexes.fulltext_search(some, words).collect()] == [tuple(r) for r in indexes.fulltext_search(all_, words).collect()]
+
+
+@pytest.mark.parametrize(("kind", "size"), [("float", 16), ("double", 3), ("copies", 8)])
+def test_batch_search_deals_rows_not_pairs(spark, kind, size):
+    """A row goes to each group of queries once, whatever the number of blocks; hits are those of brute force, ties included."""
+    x = np.random.default_rng(4).normal(size=(900, size))
+    if kind == "copies":
+        x[100:700] = x[50]
+    if kind == "float":
+        x = x.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{'float' if kind == 'float' else 'double'}>").repartition(3)
+    found = retrieval.batch_topk(df.where("vec_id % 5 = 0"), df, 6, block=64, most=70)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    d = 1 - (x @ x.T) / np.sqrt((x * x).sum(1)[:, None] * (x * x).sum(1)[None, :])
+    if kind == "copies":
+        same = np.r_[50, 100:700]
+        d[np.ix_(same, same)] = 0
+    d = np.round(d, 9)
+    want = sorted((q, r + 1, i, v) for q in range(0, 900, 5) for r, (v, i) in enumerate(sorted((d[q, i], i) for i in range(900) if i != q)[:6]))
+    got = sorted(map(tuple, found.collect()))
+    assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=2e-9)
