@@ -1,7 +1,7 @@
 """What files of a repository have to do with each other: which import which, where the names come from, and what can be reached.
 
 All of it is joins within repositories.  A name is looked for where it was imported from, then wherever that file has it
-from, and so on; a closure grows from its last step only.  Both end when a round brings nothing new, cycles included.
+from, and so on, in each place once; a closure grows from its last steps.  Both end when a round brings nothing new, cycles included.
 """
 
 from __future__ import annotations
@@ -43,32 +43,52 @@ def symbol_edges(resolved: DataFrame, defined: DataFrame, given: DataFrame) -> D
     defined: (repo, path, name, kind) of definitions.  Names that nothing in the repository defines have no row.
     """
     asked = resolved.where("resolved_path is not null").select("repo", "path", "resolved_path", F.explode("symbols").alias("s"))
-    here = staged(asked.select("repo", "path", F.col("s.name").alias("name"), F.coalesce("s.alias", "s.name").alias("local"), F.col("resolved_path").alias("at"), F.col("s.name").alias("looked")).distinct(), "symbols-asked")
-    key = ["repo", "path", "name", "local"]
-    own = defined.select("repo", F.col("path").alias("at"), F.col("name").alias("looked"), "kind").groupBy("repo", "at", "looked").agg(F.min("kind").alias("kind"))
+    place = ["repo", "at", "looked"]
+    asked = staged(asked.select("repo", "path", F.col("s.name").alias("name"), F.coalesce("s.alias", "s.name").alias("local"), F.col("resolved_path").alias("at"), F.col("s.name").alias("looked")).distinct(), "symbols-asked")
+    own = defined.select("repo", F.col("path").alias("at"), F.col("name").alias("looked"), "kind").groupBy(*place).agg(F.min("kind").alias("kind"))
     onward = given.select("repo", F.col("path").alias("at"), "outer", F.col("target").alias("next"), "inner")
-    seen, found, hops = here, None, 0
+    # the places where a name is looked for, each once however many files ask there, and the steps between them
+    here = staged(asked.select(*place).distinct(), "symbols-places")
+    seen, found, steps = here, None, None
     while True:
-        hit = here.join(own, ["repo", "at", "looked"]).groupBy(*key).agg(F.min(F.struct(F.col("at").alias("target"), "kind")).alias("t")).select(*key, "t.target", "t.kind", F.lit(hops).alias("hops"))
-        hit = staged(hit, "symbols-found")
-        found = hit if found is None else found.unionByName(hit)
-        named = here.join(hit.select(*key), key, "left_anti").join(onward, ["repo", "at"]).where((F.col("outer") == F.col("looked")) | (F.col("outer") == "*"))
-        step = named.select(*key, F.col("next").alias("at"), F.when(F.col("inner") == "*", F.col("looked")).otherwise(F.col("inner")).alias("looked")).distinct()
-        here = staged(step.join(seen, [*key, "at", "looked"], "left_anti"), "symbols-asked")
+        hit = here.join(own, place).select(*place, F.struct(F.col("at").alias("target"), "kind").alias("t"), F.lit(0).alias("hops"))
+        more = here.join(own, place, "left_anti").join(onward, ["repo", "at"]).where((F.col("outer") == F.col("looked")) | (F.col("outer") == "*"))
+        more = staged(more.select(*place, "next", F.when(F.col("inner") == "*", F.col("looked")).otherwise(F.col("inner")).alias("then")).distinct(), "symbols-steps")
+        found, steps = (hit, more) if found is None else (found.unionByName(hit), steps.unionByName(more))
+        here = staged(more.select("repo", F.col("next").alias("at"), F.col("then").alias("looked")).distinct().join(seen, place, "left_anti"), "symbols-places")
         if here.isEmpty():
-            return found
-        seen, hops = seen.unionByName(here), hops + 1
+            break
+        seen = seen.unionByName(here)
+    # answers go back over the steps, the nearest first; who has one asks no more
+    last = found = staged(found, "symbols-found")
+    hops = 0
+    while not last.isEmpty():
+        hops += 1
+        steps = staged(steps.join(last, place, "left_anti"), "symbols-steps") if hops > 1 else steps
+        after = last.select("repo", F.col("at").alias("next"), F.col("looked").alias("then"), "t")
+        step = steps.join(after, ["repo", "next", "then"]).groupBy(*place).agg(F.min("t").alias("t")).withColumn("hops", F.lit(hops))
+        last = staged(step, "symbols-found")
+        found = found.unionByName(last)
+    return asked.join(found, place).select("repo", "path", "name", "local", "t.target", "t.kind", "hops")
 
 
 def reachable(edges: DataFrame, source: str = "path", target: str = "target", by: tuple[str, ...] = ("repo",)) -> DataFrame:
-    """(by..., source, target, distance): all that can be reached over ``edges`` (by..., source, target), with the fewest steps; a node on a cycle reaches itself."""
-    edge = staged(edges.select(*by, F.col(source).alias("_from"), F.col(target).alias("_to")).distinct(), "edges")
-    last = edge.withColumn("distance", F.lit(1))
-    all_ = last
+    """(by..., source, target, distance): all that can be reached over ``edges`` (by..., source, target), with the fewest steps; a node on a cycle reaches itself.
+
+    What is just so many steps away as are known goes on, over all that is known where that is in proportion to it, and so
+    twice as far in a round; else over single edges.
+    """
+    last = staged(edges.select(*by, F.col(source).alias("_from"), F.col(target).alias("_to")).distinct().withColumn("distance", F.lit(1)), "edges")
+    edge = all_ = last
+    known, n = 1, None
     while True:
-        onward = edge.select(*by, F.col("_from").alias("_to"), F.col("_to").alias("_next"))
-        step = last.join(onward, [*by, "_to"]).select(*by, "_from", F.col("_next").alias("_to"), (F.col("distance") + 1).alias("distance")).distinct()
-        last = staged(step.join(all_, [*by, "_from", "_to"], "left_anti"), "reached")
-        if last.isEmpty():
+        n = all_.count() if n is None else n
+        ways = last.groupBy(*by, "_to").agg(F.count("*").alias("a")).join(all_.groupBy(*by, F.col("_from").alias("_to")).agg(F.count("*").alias("b")), [*by, "_to"])
+        far = known if known == 1 or (ways.agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0) <= 4 * n else 1
+        onward = (all_ if far == known else edge).select(*by, F.col("_from").alias("_to"), F.col("_to").alias("_next"), F.col("distance").alias("_more"))
+        step = last.join(onward, [*by, "_to"]).groupBy(*by, "_from", F.col("_next").alias("_to")).agg((F.min("_more") + known).cast("int").alias("distance"))
+        new = staged(step.join(all_, [*by, "_from", "_to"], "left_anti"), "reached")
+        if not (more := new.count()):
             return all_.select(*by, F.col("_from").alias(source), F.col("_to").alias(target), "distance")
-        all_ = all_.unionByName(last)
+        known, n, all_ = known + far, n + more, all_.unionByName(new)
+        last = new.where(F.col("distance") == known)

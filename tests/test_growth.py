@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import indexes, retrieval
+from lodestone.operators import indexes, relations, retrieval
 from lodestone.sources import files
 
 
@@ -81,3 +81,30 @@ def test_batch_search_deals_rows_not_pairs(spark, kind, size):
     want = sorted((q, r + 1, i, v) for q in range(0, 900, 5) for r, (v, i) in enumerate(sorted((d[q, i], i) for i in range(900) if i != q)[:6]))
     got = sorted(map(tuple, found.collect()))
     assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=2e-9)
+
+
+def test_a_long_way_is_found_in_few_rounds(spark, monkeypatch):
+    """Ways of a chain double in a round; a cycle and a short cut keep their fewest steps."""
+    rounds, plain = [], relations.staged
+    monkeypatch.setattr(relations, "staged", lambda df, what: rounds.append(what) or plain(df, what))
+    pairs = [(i, i + 1) for i in range(20)] + [(20, 18), (2, 9)]
+    got = {(r.path, r.target): r.distance for r in relations.reachable(spark.createDataFrame([("r", str(a), str(b)) for a, b in pairs], "repo string, path string, target string")).collect()}
+    want: dict[tuple[str, str], int] = {}
+    for a in range(21):
+        last, d = {a}, 0
+        while last:
+            d, last = d + 1, {y for x, y in pairs if x in last} - {int(t) for s, t in want if s == str(a)}
+            want |= {(str(a), str(y)): d for y in last}
+    assert got == want and len(rounds) <= 7
+
+
+def test_a_place_is_looked_at_once_for_all_who_ask(spark, monkeypatch):
+    rows, plain = [], relations.staged
+    monkeypatch.setattr(relations, "staged", lambda df, what: (lambda x: rows.append(x.count()) or x)(plain(df, what)))
+    n = 7
+    one = lambda i: ("r", f"m{i}", "python", f"m{i - 1}", False, [("f", None)])
+    resolved = spark.createDataFrame([one(i) for i in range(1, n + 1)], "repo string, path string, language string, resolved_path string, is_wildcard boolean, symbols array<struct<name:string,alias:string>>")
+    defined = spark.createDataFrame([("r", "m0", "f", "function")], "repo string, path string, name string, kind string")
+    got = relations.symbol_edges(resolved, defined, relations.given_names(resolved)).collect()
+    assert sorted((r.path, r.target, r.hops) for r in got) == [(f"m{i}", "m0", i - 1) for i in range(1, n + 1)]
+    assert max(rows) <= n and len([x for x in rows[:4] if x]) <= 3  # places are known from the start: no round of asking follows
