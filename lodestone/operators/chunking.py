@@ -11,12 +11,13 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .shared import spread
+from .shared import pieces, spread
 
 _TOKEN = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]")
 
@@ -24,6 +25,7 @@ _IMAGE = re.compile(r"!\[[^\]]*\]\([^)]+\)|<img\b", re.IGNORECASE)
 # Fixed value: the note before a piece of a table row.
 _ROW_NOTE = "<!-- Oversized table row fragment -->"
 SECTION_CHUNK = "chunk_no:int,n_tokens:int,chunk:string,is_image:boolean,is_table:boolean,is_code:boolean,headings:map<int,string>,h1:array<string>,h2:array<string>,fragment:int"
+_CHUNK_ROW = pa.schema([("chunk_no", pa.int32()), ("n_tokens", pa.int32()), ("chunk", pa.string()), *((c, pa.bool_()) for c in ("is_image", "is_table", "is_code")), ("headings", pa.map_(pa.int32(), pa.string())), ("h1", pa.list_(pa.string())), ("h2", pa.list_(pa.string())), ("fragment", pa.int32())])
 
 
 def count_tokens(text: str) -> int:
@@ -292,19 +294,31 @@ def split_definition(code: str, statements: list[tuple[int, int]], limit: int =
 def section_chunks(sections: DataFrame, by: str | list[str], order: str, **limits: int) -> DataFrame:
     """merge_sections() over ``sections`` (by..., order, headings, content, is_image, is_table, is_code), one file at a time.
 
-    A file's sections travel as one array, so a file must fit in a task; files do.
+    A file's sections travel as one array, so a file must fit in a task; files do.  Python holds the objects of about 1 MB of
+    files at a time, or of one file, however many come in a batch.
     """
     keys = [by] if isinstance(by, str) else by
     fields = ["headings", "content", "is_image", "is_table", "is_code", *(["context_tokens"] if "context_tokens" in sections.columns else [])]
     lists = sections.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, F.to_json(F.struct(*fields)).alias("s")))).alias("_sections"))
 
-    @F.udf(f"array<struct<{SECTION_CHUNK}>>", useArrow=True)
-    def merged(items: list[Any]) -> list[tuple[Any, ...]]:
-        rows = [json.loads(x["s"]) for x in items]
+    def merged(items: list[str]) -> Iterator[dict[str, Any]]:
+        rows = [json.loads(x) for x in items]
         rows = [{**r, "content": r.get("content") or "", "headings": {int(k): v for k, v in (r.get("headings") or {}).items()}} for r in rows]
-        return [
-            (i, m["token_count"], m["content"], m["is_image"], m["is_table"], m["is_code"], {k: v for k, v in m["headings"].items() if v}, m["sections"].get("h1", []), m["sections"].get("h2", []), m["fragment"])
-            for i, m in enumerate(merge_sections(rows, **limits))
-        ]
-
-    return lists.select(*keys, F.inline(merged("_sections")))
+        for i, m in enumerate(merge_sections(rows, **limits)):
+            flags = {c: m[c] for c in ("is_image", "is_table", "is_code", "fragment")}
+            yield {"chunk_no": i, "n_tokens": m["token_count"], "chunk": m["content"], **flags, "headings": [(k, v) for k, v in m["headings"].items() if v], "h1": m["sections"].get("h1", []), "h2": m["sections"].get("h2", [])}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in pieces(b, 1 << 20):
+                at, rows = [], []
+                for i in range(part.num_rows):
+                    found = list(merged(part.column(len(keys))[i].as_py()))
+                    at += [i] * len(found)
+                    rows += found
+                own = [part.column(i).take(pa.array(at, pa.int64())) for i in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array([r[f.name] for r in rows], f.type) for f in _CHUNK_ROW)], [*keys, *_CHUNK_ROW.names])
+
+    types = {f.name: f.dataType.simpleString() for f in lists.schema}
+    plain = lists.select(*keys, F.transform("_sections", lambda x: x["s"]).alias("_sections"))
+    return plain.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keys), SECTION_CHUNK.replace(":", " ")]))

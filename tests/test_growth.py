@@ -5,11 +5,13 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import indexes, relations, retrieval
+from lodestone.operators import chunking, indexes, relations, retrieval
+from lodestone.operators.shared import pieces
 from lodestone.sources import files
 
 
@@ -108,3 +110,14 @@ def test_a_place_is_looked_at_once_for_all_who_ask(spark, monkeypatch):
     got = relations.symbol_edges(resolved, defined, relations.given_names(resolved)).collect()
     assert sorted((r.path, r.target, r.hops) for r in got) == [(f"m{i}", "m0", i - 1) for i in range(1, n + 1)]
     assert max(rows) <= n and len([x for x in rows[:4] if x]) <= 3  # places are known from the start: no round of asking follows
+
+
+def test_sections_become_objects_a_megabyte_at_a_time(spark):
+    """What Python makes of a batch at once is bounded by bytes, not by the batch."""
+    body = F.repeat(F.lit("word "), 400)
+    df = spark.range(1500).select("id", F.posexplode(F.array(body, F.lit("a | b"), body)).alias("ord", "content"))
+    flags = [F.lit(False).alias(c) for c in ("is_image", "is_code")]
+    found = chunking.section_chunks(df.select("id", "ord", F.create_map(F.lit(1), F.lit("H")).alias("headings"), "content", F.col("content").contains("|").alias("is_table"), *flags), "id", "ord")
+    assert "MapInArrow" in found._jdf.queryExecution().sparkPlan().toString()
+    assert found.count() == 4500 and found.where("is_table and chunk_no = 1 and chunk = 'a | b' and headings[1] = 'H'").count() == 1500
+    assert max(p.num_rows for p in pieces(pa.RecordBatch.from_pydict({"x": ["y" * 1000] * 5000}), 1 << 20)) <= 1250
