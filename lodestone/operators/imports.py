@@ -6,11 +6,14 @@ import ast
 import posixpath
 import re
 import sys
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import staged
+
 # Names and path rules that the languages themselves define.
 NODE_BUILTINS = frozenset("assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https inspector module net os path perf_hooks process punycode querystring readline repl stream string_decoder sys timers tls trace_events tty url util v8 vm wasi worker_threads zlib".split())
 JAVA_PREFIXES = ("java.", "javax.", "jdk.", "sun.", "com.sun.", "org.w3c.", "org.xml.")
@@ -19,6 +22,7 @@ JAVA_ROOTS = ("", "src", "src/main/java", "src/test/java")
 
 SCHEMA = "source:string,alias:string,symbols:array<struct<name:string,alias:string>>,is_wildcard:boolean,is_static:boolean,is_dynamic:boolean"
 RUST_PREFIXES = ("std::", "core::", "alloc::")
+PARTS = 32  # that a repository's imports are dealt to, each with its modules
 Import = tuple[str, str | None, list[tuple[str, str | None]], bool, bool, bool]
 
 
@@ -134,8 +138,8 @@ def _join(*parts: str) -> str:
     return "" if path == "." else path
 
 
-def candidates(path: str, language: str, source: str, go_modules: dict[str, str]) -> tuple[str, list[str]]:
-    """(category if nothing is found, paths to look for, best first).  go_modules: module name by folder of its go.mod."""
+def candidates(path: str, language: str, source: str, go_modules: dict[str, str]) -> tuple[str, Iterable[str]]:
+    """(category if nothing is found, paths to look for, best first, made as they are asked for).  go_modules: module name by folder of its go.mod."""
     folder = posixpath.dirname(path)
     roots = _roots(folder)
     if language == "python":
@@ -146,22 +150,22 @@ def candidates(path: str, language: str, source: str, go_modules: dict[str, str]
         if level:
             base = _join(folder, *[".."] * (level - 1))
             return "internal", ([_join(base, tail + ".py")] if tail else []) + [_join(base, tail, "__init__.py")]
-        return "external", [c for r in roots for s in (r, _join(r, "src")) for c in (_join(s, tail + ".py"), _join(s, tail, "__init__.py"))]
+        return "external", (c for r in roots for s in (r, _join(r, "src")) for c in (_join(s, tail + ".py"), _join(s, tail, "__init__.py")))
     if language in ("javascript", "typescript"):
         if source.startswith("node:") or source.split("/")[0] in NODE_BUILTINS:
             return "stdlib", []
         if source.startswith(("./", "../")):
-            return "internal", [_join(folder, source) + s for s in JS_SUFFIXES]
+            return "internal", (_join(folder, source) + s for s in JS_SUFFIXES)
         if source.startswith(("@", "~/")):
             rest = source.lstrip("@~").lstrip("/")
-            return "external", [_join(b, rest) + s for r in roots for b in (_join(r, "src"), r) for s in JS_SUFFIXES]
+            return "external", (_join(b, rest) + s for r in roots for b in (_join(r, "src"), r) for s in JS_SUFFIXES)
         return "external", []
     if language == "java":
         if source.startswith(JAVA_PREFIXES):
             return "stdlib", []
         parts = source.split(".")
         stems = ["/".join(parts[:i]) for i in range(len(parts), 0, -1)]
-        return "external", [c for s in stems for r in roots for j in JAVA_ROOTS for c in (_join(r, j, s + ".java"), _join(r, j, s))]
+        return "external", (c for s in stems for r in roots for j in JAVA_ROOTS for c in (_join(r, j, s + ".java"), _join(r, j, s)))
     if language == "go":
         if source.startswith(("./", "../")):
             return "internal", [_join(folder, source)]
@@ -183,7 +187,7 @@ def candidates(path: str, language: str, source: str, go_modules: dict[str, str]
             home = _join(home, "..") if parts[0] == "super" else home
             parts = parts[1:]
         stems = [_join(home, *parts[:i]) for i in range(len(parts), 0, -1)]  # the last names may be items of a module
-        return "internal", [c for s in stems for c in (s + ".rs", _join(s, "mod.rs"))]
+        return "internal", (c for s in stems for c in (s + ".rs", _join(s, "mod.rs")))
     return "unknown", []
 
 
@@ -191,35 +195,43 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """``imports`` (repo, path, language, source, ...) with category and resolved_path (a file or folder of the same repository's ``files`` (repo, path, content)).
 
     Candidate paths are exploded and met by an equi-join; the best hit has the lowest priority.  Java
-    imports that no direct path answers are looked for in every module of the repository.
+    imports that no direct path answers are looked for in every module of the repository.  All sides grow
+    with the files, so they are shuffled: by the sizes of compressed files, the planner would send whole tables
+    through the driver.
     """
+    imports = staged(imports, "imports")
     prefixes = F.expr("transform(sequence(1, size(split(path, '/'))), i -> array_join(slice(split(path, '/'), 1, i), '/'))")
     places = files.select("repo", "path", F.explode(prefixes).alias("target")).groupBy("repo", "target").agg(F.max(F.col("path") == F.col("target")).alias("is_file"))
     modules = files.where(F.col("path").rlike(r"(^|/)go\.mod$")).select("repo", F.regexp_replace("path", r"/?go\.mod$", "").alias("folder"), F.regexp_extract("content", r"(?m)^module\s+[\"'`]?([^\s\"'`]+)", 1).alias("module"))
     modules = modules.groupBy("repo").agg(F.map_from_entries(F.collect_list(F.struct("folder", "module"))).alias("go_modules"))
 
-    @F.pandas_udf("struct<category:string,targets:array<string>>")  # type: ignore[call-overload]
-    def look(path: pd.Series, language: pd.Series, source: pd.Series, go: pd.Series) -> pd.DataFrame:
-        out = [candidates(p, x, s, dict(g) if g is not None else {}) for p, x, s, g in zip(path, language, source, go, strict=True)]
-        return pd.DataFrame(out, columns=["category", "targets"])
+    @F.pandas_udf("array<string>")  # type: ignore[call-overload]
+    def look(path: pd.Series, language: pd.Series, source: pd.Series, go: pd.Series) -> pd.Series:
+        return pd.Series([list(candidates(p, x, s, dict(g) if g is not None else {})[1]) for p, x, s, g in zip(path, language, source, go, strict=True)], dtype=object)
+
+    @F.pandas_udf("string")  # type: ignore[call-overload]
+    def kind(path: pd.Series, language: pd.Series, source: pd.Series, go: pd.Series) -> pd.Series:
+        return pd.Series([candidates(p, x, s, dict(g) if g is not None else {})[0] for p, x, s, g in zip(path, language, source, go, strict=True)], dtype=object)
 
     key = ["repo", "path", "language", "source"]
-    distinct = imports.select(*key).distinct().join(modules, "repo", "left")
-    asked = distinct.select(*key, look("path", "language", "source", "go_modules").alias("c")).select(*key, "c.category", F.posexplode_outer("c.targets").alias("priority", "target"))
-    found = F.col("is_file") | (F.col("is_file").isNotNull() & F.col("language").isin("java", "go"))  # only these import folders
-    direct = asked.join(places, ["repo", "target"], "left").withColumn("found", F.coalesce(found, F.lit(False)))
-    best = direct.groupBy(*key).agg(F.first("category").alias("category"), F.min(F.when(F.col("found"), F.struct("priority", "target"))).alias("near"))
+    distinct = imports.select(*key).distinct()
+    dealt = modules.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    told = distinct.withColumn("part", F.pmod(F.hash("path", "source"), F.lit(PARTS))).join(dealt.hint("merge"), ["repo", "part"], "left")
+    asked = told.select(*key, F.posexplode(look("path", "language", "source", "go_modules")).alias("priority", "target"))
+    hit = asked.join(places.hint("shuffle_hash"), ["repo", "target"]).where(F.col("is_file") | F.col("language").isin("java", "go"))  # only these import folders
+    near = hit.groupBy(*key).agg(F.min(F.struct("priority", "target")).alias("near"))
+    best = told.select(*key, kind("path", "language", "source", "go_modules").alias("category")).join(near.hint("merge"), key, "left")
     # Java also looks through all modules, for a longer part of the name before any place with a shorter one
     tails = files.where(F.col("path").rlike(r"(^|/)src/(main|test)/java/.*\.java$")).select("repo", F.regexp_extract("path", r"src/(?:main|test)/java/(.*)\.java$", 1).alias("tail"), "path").groupBy("repo", "tail").agg(F.min("path").alias("file"))
     names = F.split("source", r"\.")
     stems = distinct.where("language = 'java'").select(*key, F.posexplode(F.transform(F.sequence(F.size(names), F.lit(1)), lambda i: F.array_join(F.slice(names, 1, i), "/"))).alias("step", "tail"))
-    far = stems.join(tails, ["repo", "tail"]).groupBy(*key).agg(F.min(F.struct("step", "file")).alias("far"))
-    best = best.join(far, key, "left")
+    far = stems.join(tails.hint("merge"), ["repo", "tail"]).groupBy(*key).agg(F.min(F.struct("step", "file")).alias("far"))
+    best = best.join(far.hint("merge"), key, "left")
     per_step = F.size(F.split("path", "/")) * (2 * len(JAVA_ROOTS))  # places tried for one part of the name
     sooner = F.col("far").isNotNull() & (F.col("category") != "stdlib") & (F.col("near").isNull() | (F.floor(F.col("near.priority") / per_step) > F.col("far.step")))
     resolved = F.when(sooner, F.col("far.file")).otherwise(F.col("near.target"))
     best = best.select(*key, resolved.alias("resolved_path"), F.when(resolved.isNotNull(), "internal").otherwise(F.col("category")).alias("category"))
-    return imports.join(best, key)
+    return imports.join(best.hint("merge"), key)
 
 
 def edges(resolved: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.retry import retry_details as details
 from ..operators import chunking, code, dispatch, imports, ingest, manifests, markdown
+from ..operators.shared import spread
 from ..sources import files
 from ..streaming import limits, registry
 from .catalog import QUERIES as _ALL
@@ -108,19 +109,20 @@ _NEXT = "c.c_custkey + 4"
 
 def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, path, language, content): every file imports the one of the customer four further on, which may be in another repository, besides a built-in and a foreign one."""
+    customers = spread(t(spark, sf_dir, "customer"))
     c, n = F.col("c_custkey").cast("string"), (F.col("c_custkey") + 4).cast("string")
     turn = F.col("c_custkey") % 4
     pick = lambda *x: F.when(turn == 0, x[0]).when(turn == 1, x[1]).when(turn == 2, x[2]).otherwise(x[3])
     show = lambda text, *x: F.format_string(text, *x)
     repo = F.concat(F.lit("r"), F.col("c_nationkey").cast("string"))
-    files = t(spark, sf_dir, "customer").select(
+    files = customers.select(
         repo.alias("repo"), pick(show("app/p%s.py", c), show("web/j%s.ts", c), show("src/main/java/a/J%s.java", c), show("go/g%s.go", c)).alias("path"), pick(*map(F.lit, ("python", "typescript", "java", "go"))).alias("language"),
         pick(
             show("import os\nfrom .p%s import x as y\nimport lib%s\n", n, c), show("import a, { b as d } from './j%s'\nimport fs from 'fs'\nimport r from 'react%s'\n", n, c),
             show("package a;\nimport java.util.List;\nimport a.J%s;\nimport org.z%s.Y;\n", n, c), show('package main\nimport (\n\t"fmt"\n\t"ex.com/m/go"\n\t"github.com/q/r%s"\n)\n', c),
         ).alias("content"),
     )
-    modules = t(spark, sf_dir, "customer").select(repo.alias("repo")).distinct().select("repo", F.lit("go.mod").alias("path"), F.lit(None).cast("string").alias("language"), F.lit("module ex.com/m\n").alias("content"))
+    modules = customers.select(repo.alias("repo")).distinct().select("repo", F.lit("go.mod").alias("path"), F.lit(None).cast("string").alias("language"), F.lit("module ex.com/m\n").alias("content"))
     return files.unionByName(modules)
 
 

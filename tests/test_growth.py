@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import chunking, indexes, relations, retrieval
+from lodestone.operators import chunking, imports, indexes, relations, retrieval
 from lodestone.operators.shared import pieces
 from lodestone.sources import files
 
@@ -121,3 +121,18 @@ def test_sections_become_objects_a_megabyte_at_a_time(spark):
     assert "MapInArrow" in found._jdf.queryExecution().sparkPlan().toString()
     assert found.count() == 4500 and found.where("is_table and chunk_no = 1 and chunk = 'a | b' and headings[1] = 'H'").count() == 1500
     assert max(p.num_rows for p in pieces(pa.RecordBatch.from_pydict({"x": ["y" * 1000] * 5000}), 1 << 20)) <= 1250
+
+
+def test_imports_meet_files_without_the_driver(spark, tmp_path):
+    """No side that grows with the files is broadcast, however small its file is, and each part of a repository's imports gets its modules."""
+    rows = [(f"r{i % 2}", f"go/g{i}.go", "go", 'package main\nimport (\n\t"ex.com/m/go"\n\t"fmt"\n\tx "fmt"\n)\n') for i in range(200)] + [("r0", "go.mod", None, "module ex.com/m\n")]
+    rows += [("r0", "m/src/main/java/a/A.java", "java", "package a;\nimport a.B;\nimport b.C;\nimport z.Y;\n"), ("r0", "m/src/main/java/a/B.java", "java", ""), ("r0", "n/src/main/java/b/C.java", "java", "")]
+    spark.createDataFrame(rows, "repo string, path string, language string, content string").write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    found = imports.resolve_imports(imports.extract_imports(files, ("repo", "path")), files)
+    got = [(r.repo, r.path, r.source, r.category, r.resolved_path) for r in found.collect()]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan and "HashJoin" in plan
+    want = [(f"r{i % 2}", f"go/g{i}.go", *x) for i in range(200) for x in [("ex.com/m/go", "external", None) if i % 2 else ("ex.com/m/go", "internal", "go"), ("fmt", "stdlib", None), ("fmt", "stdlib", None)]]
+    want += [("r0", "m/src/main/java/a/A.java", *x) for x in [("a.B", "internal", "m/src/main/java/a/B.java"), ("b.C", "internal", "n/src/main/java/b/C.java"), ("z.Y", "external", None)]]
+    assert sorted(got, key=str) == sorted(want, key=str)
