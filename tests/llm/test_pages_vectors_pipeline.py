@@ -140,6 +140,29 @@ def test_recall_holds_for_loose_vectors_outside_the_sample(spark):
     assert np.mean([len(set(found.get(q, [])) & want[q]) / 5 for q in want]) >= 0.9
 
 
+def test_the_driver_is_sent_the_sample_alone(spark):
+    """Of 40 partitions each has as many rows as the sample; the results of a job may take 1 MB together."""
+    x = np.random.default_rng(8).standard_normal((12000, 16))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(40)
+    old = spark.conf.get("spark.sql.files.openCostInBytes"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    limit, conf = "spark.driver.maxResultSize", spark.sparkContext._jsc.sc().conf()
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60k")  # a partition for each file that was written
+    conf.set(limit, "1m")
+    try:
+        found = {}
+        for r in ann.nearest(table, F.col("vec_id") % 400 == 0, part_rows=12000, sample=300).orderBy("query_id", "rank").collect():
+            found.setdefault(r.query_id, []).append(r.vec_id)
+    finally:
+        conf.remove(limit)
+        spark.conf.set("spark.sql.files.openCostInBytes", old[0])
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[1])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert found == {q: np.argsort(-(unit @ unit[q]), kind="stable")[1:6].tolist() for q in range(0, 12000, 400)}
+    s = ann.hash_sample(table.select("vec_id", F.col("embedding").alias("vec")), 300)
+    assert s[0].tolist() == [r.vec_id for r in table.orderBy(F.xxhash64("vec_id")).limit(300).select("vec_id").collect()] and np.array_equal(s[1], x[s[0]])
+
+
 def test_queries_of_small_parts_find_k(spark):
     rng = np.random.default_rng(2)
     rows = [(i if i % 16 else 0, (np.eye(16)[i % 16] + 0.01 * rng.standard_normal(16)).tolist()) for i in range(640)]  # all around id 0 have its id
