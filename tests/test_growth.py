@@ -56,6 +56,20 @@ def test_many_trigram_searches_by_blocks(spark, common):
     assert [(r.query_id, r.id, r.similarity) for r in got] == [(q.doc_id, r.doc_id, r.s) for q in rows for r in df.select("doc_id", plain(q.text).alias("s")).orderBy(F.desc("s"), "doc_id").limit(7).collect()]
 
 
+@pytest.mark.parametrize("sizes", [(16384, 65536, 2048), (1, 150, 7), (2, 10, 1)])
+def test_many_trigram_searches_join_no_blocks(spark, sizes):
+    """Neither are blocks of rows written nor pairs of blocks joined, whose rows of several MB filled the memory of writers and readers; groups and parts of any size give the same."""
+    df = alike(spark)
+    tables = indexes.trigram_tables(df)
+    asked = df.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    plain = indexes.trigram_search(tables, asked, 7)
+    plan = plain._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    most, part, block = sizes
+    got = indexes.trigram_search(tables, asked, 7, common=100, most=most, part=part, block=block)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_hybrid_looks_at_each_text_once(spark, tmp_path):
     df = alike(spark, 60)
     df.write.parquet(str(tmp_path / "texts"))
